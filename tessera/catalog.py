@@ -1,4 +1,9 @@
 """All registered queries of the reference's operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tessera.plans import events, lifecycle, search
+
+_ALL = {**search.QUERIES, **lifecycle.QUERIES, **events.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
