@@ -49,12 +49,61 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import chat
+
+    said = "</s>[INST] ok [/INST]"
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    events = chat.conversation_events(rows.unionByName(extra))
+    return chat.digests(chat.parse(chat.render(chat.fold(events))))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import held_out
+    from tessera.llm.quality import fit, measure, score
+    from tessera.scratch import materialize
+
+    measured = materialize(measure(read_table(spark, sf_dir, "documents")), "statistics")
+    trees = fit(measured, read_table(spark, sf_dir, "labels").where(~held_out()))
+    return score(measured, trees).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_files import read_token_files, write_token_files
+    from tessera.scratch import new_path
+
+    path = new_path(spark, "token_files")
+    write_token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, path)
+    return read_token_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_dedup": op1_minhash_dedup,
-    "op5_substring_dedup": op5_substring_dedup,
-    "op6_packing": op6_packing,
-    "op7_language_id": op7_language_id,
-    "op10_decontamination": op10_decontamination,
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_chat_formatting,
+        op3_quality,
+        op4_license_scan,
+        op5_substring_dedup,
+        op6_packing,
+        op7_language_id,
+        op8_embedding_dedup,
+        op9_token_files,
+        op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -19,6 +19,14 @@ BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def small_batches(spark):
+    """Arrow batches of at most a thousand rows: a worker then holds a few MB of text at a time. Returns ``spark``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
