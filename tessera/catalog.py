@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import events, lifecycle, search
+from tessera.plans import corpus, events, lifecycle, search
 
-_ALL = {**search.QUERIES, **lifecycle.QUERIES, **events.QUERIES}
+_ALL = {**search.QUERIES, **lifecycle.QUERIES, **events.QUERIES, **corpus.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -206,11 +206,11 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.cycles import cycle_groups
 
     orders = read(spark, sf_dir, "orders")
-    edges = orders.select((F.col("o_custkey") % 60).alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 61).alias("dst")).where("o_orderkey % 40 = 0").distinct()
+    edges = orders.select((F.col("o_custkey") % 60).alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 61).alias("dst")).where("o_orderkey % 200 = 0").distinct()
     return cycle_groups(edges)
 
 
-CYCLES = """with recursive e as (select distinct o_custkey % 60 as src, (o_orderkey * 7 + o_custkey) % 61 as dst from orders where o_orderkey % 40 = 0),
+CYCLES = """with recursive e as (select distinct o_custkey % 60 as src, (o_orderkey * 7 + o_custkey) % 61 as dst from orders where o_orderkey % 200 = 0),
 r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst),
 m as (select a.src as node, least(a.src, min(a.dst)) as component from r a join r b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src)
 select node, component from m"""

@@ -96,13 +96,13 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS_SQL = """facts as (
   select user_id as fact_id, count(*) as access_count, count(*) filter (event_type = 'purchase') as success_count,
     count(*) filter (event_type = 'error') as error_count,
-    epoch(min(ts)) as created_at, epoch(max(ts)) as last_accessed, round(0.1 + (user_id % 9) * 0.1, 1) as confidence,
+    epoch(min(ts)) as created_at, epoch(max(ts)) as last_accessed, round(0.1 + (user_id % 9) * 0.1, 1)::double as confidence,
     ['constraint','pattern','review','failure','decision','architecture','known_unknown','episode'][(user_id % 8 + 1)::int] as kind,
     ['global','org','project','session'][(user_id % 4 + 1)::int] as scope,
     case user_id % 6 when 0 then ['seed'] when 1 then ['independent'] when 2 then ['probation'] when 3 then ['attempt','observed-outcome'] else []::varchar[] end as tags,
     ['structural','observed','inferred'][(user_id % 3 + 1)::int] as provenance, user_id % 7 <> 6 as is_valid,
-    case when user_id % 2 = 0 then epoch(max(ts)) end as last_recall_ts, 1.0 + user_id % 3 as g_n,
-    count(*) filter (event_type = 'purchase') * 1.5 - count(*) filter (event_type = 'error') * 0.5 as effectiveness_c,
+    case when user_id % 2 = 0 then epoch(max(ts)) end as last_recall_ts, (1.0 + user_id % 3)::double as g_n,
+    (count(*) filter (event_type = 'purchase') * 1.5 - count(*) filter (event_type = 'error') * 0.5)::double as effectiveness_c,
     count(*) filter (event_type in ('purchase', 'error')) as effectiveness_n,
     case when user_id % 10 = 0 then ['e' || user_id] else []::varchar[] end as supporting_episode_ids
   from events group by user_id)"""
