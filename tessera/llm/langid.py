@@ -21,10 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORD_START, OTHER = "▁", "<other>"
+from tessera.llm.words import small_batches
+
+WORD_START = "▁"
 #: Longest stretch scored as one word; a longer one is scored in stretches (no character is left out).
 STRETCH = 48
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 
 
 class _Trie:
@@ -212,7 +214,7 @@ def fit(
 
 
 def _guesser(docs: DataFrame, model: LanguageModel):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

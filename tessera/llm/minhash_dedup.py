@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.words import U, mix, shingle_sets, slices, strings
+from tessera.llm.words import U, mix, shingle_sets, slices, small_batches, strings
 from tessera.operators.graph import connected_components
 from tessera.scratch import materialize
 
@@ -173,6 +173,7 @@ def _confirmer(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...)."""
     threshold = percent / 100
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign, _SIGNED), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")

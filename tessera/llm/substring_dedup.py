@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.words import U, rolling, slices, strings, word_hashes
+from tessera.llm.words import U, rolling, slices, small_batches, strings, word_hashes
 
 WIDTH = 20
-STRETCH_WINDOWS = 1_500_000
+STRETCH_WINDOWS = 700_000
 _PACKED = "part int, docs binary, counts binary, at binary, hashes binary"
 
 
@@ -122,7 +122,7 @@ def _settle(key, table):
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, ats): for each document with repeated windows, packed start positions (first word = 0)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     bits = max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_windows(bits, width), _PACKED)
     return packed.groupBy("part").applyInArrow(_settle, "doc_id long, at binary").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 JOINED = 256
 _STRETCH = re.compile("[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
