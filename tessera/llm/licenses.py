@@ -46,7 +46,8 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "cc-by-international": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "all-rights-reserved": "All rights reserved",
+    "all-rights-reserved-book": "All rights reserved. No part of this publication may be reproduced",
 }
 SIZES = (8, 16, 32, 64)
 

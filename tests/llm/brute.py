@@ -63,3 +63,33 @@ def remove_repeats(docs, width=20):
 
 def ids_crc32(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def turns_digest(turns):
+    """turns: [(role, text)] in order -> (n_turns, turns_sha256, loss_chars, loss_sha256)"""
+    whole = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def near_vectors(rows, threshold=0.93):
+    """rows: [(vec_id, embedding, label)] -> {vec_id: (n_links, component_id)}"""
+    import numpy as np
+
+    usable = {}
+    for v, e, label in rows:
+        if label is not None and label == label and e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(e):
+            x = np.array(e, np.float64)
+            usable[v] = (label, x / np.linalg.norm(x))
+    ids = sorted(usable)
+    links = []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if usable[a][0] == usable[b][0] and len(usable[a][1]) == len(usable[b][1]) and usable[a][1] @ usable[b][1] >= threshold:
+                links.append((a, b))
+    comp = components([v for v, _, _ in rows], links)
+    n = dict.fromkeys(comp, 0)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    return {v: (n[v], comp[v]) for v in comp}
