@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus, events, lifecycle, search, selection, sessions
+from tessera.plans import corpus, events, lifecycle, search, selection, sessions, streams
 
-_ALL = {**search.QUERIES, **lifecycle.QUERIES, **events.QUERIES, **corpus.QUERIES, **sessions.QUERIES, **selection.QUERIES}
+_ALL = {**search.QUERIES, **lifecycle.QUERIES, **events.QUERIES, **corpus.QUERIES, **sessions.QUERIES, **selection.QUERIES, **streams.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
