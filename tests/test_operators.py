@@ -1,0 +1,143 @@
+"""Unit tests of operators on hand-made rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+
+def test_components(spark):
+    from tessera.operators.graph import connected_components
+
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 200: 200}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_cycles(spark):
+    from tessera.operators.cycles import cycle_groups
+
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7)]
+    got = {r.node: r.component for r in cycle_groups(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_chain(spark):
+    from tessera.operators.chains import chain_ends
+
+    links = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8)], "node long, next long")
+    assert {r.node: (r.root, r.depth) for r in chain_ends(links).collect()} == {5: (1, 3), 4: (1, 2), 3: (1, 1), 9: (8, 1)}
+
+
+def test_fair_shares_equal_rounds(spark):
+    from tessera.operators.budget import fair_shares
+
+    def rounds(sizes, budget):
+        pending, out, rest = {k: v for k, v in sizes.items() if v > 0}, {}, budget
+        while pending:
+            share = rest // len(pending)
+            done = {k: v for k, v in pending.items() if v <= share}
+            if not done:
+                return out | {k: share for k in pending}
+            out |= done
+            rest -= sum(done.values())
+            pending = {k: v for k, v in pending.items() if k not in done}
+        return out
+
+    rng = random.Random(0)
+    groups = {g: {k: rng.randint(0, 300) for k in range(rng.randint(1, 9))} for g in range(30)}
+    rows = [(g, k, v) for g, s in groups.items() for k, v in s.items()]
+    got = {}
+    for r in fair_shares(spark.createDataFrame(rows, "g int, k int, size long"), "g", "size", 700, "k").collect():
+        got.setdefault(r.g, {})[r.k] = r.share
+    for g, sizes in groups.items():
+        assert got.get(g, {}) == rounds(sizes, 700)
+
+
+@pytest.mark.parametrize("budget", [2, 3, 10, 57, 1000])
+def test_slots(spark, budget):
+    from tessera.operators.budget import slots
+
+    counts = {"a": 40, "b": 10, "c": 1, "z": 0}
+    got = {r.name: r.slots for r in slots(spark.createDataFrame(list(counts.items()), "name string, n long"), "name", "n", budget).collect()}
+    assert sum(got.values()) == min(budget, 51)
+    assert all(0 <= s <= counts[n] for n, s in got.items())
+
+
+def test_jaccard_pairs(spark):
+    from tessera.operators.similarity import jaccard_pairs
+
+    rng = random.Random(3)
+    sets = {i: rng.sample(range(30), rng.randint(1, 12)) for i in range(60)}
+    sets |= {100 + i: s + [99] for i, s in list(sets.items())[:20]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    got = jaccard_pairs(spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, tokens array<string>"), 0.8)
+    assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_bm25_against_plain(spark):
+    import math
+
+    from tessera.functions.text import tokenize
+    from tessera.operators.retrieval import bm25
+
+    docs = {1: "The cat sat", 2: "the dog and the cat and the bird", 3: "", 4: "Ärger über Öl", 5: None}
+    table = spark.createDataFrame(list(docs.items()), "id long, text string")
+    query = ["the", "cat", "the", "öl"]
+    toks = {i: (t or "").lower().split() for i, t in docs.items()}
+    avg = sum(map(len, toks.values())) / len(toks)
+    want = {}
+    for i, t in toks.items():
+        s = 0
+        for q in query:
+            df, tf = sum(q in x for x in toks.values()), t.count(q)
+            if tf:
+                s += math.log((len(toks) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
+        if s:
+            want[i] = pytest.approx(s)
+    assert {r.doc: r.score for r in bm25(table, "id", tokenize(F.col("text")), query).collect()} == want
+    assert bm25(table, "id", tokenize(F.col("text")), []).count() == 0
+
+
+def test_cosine_defaults(spark):
+    from tessera.functions.scores import cosine
+
+    rows = [([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0]), ([float("nan"), 1.0], [1.0, 0.0])]
+    got = [r.c for r in spark.createDataFrame(rows, "a array<float>, b array<float>").select(cosine(F.col("a"), F.col("b"), 0.5).alias("c")).collect()]
+    assert got == [1.0, 0.5, 0.5, 0.5]
+
+
+def test_generalize(spark):
+    from tessera.functions.text import generalize
+
+    rows = [("Get user 123456 from a@b.co  at /var/log/app v1.2.3",), ('Log in and remove `x` "y"',)]
+    got = [r.g for r in spark.createDataFrame(rows, "t string").select(generalize(F.col("t")).alias("g")).collect()]
+    assert got == ["fetch user <n> from <email> at <path> <version>", "authenticate and delete <q> <q>"]
+
+
+def test_ignore(spark):
+    from tessera.operators.ignore import ignored
+
+    rules = ["*.log", "!keep.log", "build/", "/top.txt", "a/**/z", "# x", ""]
+    paths = {"x.log": True, "d/x.log": True, "keep.log": False, "build/a": True, "src/build/b": True, "top.txt": True, "d/top.txt": False, "a/z": True, "a/b/c/z": True, "ab/z": False}
+    got = {r.p: r.i for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", ignored(F.col("p"), rules).alias("i")).collect()}
+    assert got == paths
+
+
+def test_complete_link(spark):
+    from tessera.operators.clusters import complete_link
+
+    rows = [("g", 1, [1.0, 0.0]), ("g", 2, [0.9, 0.1]), ("g", 3, [0.0, 1.0]), ("h", 4, [1.0, 0.0]), ("h", 5, None)]
+    got = {r.k: r.cluster for r in complete_link(spark.createDataFrame(rows, "g string, k long, v array<double>"), "g", "k", "v", 0.9).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_redaction_and_truncation(spark):
+    from tessera.functions.text import elide_middle, redact, truncate_marked
+
+    row = spark.createDataFrame([("password = hunter2x", "token: 'abcdef99'", "a" * 100)], "a string, b string, c string").select(
+        redact(F.col("a")).alias("a"), redact(F.col("b")).alias("b"), truncate_marked(F.col("c"), 50).alias("t"), elide_middle(F.col("c"), 50).alias("e")
+    ).first()
+    assert row.a == "password = [REDACTED]" and row.b == "token: [REDACTED]"
+    assert len(row.t) == len(row.e) == 50
