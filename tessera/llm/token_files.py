@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.tokens import batches_of, encoder
 from tessera.llm.words import small_batches
-from tessera.scratch import materialize
+from tessera.scratch import drop_path, materialize, new_path
 
 BLOCK_IDS = 1 << 19
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1
@@ -48,20 +48,45 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return value & _MASKS[size]
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unshrink(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def _chunk(part: int, docs: np.ndarray, lengths: np.ndarray, crcs: np.ndarray, values: np.ndarray) -> dict:
+    return {
+        "part": part, "n": len(values), "docs": docs.astype("<i8").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "crcs": crcs.astype("<u4").tobytes(), "ids": _shrink(values)
+    }
+
+
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    docs, lengths, crcs = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["crcs"], "<u4")
+    return docs, lengths, crcs, _unshrink(row["ids"], row["n"])
+
+
+_CHUNK = "part int, n long, docs binary, lengths binary, crcs binary, ids binary"
+_CHUNK_TYPE = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("crcs", pa.binary()), ("ids", pa.binary())])
+_BLOCK = "part int, block int, n_ids long, docs binary, lengths binary, control binary, data binary"
+
+
 def _tokeniser(path: str, end_id: int):
+    """Texts -> chunks of documents (part 0)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
+            docs = batch.column("doc_id").to_numpy()
             for a, b in batches_of(texts):
                 ids = [raw + end for raw in encoder(path).encode(texts[a:b])]
-                coded = [encode_ranks(np.frombuffer(x, "<u4")) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    ["doc_id", "n", "crc", "control", "data"],
-                )
+                lengths = np.array([len(x) // 4 for x in ids])
+                crcs = np.array([zlib.crc32(x) for x in ids], np.uint32)
+                yield pa.RecordBatch.from_pylist([_chunk(0, docs[a:b], lengths, crcs, np.frombuffer(b"".join(ids), "<u4"))], schema=_CHUNK_TYPE)
 
     return run
 
@@ -69,65 +94,91 @@ def _tokeniser(path: str, end_id: int):
 def _counter(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, control, data in zip(*(batch.column(c).to_pylist() for c in ("n", "control", "data")), strict=True):
-            got = np.bincount(decode_ranks(control, data, n))
-            if len(got) > len(total):
-                total, got = got.astype(np.int64), total
-            total[: len(got)] += got
+        for row in batch.to_pylist():
+            got = np.bincount(_unshrink(row["ids"], row["n"]), minlength=len(total)).astype(np.int64)
+            got[: len(total)] += total
+            total = got
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
 
-def _blocks(ranks):
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, block = TaskContext.get().partitionId(), 0
-        docs, lengths, held, size = [], [], [], 0
-
-        def flush():
-            ids = np.concatenate(held)
-            control, data = encode_ranks(ranks.value[ids])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()),
-                 pa.array([np.array(docs, "<i8").tobytes()], pa.binary()), pa.array([np.array(lengths, "<u4").tobytes()], pa.binary()),
-                 pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                ["part", "block", "n_ids", "docs", "lengths", "control", "data"],
-            )
+def _ranked(ranks, bounds):
+    """Ids -> ranks, and each chunk cut by the range of ``doc_id`` that its documents belong to."""
 
+    def run(batches):
         for batch in batches:
-            for doc, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
-                docs.append(doc)
-                lengths.append(n)
-                held.append(decode_ranks(control, data, n))
-                size += n
-                if size >= BLOCK_IDS:
-                    yield flush()
-                    block += 1
-                    docs, lengths, held, size = [], [], [], 0
-        if docs:
-            yield flush()
+            for row in batch.to_pylist():
+                docs, lengths, crcs, ids = _open(row)
+                values, ends = ranks.value[ids], np.cumsum(lengths)
+                part = np.searchsorted(bounds.value, docs, "right")
+                out = []
+                for p in np.unique(part).tolist():
+                    some = np.flatnonzero(part == p)
+                    pieces = [values[e - n : e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)]
+                    out.append(_chunk(p, docs[some], lengths[some], crcs[some], np.concatenate(pieces)))
+                yield pa.RecordBatch.from_pylist(out, schema=_CHUNK_TYPE)
 
     return run
 
 
+def _blocks(batches):
+    """Chunks sorted by part -> blocks of about ``BLOCK_IDS`` ids in the order of (doc_id, crc32)."""
+
+    def settle(part: int, rows: list):
+        opened = [_open(r) for r in rows]
+        docs, lengths, crcs = (np.concatenate([o[i] for o in opened]) for i in range(3))
+        values, ends = np.concatenate([o[3] for o in opened]), np.cumsum(lengths)
+        order = np.lexsort((crcs, docs))
+        block = start = 0
+        filled = np.cumsum(lengths[order])
+        while start < len(order):
+            before = filled[start - 1] if start else 0
+            stop = min(len(order), int(np.searchsorted(filled, before + BLOCK_IDS)) + 1)
+            some = order[start:stop]
+            ids = np.concatenate([values[e - n : e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)])
+            control, data = encode_ranks(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs[some].astype("<i8").tobytes()], pa.binary()),
+                 pa.array([lengths[some].astype("<u4").tobytes()], pa.binary()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                ["part", "block", "n_ids", "docs", "lengths", "control", "data"],
+            )
+            block, start = block + 1, stop
+
+    part, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["part"] != part:
+                yield from settle(part, rows)
+                rows = []
+            part = row["part"]
+            rows.append(row)
+    if rows:
+        yield from settle(part, rows)
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
-    """Tokenise ``docs`` (doc_id, text), append ``end_id`` to each and write ``path``/blocks and ``path``/ranks."""
+    """Tokenise ``docs`` (doc_id, text), append ``end_id`` to each and write ``path``/blocks and ``path``/ranks.
+
+    There are as many ranges of ``doc_id`` as shuffle partitions; one range is put in order in one task's memory.
+    """
     spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    coded = materialize(
-        rows.mapInArrow(_tokeniser(vocabulary, end_id), "doc_id long, n long, crc long, control binary, data binary"), "token_ids"
-    )
-    counts = coded.select("n", "control", "data").mapInArrow(_counter, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    ranked = sorted((-r.n, r.id) for r in counts.collect())  # at most the vocabulary
-    ids = np.array([i for _, i in ranked], np.int64)
+    token_path = new_path(spark, "token_ids")
+    rows.mapInArrow(_tokeniser(vocabulary, end_id), _CHUNK).write.parquet(token_path)
+    coded = spark.read.schema(_CHUNK).parquet(token_path)
+    counts = coded.mapInArrow(_counter, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = sorted((-r.n, r.id) for r in counts.collect())  # at most the vocabulary
+    ids = np.array([i for _, i in counted], np.int64)
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "crc").select("doc_id", "n", "control", "data")
-    schema = "part int, block int, n_ids long, docs binary, lengths binary, control binary, data binary"
-    ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of)), schema).write.parquet(f"{path}/blocks")
+    cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 and len(ids) else []  # one a partition
+    share = spark.sparkContext.broadcast
+    cut = coded.mapInArrow(_ranked(share(rank_of), share(np.array(sorted(cuts), np.float64))), _CHUNK)
+    ordered = cut.repartition(parts, "part").sortWithinPartitions("part")
+    ordered.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    drop_path(spark, token_path)
 
 
 def _reader(ids, with_ids: bool):
@@ -151,8 +202,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     """(doc_id, start, n_tokens, ids_crc32[, ids]): start counts the ids of all documents before."""
     from pyspark.sql import Window
 
-    schema = "part int, block int, n_ids long, docs binary, lengths binary, control binary, data binary"
-    blocks = spark.read.schema(schema).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     ranks = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").orderBy("rank").collect()  # at most the vocabulary
     ids = spark.sparkContext.broadcast(np.array([r.id for r in ranks], "<u4"))
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a partition
@@ -163,7 +213,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     first = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = blocks.select("part", "block", (F.coalesce(before, F.lit(0))).alias("inner")).join(first, "part")
-    starts = starts.select("part", "block", (F.col("inner") + F.col("base")).alias("start"))
+    starts = materialize(starts.select("part", "block", (F.col("inner") + F.col("base")).alias("start")), "starts")
     out = blocks.join(starts, ["part", "block"]).mapInArrow(
         _reader(ids, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     )

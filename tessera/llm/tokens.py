@@ -3,19 +3,25 @@
 Both public vocabularies cut texts at white space before anything else, so a text's ids are the ids of its
 ``white space + word`` stretches one after another. Stretches that the worker has met are looked up; new ones go
 through the library, joined by a special token's string, at which the library always cuts and which no
-stretch contains. Texts with white space or separators outside plain ASCII, or with a special token's string, are
-encoded whole by the library. The cache is bounded; beyond the bound new stretches are encoded per batch.
+stretch contains; the plainest (Latin letters, then punctuation) go to the library's model directly. Texts with white space or separators outside plain ASCII, or with a special token's string, are
+encoded whole by the library. The cache is bounded; beyond the bound new stretches stay for their batch only.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 JOINED = 256
+#: ASCII punctuation but for the apostrophe, at which contractions are cut.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# The byte-level alphabet; printable bytes stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _STRETCH = re.compile("[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 
@@ -35,15 +41,49 @@ class Encoder:
         self.cut_id, token = next(iter(special.items()))
         self.cut = token.content
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.folds = self.tokenizer.normalizer is not None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
+    def _piece(self, text: str) -> bytes:
+        """Ids of a stretch that is one piece for the model: letters (with the space before them) or punctuation."""
+        raw = self.pieces.get(text)
+        if raw is None:
+            mapped = (text.lower() if self.folds else text).encode().decode("latin-1").translate(_BYTE_CHARS)
+            raw = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(self.pieces) < CACHE_WORDS:
+                self.pieces[text] = raw
+        return raw
+
+    def _simple(self, stretch: str) -> bytes | None:
+        """Ids of [space or line end] + Latin letters + ASCII punctuation, which the pre-tokeniser cuts just so; None for others."""
+        body = stretch.lstrip(" \n\r\t")
+        lead = stretch[: len(stretch) - len(body)]
+        word = body.rstrip(_PUNCTUATION)
+        if lead not in ("", " ", "\n") or not word.isalpha() or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+            return None
+        tail = body[len(word) :]
+        if self.folds:
+            raw = self._piece(word)
+        elif lead == "\n":
+            raw = self._piece("\n") + self._piece(word)
+        else:
+            raw = self._piece(lead + word)
+        return raw + self._piece(tail) if tail else raw
+
     def _stretches(self, fresh: list[str]) -> dict[str, bytes]:
-        out = {}
-        for a in range(0, len(fresh), JOINED * 16):
-            some = fresh[a : a + JOINED * 16]
+        out, hard = {}, []
+        for word in fresh:
+            raw = self._simple(word)
+            if raw is None:
+                hard.append(word)
+            else:
+                out[word] = raw
+        for a in range(0, len(hard), JOINED * 16):
+            some = hard[a : a + JOINED * 16]
             groups = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
             for group, raw in zip(groups, self._encode([self.cut.join(g) for g in groups]), strict=True):
                 cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == self.cut_id) * 4).tolist()
@@ -56,26 +96,16 @@ class Encoder:
         split = [_STRETCH.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         known = self.known
         fresh = list({w for words in split for w in words if w not in known})
+        full = len(known) >= CACHE_WORDS
         if fresh:
-            new = self._stretches(fresh)
-            if len(known) + len(new) <= CACHE_WORDS:
-                known.update(new)
-            else:
-                known = known | new if len(new) > len(known) // 4 else _Both(known, new)
+            known.update(self._stretches(fresh))
         whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
         get = known.__getitem__
-        return [b"".join(map(get, words)) if p else next(whole) for words, p in zip(split, plain, strict=True)]
-
-
-class _Both(dict):
-    """The new entries, falling back to the cache."""
-
-    def __init__(self, known: dict, new: dict):
-        super().__init__(new)
-        self.rest = known
-
-    def __missing__(self, word):
-        return self.rest[word]
+        out = [b"".join(map(get, words)) if p else next(whole) for words, p in zip(split, plain, strict=True)]
+        if full:
+            for word in fresh:
+                del known[word]
+        return out
 
 
 @functools.cache
