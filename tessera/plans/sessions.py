@@ -120,7 +120,6 @@ def issue_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("sessions >= 2 and members >= 2").select("topic", category.alias("category"), "members", "sessions", conf.alias("confidence"), F.col("latest.span").alias("evidence"))
 
 
-_ERR = f"(select first(trim(x)) from (select unnest(string_split(text, chr(10))) as x) where regexp_matches(x, '{_SQ(P.PATTERNS['error_signal'])}'))"
 ISSUES = f"""with {_TURNS},
 l as (select conv_id, turn, substring(text, 1, 60) as span, regexp_matches(text, '{_SQ(P.PATTERNS["clarification"])}') as clarified,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SQ(P.PATTERNS["error_signal"])}') and not regexp_matches(x, '{_SQ(P.PATTERNS["banner"])}'))[1] as line from t where role = 'assistant'),
