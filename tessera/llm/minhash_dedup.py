@@ -2,9 +2,9 @@
 
 1. Every document's set of distinct word shingles is hashed (64 bits); equal sets collapse to the smallest
    ``doc_id`` at once, so groups of copies cost one row each from here on.
-2. ``BANDS`` bands of ``ROWS`` MinHash values give candidates. In each bucket every member is compared with
-   the bucket's smallest member only; members of buckets that this leaves in more than one component are then
-   compared across components in blocks, so every banded candidate between components is judged.
+2. ``BANDS`` bands of ``ROWS`` MinHash values give candidates. Every document is first compared with one
+   bucket's smallest member only, the one that it shares most buckets with; members of buckets that this leaves in more than
+   one component are then compared across components in blocks, so every banded candidate between components is judged.
 3. Signatures are compared in batches. After each batch the posterior probability that the similarity reaches
    the threshold (uniform prior, Beta posterior) is bounded from below by ``MISS``; pairs under it are pruned.
 4. Survivors are confirmed on the full shingle sets with the integer test
@@ -200,7 +200,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
         return materialize(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmer(percent), "a long, b long"), "links")
 
-    star = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    together = buckets.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+    nearest = together.groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
+    star = nearest.select((-F.col("best.p")).alias("a"), F.col("id").alias("b"))
     star = star.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
         sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b"
     )
