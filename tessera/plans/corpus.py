@@ -116,6 +116,29 @@ c as (select node, next, 1 as depth from l union all select c.node, l.next, c.de
 select node, arg_max(next, depth) as root, max(depth) as depth from c group by node"""
 
 
+def supersession_all(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
+    """As ``supersession``, over every vector and at the survey's bar: the oldest earlier vector of the label with a cosine over it."""
+    from tessera.operators.vectors import earliest_link
+
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
+    best = earliest_link(v, bar)
+    both = best.join(v.select("id", F.col("vector").alias("e")), "id").join(v.select(F.col("id").alias("first"), F.col("vector").alias("o")), "first")
+    conf = F.greatest(0.1 + F.col("id") % 9 / 10, F.least(F.lit(1.0), 0.1 + F.col("first") % 9 / 10 + 0.05))
+    return both.select(F.col("id").alias("fact_id"), F.col("first").alias("superseded"), F.round(cosine(F.col("e"), F.col("o")), 6).alias("similarity"), F.round(conf, 6).alias("confidence"))
+
+
+SUPERSESSION_ALL = f"""with p as (select a.vec_id as fact_id, b.vec_id as old_id, {_COS.format(a="a.embedding", b="b.embedding")} as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id),
+r as (select *, row_number() over (partition by fact_id order by old_id) as rn from p where similarity > 0.85)
+select fact_id, old_id as superseded, round(similarity, 6) as similarity, round(greatest(0.1 + fact_id % 9 / 10, least(1.0, 0.1 + old_id % 9 / 10 + 0.05)), 6)::double as confidence from r where rn = 1"""
+
+
+def supersession_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``supersession_chain``, over the links of ``supersession_all``."""
+    from tessera.operators.chains import chain_ends
+
+    return chain_ends(supersession_all(spark, sf_dir).select(F.col("fact_id").alias("node"), F.col("superseded").alias("next")))
+
+
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     red = T.redact(F.col("text"))
@@ -270,6 +293,8 @@ QUERIES = {
     "benchmark_overlap": (benchmark_overlap, OVERLAP),
     "supersession": (supersession, SUPERSESSION),
     "supersession_chain": (supersession_chain, CHAIN),
+    "supersession_all": (supersession_all, SUPERSESSION_ALL),
+    "supersession_chain_all": (supersession_chain_all, None),
     "secret_redaction": (secret_redaction, REDACT),
     "line_findings": (line_findings, FINDINGS),
     "exemplar_tfidf": (exemplar_tfidf, TFIDF),
