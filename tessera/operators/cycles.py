@@ -8,7 +8,10 @@ from tessera.scratch import materialize
 
 
 def _reach(edges: DataFrame, colours: DataFrame) -> DataFrame:
-    """(node, colour, low): smallest node of the same colour that reaches each node along the edges."""
+    """(node, colour, low): smallest node of the same colour that reaches each node along the edges.
+
+    What reaches a node's smallest reaches the node, so each round also takes that one's smallest: long paths take few rounds.
+    """
     inside = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(
         colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst"
     )
@@ -16,8 +19,9 @@ def _reach(edges: DataFrame, colours: DataFrame) -> DataFrame:
     low = materialize(colours.withColumn("low", F.col("node")), "low")
     while True:
         step = inside.join(low.select(F.col("node").alias("src"), "low"), "src").groupBy("dst").agg(F.min("low").alias("near"))
-        step = low.join(step.withColumnRenamed("dst", "node"), "node", "left")
-        step = materialize(step.select("node", "colour", F.least("low", "near").alias("new"), "low"), "low")
+        step = low.join(step.withColumnRenamed("dst", "node"), "node", "left").select("node", "colour", F.least("low", "near").alias("near"), "low")
+        jump = low.select(F.col("node").alias("near"), F.col("low").alias("far"))
+        step = materialize(step.join(jump, "near").select("node", "colour", F.least("near", "far").alias("new"), "low"), "low")
         low = step.select("node", "colour", F.col("new").alias("low"))
         if step.where("new <> low").isEmpty():
             return low

@@ -228,6 +228,13 @@ COMPONENTS = """with c as (select c_custkey, c_nationkey * 7 + c_custkey % 5 as
 select c_custkey as node, min(c_custkey) over (partition by k) as component from c"""
 
 
+def import_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``import_cycles``, over every order with its own keys: an edge from each order's customer key to its order key."""
+    from tessera.operators.cycles import cycle_groups
+
+    return cycle_groups(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
+
+
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored stamps against current ones: equal size and time mean unchanged, else the content hash decides."""
     d = read(spark, sf_dir, "documents")
@@ -297,6 +304,7 @@ QUERIES = {
     "validation_gates": (validation_gates, GATES),
     "import_cycles": (import_cycles, CYCLES),
     "components_single_link": (components_single_link, COMPONENTS),
+    "import_cycles_all": (import_cycles_all, None),
     "change_detection": (change_detection, CHANGES),
     "merge_reconcile": (merge_reconcile, MERGE),
     "latest_outcome": (latest_outcome, LATEST),
