@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators.graph import connected_components
+from tessera.plans.search import _COS
 from tessera.sources.tables import read
 
 
@@ -228,6 +229,20 @@ COMPONENTS = """with c as (select c_custkey, c_nationkey * 7 + c_custkey % 5 as
 select c_custkey as node, min(c_custkey) over (partition by k) as component from c"""
 
 
+def components_cosine(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
+    """Single-linkage clusters of all vectors: components of cosine >= ``bar`` per embedding dimension; a vector without links is its own."""
+    from tessera.operators.vectors import linking_edges
+
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("vector"))
+    labels = connected_components(linking_edges(v, bar), "a", "b")
+    return v.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+COSINE_COMPONENTS = f"""with recursive p as (select a.vec_id as u, b.vec_id as v from embeddings a join embeddings b on a.vec_id <> b.vec_id and len(a.embedding) = len(b.embedding) and {_COS.format(a="a.embedding", b="b.embedding")} >= 0.85),
+r as (select vec_id as node, vec_id as other from embeddings union select r.node, p.v from r join p on p.u = r.other)
+select node, min(other) as component from r group by node"""
+
+
 def import_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``import_cycles``, over every order with its own keys: an edge from each order's customer key to its order key."""
     from tessera.operators.cycles import cycle_groups
@@ -305,6 +320,7 @@ QUERIES = {
     "import_cycles": (import_cycles, CYCLES),
     "components_single_link": (components_single_link, COMPONENTS),
     "import_cycles_all": (import_cycles_all, None),
+    "components_cosine": (components_cosine, COSINE_COMPONENTS),
     "change_detection": (change_detection, CHANGES),
     "merge_reconcile": (merge_reconcile, MERGE),
     "latest_outcome": (latest_outcome, LATEST),
