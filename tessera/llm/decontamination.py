@@ -3,8 +3,9 @@
 Texts become canonical tokens: runs of letters and digits, lower-cased; numbers, names (capitalised words inside a
 sentence) and units after numbers become typed placeholders. Windows of eight canonical tokens are hashed by three
 doublings of pairwise hashes and joined with the items' windows. A document leaks an item if at least
-``COVERAGE`` of the item's windows occur in it and its slots are consistent: along the best alignment, each value in
-the item corresponds to one value in the document throughout (a re-parameterised question) or to itself (an exact copy).
+``COVERAGE`` of the item's windows occur in it and its slots are consistent: within the matched windows of one alignment, each value in
+the item corresponds to one value in the document throughout (a re-parameterised question) or to itself (an exact copy). An alignment
+is one shift between item and document, or all shifts within ``DRIFT`` tokens of one, as inserted and dropped words move what follows.
 
 Everything is DataFrame operations. The items' windows are broadcast only after a count shows that they fit
 ``BROADCAST_WINDOWS``; beyond that the join is shuffled. A hot passage only adds (document, item) pairs in
@@ -14,11 +15,12 @@ nothing; windows with fewer than four literal tokens are no evidence and are lef
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.scratch import materialize
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.4
+DRIFT = 2 * WINDOW
 BROADCAST_WINDOWS = 200_000
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 # Unit words.
@@ -30,19 +32,20 @@ UNITS = (
 
 
 def _tokens(text: Column, tagged: bool) -> Column:
-    """Canonical tokens; with ``tagged``, placeholders keep the value behind their mark."""
+    """Canonical tokens; with ``tagged``, placeholders keep the value behind their mark. A decimal or grouped number is one."""
     value = "$0" if tagged else ""
     clean = F.coalesce(text, F.lit(""))
     for mark in (NUMBER, UNIT, NAME):
         clean = F.replace(clean, F.lit(mark), F.lit(" "))
     named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}]*", NAME + value)
     spaced = F.regexp_replace(named, r"(?<=\p{N})(?=\p{L})", " ")
-    numbered = F.regexp_replace(spaced, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", NUMBER + value)
+    numbered = F.regexp_replace(spaced, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,]\p{N}+)*(?![\p{L}\p{N}])", NUMBER + value)
     unit = F.regexp_replace(
-        numbered, rf"(?i)({NUMBER}\p{{N}}*[ \t]?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 " + UNIT + ("$2" if tagged else "")
+        numbered, rf"(?i)({NUMBER}(?:\p{{N}}+(?:[.,]\p{{N}}+)*)?[ \t]?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 " + UNIT + ("$2" if tagged else "")
     )
     marked = F.when(clean.rlike(r"\p{N}"), unit).otherwise(named)
-    return F.filter(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]+"), lambda t: t != "")
+    between = rf"(?:[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}.,]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
+    return F.filter(F.split(F.lower(marked), between), lambda t: t != "")
 
 
 def _with_windows(rows: DataFrame, name: str) -> DataFrame:
@@ -86,35 +89,44 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     found = _with_windows(tokens, "runs").select("doc_id", F.posexplode_outer("runs").alias("at", "h"))
     hits = found.join(side, "h")
     along = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("n")
+        F.collect_set("item_at").alias("found")
     )
+    nearby = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-DRIFT, DRIFT)
+    around = along.withColumn("around", F.collect_list(F.struct("shift", "found")).over(nearby))
+    ways = F.array(F.array(F.struct("shift", "found")), "around")
+    tried = around.select("doc_id", "item_id", "item_windows", "shift", F.explode(F.when(F.size("around") > 1, ways).otherwise(F.slice(ways, 1, 1))).alias("matched"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("matched", lambda m: m["found"])))) / F.col("item_windows")
     pairs = materialize(
-        along.groupBy("doc_id", "item_id", "item_windows")
-        .agg(F.max(F.struct("n", "shift")).alias("best"))
-        .select("doc_id", "item_id", "best.shift", (F.col("best.n") / F.col("item_windows")).alias("coverage"))
-        .where(F.col("coverage") >= coverage), "pairs",
-    )
+        tried.select("doc_id", "item_id", "shift", "matched", covered.alias("coverage")).where(F.col("coverage") >= coverage), "pairs"
+    )
     item_slots = items.select("item_id", _slots(_tokens(F.col("text"), True)).alias("item_slots")).where("size(item_slots) > 0")
-    slotted = materialize(pairs.join(item_slots, "item_id"), "slotted")
+    slotted = materialize(pairs.join(item_slots, "item_id").select("doc_id", "item_id", "shift", "matched", "coverage", "item_slots"), "slotted")
     ids = materialize(slotted.select("doc_id").distinct(), "slotted_docs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     doc_slots = texts.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", _slots(_tokens(F.col("text"), True)).alias("slots"))
     at_value = F.map_from_entries(F.transform("slots", lambda s: F.struct(s["at"], s["value"])))
-    doc_slots = doc_slots.select("doc_id", at_value.alias("at_value"))
-    value = slotted.join(doc_slots, "doc_id").select("doc_id", "item_id", "shift", "coverage", "at_value", F.explode("item_slots").alias("s"))
-    value = value.select(
-        "doc_id", "item_id", "shift", "coverage", F.concat("s.mark", "s.value").alias("item_value"),
-        F.element_at("at_value", F.col("s.at") + F.col("shift")).alias("doc_value"), F.col("s.value").alias("plain"),
-    ).where("doc_value is not null")
-    per_value = value.groupBy("doc_id", "item_id", "item_value").agg(
-        F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi"), F.max("plain").alias("plain")
-    )
-    verdict = per_value.groupBy("doc_id", "item_id").agg(
-        F.bool_and(F.col("lo") == F.col("hi")).alias("consistent"), F.bool_and((F.col("lo") == F.col("plain")) & (F.col("hi") == F.col("plain"))).alias("same")
-    )
-    out = pairs.join(verdict, ["doc_id", "item_id"], "left").where("coalesce(consistent, true)")
-    kind = F.when(F.coalesce("same", F.lit(True)), "exact").otherwise("reparameterised")
-    return out.select("doc_id", "item_id", "coverage", kind.alias("kind"))
+    doc_slots = materialize(doc_slots.select("doc_id", at_value.alias("at_value")), "doc_slots")
+    valued = slotted.join(doc_slots, "doc_id").select("doc_id", "item_id", "shift", "coverage", _values().alias("values"))
+    valued = materialize(valued, "values")
+    keys = F.transform("values", lambda v: v["item_value"])
+    consistent = F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["item_value"], v["doc_value"])))) == F.size(F.array_distinct(keys))
+    same = F.forall("values", lambda v: v["doc_value"] == v["plain"])
+    best = lambda rows, exact: rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", exact.alias("same"))).alias("best"))
+    plain = pairs.join(slotted.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
+    out = best(plain, F.lit(True)).unionByName(best(valued.where(consistent), same))
+    return out.select("doc_id", "item_id", "best.coverage", F.when(F.col("best.same"), "exact").otherwise("reparameterised").alias("kind"))
+
+
+def _values() -> Column:
+    """(item_value, doc_value, plain) of the item's slots inside matched windows, each at the nearest shift that matches there."""
+
+    def valued(slot):
+        inside = F.filter("matched", lambda m: F.exists(m["found"], lambda at: (at <= slot["at"]) & (slot["at"] < at + WINDOW)))
+        nearest = F.array_min(F.transform(inside, lambda m: F.struct(F.abs(m["shift"] - F.col("shift")), m["shift"].alias("shift"))))
+        doc_value = F.element_at("at_value", slot["at"] + nearest["shift"])
+        return F.struct(F.concat(slot["mark"], slot["value"]).alias("item_value"), doc_value.alias("doc_value"), slot["value"].alias("plain"))
+
+    return F.filter(F.transform("item_slots", valued), lambda v: v["doc_value"].isNotNull())
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:

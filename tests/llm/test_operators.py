@@ -279,3 +279,21 @@ def test_word_hashes_agree_with_words():
     assert h[0] == h[3] and h[2] == h[4] == h[6] and len(set(h.tolist())) == 4
 
 
+
+
+def test_leaks_by_neighbouring_shifts(spark):
+    from tessera.llm.decontamination import leaks
+
+    item = "Alice has 12 apples and then Alice gives 5 apples to Robert, how many apples does Alice keep after that?"
+    long = "the quick engine turns over the long road while nobody listens to the small voice of the sea"
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    rows = {
+        1: item.replace("gives 5", "gives 1,250"), 2: item.replace("12", "7.5").replace("5 apples to", "2.5 apples to"), 3: item.replace("5 apples", "5 red apples"),
+        4: long.replace("over", "slowly over"), 5: item.replace("then Alice", "then Martha").replace("5 apples", "5 red apples"),
+        6: item.replace("12", "31") + " " + item.replace("12", "44"), 7: "engine long road " * 9,
+        8: item.replace("apples does Alice", "plums does Martha"),
+    }
+    got = {(r.doc_id, r.item_id): r.kind for r in leaks(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), items).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1), (8, 1)} <= set(got)
+    assert got[1, 1] == "reparameterised" and got[3, 1] == got[4, 2] == "exact"
+    assert (5, 1) not in got and not [d for d, _ in got if d == 7]
