@@ -65,6 +65,23 @@ s as (select doc_id, round(relevance * quality, 6)::double as score from r where
 select doc_id, score, rank from (select *, row_number() over (order by score desc, doc_id) as rank from s) where rank <= 10"""
 
 
+def legacy_keyword_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``legacy_keyword_retrieval``, over whole texts: the first line is the pattern, all the rest the context."""
+    asked = "the thand edly ing of"
+    words = lambda part: F.filter(F.split(F.lower(part), r"[ \t\n\r\f]+"), lambda w: w != "")
+    at = F.instr("text", "\n")
+    first = F.when(at > 0, F.col("text").substr(F.lit(1), at - 1)).otherwise(F.col("text"))
+    rest = F.when(at > 0, F.col("text").substr(at + 1, F.length("text"))).otherwise(F.lit(""))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", words(first).alias("pattern"), words(rest).alias("context"), (0.1 + F.col("doc_id") % 9 / 10).alias("quality"))
+    inside = lambda c: F.exists(c, lambda w: F.contains(F.lit(asked), w)).cast("int")
+    relevance = F.least(F.lit(1.0), inside("pattern") * 0.5 + F.col("source").isin("src0", "src1").cast("int") * 0.3 + inside("context") * 0.2)
+    scored = rows.select("doc_id", relevance.alias("relevance"), "quality", F.round(relevance * F.col("quality"), 6).alias("score"))
+    return top_k(scored.where("score > 0.05 or relevance > 0.3 or quality > 0.6").select("doc_id", "score"), "score", 10, "doc_id")
+
+
+LEGACY_KEYWORD_WHOLE = LEGACY_KEYWORD.replace("substring(text, 1, 40)", "split_part(text, chr(10), 1)").replace("substring(text, 41, 80)", "substring(text, length(split_part(text, chr(10), 1)) + 2)")
+
+
 def loop_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goal status and strategy of each order as a loop: the first rule of the decision table that fits."""
     li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
@@ -233,6 +250,7 @@ select prefix, count(*) as members, round(avg(confidence), 6) as confidence, sum
 QUERIES = {
     "legacy_retrieval": (legacy_retrieval, LEGACY),
     "legacy_keyword_retrieval": (legacy_keyword_retrieval, LEGACY_KEYWORD),
+    "legacy_keyword_whole": (legacy_keyword_whole, LEGACY_KEYWORD_WHOLE),
     "loop_decision": (loop_decision, LOOP),
     "hypothesis_states": (hypothesis_states, HYPOTHESES),
     "prompt_issues": (prompt_issues, ISSUES),

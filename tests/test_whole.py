@@ -31,3 +31,11 @@ def test_import_cycles_of_every_order(spark, tmp_path):
             want[n] = min(group)
     assert len(want) > 2
     assert {r.node: r.component for r in import_cycles_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_keywords_after_the_first_characters(spark, tmp_path):
+    from tessera.plans.reasoning import legacy_keyword_whole
+
+    rows = [(8, "src9", "zzz " * 50 + "the"), (17, "src9", "zzz " * 50 + "\n" + "zzz " * 50 + "the"), (26, "src9", "zzz " * 100)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.score) for r in legacy_keyword_whole(spark, str(tmp_path)).orderBy("rank").collect()] == [(8, 0.45), (17, 0.18), (26, 0.0)]
