@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.functions.scores import cosine
 from tessera.operators.similarity import jaccard_pairs
 from tessera.plans.search import _COS, _TOKENS
+from tessera.scratch import materialize
 from tessera.sources.tables import read
 
 
@@ -66,6 +67,21 @@ p as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as c from e a
 select a, b, round(c / (na + nb - c), 6) as jaccard from p where c >= 0.8 * (na + nb - c)"""
 
 
+def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, by white-space token sets at Jaccard 0.8 (exact).
+
+    Documents with equal sets collapse to the smallest id first: pairs of different sets are those of their smallest documents,
+    and every further copy is listed once, with the smallest of its set, at 1.0. Texts without a token link with nothing.
+    """
+    tokens = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), "[ \t\n\r\f]+"), lambda t: t != "")))
+    sets = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")).where("size(tokens) > 0")
+    sets = materialize(sets.withColumn("digest", F.sha2(F.array_join("tokens", "\n"), 256)), "token_sets")
+    first = materialize(sets.groupBy("digest").agg(F.min("id").alias("rep")), "first_of_set")
+    copies = sets.select("digest", "id").join(first, "digest").where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    distinct = materialize(sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "tokens"), "distinct_sets")
+    return jaccard_pairs(distinct, 0.8).unionByName(copies)
+
+
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added-line overlap of documents and benchmark items: containment by the smaller side, Jaccard over the union."""
     lines = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))).alias("line"))
@@ -290,6 +306,7 @@ QUERIES = {
     "generalize_dedup": (generalize_dedup, GENERALIZE),
     "content_hash_dedup": (content_hash_dedup, HASH_DEDUP),
     "near_dup_jaccard": (near_dup_jaccard, NEAR_DUP),
+    "near_dup_documents": (near_dup_documents, None),
     "benchmark_overlap": (benchmark_overlap, OVERLAP),
     "supersession": (supersession, SUPERSESSION),
     "supersession_chain": (supersession_chain, CHAIN),

@@ -39,3 +39,25 @@ def test_keywords_after_the_first_characters(spark, tmp_path):
     rows = [(8, "src9", "zzz " * 50 + "the"), (17, "src9", "zzz " * 50 + "\n" + "zzz " * 50 + "the"), (26, "src9", "zzz " * 100)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.doc_id, r.score) for r in legacy_keyword_whole(spark, str(tmp_path)).orderBy("rank").collect()] == [(8, 0.45), (17, 0.18), (26, 0.0)]
+
+
+def test_near_copies_of_documents(spark, tmp_path):
+    from tessera.plans.corpus import near_dup_documents
+
+    rng = random.Random(6)
+    texts = {i: " ".join(f"w{rng.randint(1, 40)}" for _ in range(rng.randint(3, 30))) for i in range(40)}
+    texts |= {100 + i: texts[i] + " new" for i in range(20)} | {200 + i: texts[i].upper() for i in range(10)} | {300: "", 301: " ", 302: None, 303: texts[0]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset((t or "").lower().split()) for i, t in texts.items()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    reps = sorted(first[s] for s in first if s)
+    want = {(first[sets[i]], i): 1.0 for i in sets if sets[i] and first[sets[i]] != i}
+    for a in reps:
+        for b in reps:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if a < b and j >= 0.8:
+                want[a, b] = round(j, 6)
+    got = {(r.a, r.b): r.jaccard for r in near_dup_documents(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 20
