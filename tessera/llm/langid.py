@@ -214,7 +214,7 @@ def fit(
 
 
 def _guesser(docs: DataFrame, model: LanguageModel):
-    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -239,12 +239,14 @@ def _guesser(docs: DataFrame, model: LanguageModel):
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``, from the text alone."""
+    docs = small_batches(docs)
     return docs.select("doc_id", _guesser(docs, model)("text").alias("g")).select("doc_id", "g.lang_pred", "g.score")
 
 
 def keep_languages(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, min_score: float = 0.5) -> DataFrame:
     """Rows of ``docs`` in one of ``languages`` (all that the model knows, if not given) at ``min_score`` or more; ``und`` goes."""
     wanted = model.languages if languages is None else languages
+    docs = small_batches(docs)
     judged = docs.withColumn("_language_guess", _guesser(docs, model)("text"))
     good = F.col("_language_guess.lang_pred").isin(wanted) & (F.col("_language_guess.score") >= min_score)
     return judged.where(good).select(docs.columns)

@@ -92,8 +92,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, gr
     ``with_ids`` adds each piece's ids (little-endian unsigned 32-bit). A sequence is padded to ``length``
     unless its pieces fill exactly a power of two.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     pieces = docs.mapInArrow(_cutter(vocabulary, end_id, length, with_ids), _PIECES)
     pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
     full = pieces.where(F.col("length") == length)

@@ -145,8 +145,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """(doc_id, x): statistics of every text, in the order of ``FEATURES``."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, "doc_id long, x array<double>")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_measure, "doc_id long, x array<double>")
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> Trees:

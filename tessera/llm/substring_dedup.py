@@ -122,7 +122,8 @@ def _settle(key, table):
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, ats): for each document with repeated windows, packed start positions (first word = 0)."""
-    spark = small_batches(docs.sparkSession)
+    docs = small_batches(docs)
+    spark = docs.sparkSession
     bits = max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_windows(bits, width), _PACKED)
     return packed.groupBy("part").applyInArrow(_settle, "doc_id long, at binary").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))

@@ -161,8 +161,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
 
     There are as many ranges of ``doc_id`` as shuffle partitions; one range is put in order in one task's memory.
     """
-    spark = small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    spark = rows.sparkSession
     token_path = new_path(spark, "token_ids")
     rows.mapInArrow(_tokeniser(vocabulary, end_id), _CHUNK).write.parquet(token_path)
     coded = spark.read.schema(_CHUNK).parquet(token_path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 #: Bytes that separate words: space and 0x09-0x0D. UTF-8 continuation bytes never fall here.
@@ -19,12 +21,44 @@ BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def small_batches(spark):
-    """Arrow batches of at most a thousand rows: a worker then holds a few MB of text at a time. Returns ``spark``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")
-    return spark
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in a session of its own with Arrow batches of at most a thousand rows and 8 MB.
+
+    What is derived from it hands workers a few MB of text at a time; the caller's session keeps its settings.
+    """
+    spark = df.sparkSession
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, 1000) if rows > 0 else 1000))
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(plan, own)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Batches sorted by ``column`` as tables of whole groups, of about ``rows`` rows or ``size`` bytes; a larger group stands alone."""
+    held, n, held_bytes = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+        if n >= rows or held_bytes >= size:
+            table = pa.Table.from_batches(held)
+            keys = table[column].to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1], "left"))
+            if whole:
+                yield table.slice(0, whole)
+                held = table.slice(whole).to_batches()
+                n, held_bytes = n - whole, sum(b.nbytes for b in held)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def trim() -> None:
+    """Give freed memory back: workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -57,9 +57,51 @@ def test_posterior_bounds():
     bounds = least_matches(0.85)
     assert list(bounds) == sorted(bounds)
     assert all(m < 0.85 * BATCH * (i + 1) for i, m in enumerate(bounds))
-    x = np.arange(196, dtype=np.uint16)[None, :]
-    assert len(plausible(x, x, 0.85)) == 1
-    assert len(plausible(x, x + 1, 0.85)) == 0
+    x = np.arange(196, dtype=np.uint16)
+    sig = np.stack((x, x, x + 1))
+    assert plausible(sig, np.array([0, 0, 1]), np.array([1, 2, 2]), 0.85).tolist() == [0]
+
+
+def test_bands_meet_their_bound():
+    from tessera.llm.minhash_dedup import BAND_MISS, PERMUTATIONS, bands_of
+
+    for t in (0.5, 0.8, 0.85, 0.95):
+        rows, bands = bands_of(t)
+        assert rows * bands <= PERMUTATIONS and (1 - t**rows) ** bands <= BAND_MISS
+
+
+def test_near_duplicates_repeated_and_null_ids(spark):
+    from tessera.llm.minhash_dedup import drop_near_duplicates, near_duplicates
+
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(5, say(1), "a"), (5, say(1), "b"), (5, say(2), "c"), (3, say(2) + " end", "d"), (7, say(1) + " end", "e"), (None, say(1), "f"), (None, say(1), "g"), (9, None, "h"), (9, "", "i"), (9, say(3), "j")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, rep string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    assert got == [(-1, 36, None, False)] * 2 + [(3, 37, 3, True), (5, 36, 3, False), (5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (9, 0, 9, True), (9, 0, 9, True), (9, 36, 9, True)]
+    kept = sorted(r.rep for r in drop_near_duplicates(table).collect())
+    assert kept[-6:] == ["d", "f", "g", "h", "i", "j"] and kept[:-6] in (["a"], ["b"])
+
+
+def test_near_duplicates_of_a_large_bucket(spark):
+    """Many near copies that are no links, in blocks: one bucket of more than a block's members."""
+    from tessera.llm import minhash_dedup
+
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for d in range(90):
+        words = list(common)
+        for at in rng.sample(range(300), 5):
+            words[at] = f"d{d % 70}x{at}"
+        rows.append((d, " ".join(words)))
+    block, minhash_dedup.BLOCK = minhash_dedup.BLOCK, 16
+    try:
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        for percent in (80, 85, 88):
+            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table, percent).collect()}
+            assert got == brute.near_duplicates(rows, percent)
+    finally:
+        minhash_dedup.BLOCK = block
 
 
 def test_repeats(docs, texts, none):
