@@ -2,13 +2,15 @@
 
 A window is repeated if its word sequence also starts earlier: in a document of smaller ``doc_id`` or earlier in
 the same one. Map tasks sort the windows of a stretch of documents, settle repeats within it and send each other
-window once, packed in binary columns by hash range (10 bytes a window, not a row); reducers settle the rest and
-send back positions only. Windows of one passage fall into many hash ranges, and a stretch sends a passage
+window once, packed in binary columns by hash range (about 10 bytes a window, not a row); reducers settle one range after
+another and send back positions only. Windows of one passage fall into many hash ranges, and a stretch sends a passage
 once however often it has it, so a hot passage overloads no task. Overlapping repeated windows merge into maximal
-intervals. Hashes have 56 bits within one of P >= 64 ranges (62 bits and more).
+intervals. The number of ranges follows from the bytes of all texts (about ``RANGE_WINDOWS`` windows in each at most) and ranges
+are dealt evenly to the shuffle partitions; the more ranges, the shorter the packed rows (beyond 10 TB of text some 40 bytes a window). Hashes have 56 bits within one of P >= 64 ranges (62 bits and more).
 
-Null and blank texts have no words; shorter texts than a window lose nothing. ``doc_id`` is unique; rows of an
-equal id are treated as one document for the order, and each gets the removals of both. Rows of a null id are kept whole.
+Null and blank texts have no words; shorter texts than a window lose nothing. Rows of an equal ``doc_id`` are kept apart by a
+hash of their texts: an equal start is not an earlier one, so equal rows lose nothing to each other, and what other rows
+lose by them stays the same. Rows of a null id are kept whole.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.words import U, rolling, slices, small_batches, strings, word_hashes
+from tessera.llm.words import U, rolling, slices, small_batches, strings, trim, word_hashes
 
 WIDTH = 20
-STRETCH_WINDOWS = 700_000
-_PACKED = "part int, docs binary, counts binary, at binary, hashes binary"
+STRETCH_WINDOWS, RANGE_WINDOWS = 700_000, 2_000_000
+_BINARY = ["docs", "tags", "counts", "at", "hashes"]
+_PACKED = "slot int, part int, " + ", ".join(f"{c} binary" for c in _BINARY)
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -39,97 +42,138 @@ def _unplanes(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _pack(part: int, docs: np.ndarray, at: np.ndarray, hashes: np.ndarray | None) -> dict:
-    """Rows sorted by (docs, at); docs int64."""
-    change = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
-    counts = np.diff(np.append(change, len(docs)))
+def _runs(docs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal (doc, tag) begin, and their lengths."""
+    change = np.flatnonzero(np.concatenate((np.ones(min(1, len(docs)), bool), (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))))
+    return change, np.diff(change, append=len(docs))
+
+
+def _pack(slots: int, part: int, docs: np.ndarray, tags: np.ndarray, at: np.ndarray, hashes: np.ndarray | None) -> dict:
+    """Windows sorted by (doc, tag, position)."""
+    first, counts = _runs(docs, tags)
     return {
-        "part": part, "docs": docs[change].astype("<i8").tobytes(), "counts": _planes(counts, 4), "at": _planes(at, 4),
-        "hashes": b"" if hashes is None else _planes(hashes, 7),
+        "slot": part % slots, "part": part, "docs": _planes(np.diff(docs[first].view(U), prepend=U(0)), 8), "tags": tags[first].astype("<i8").tobytes(),
+        "counts": _planes(counts, 4), "at": _planes(at, 4), "hashes": b"" if hashes is None else _planes(hashes, 7),
     }
 
 
-def _unpack(docs: bytes, counts: bytes, at: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    d = np.repeat(np.frombuffer(docs, "<i8"), _unplanes(counts, 4).astype(np.int64))
-    return d, _unplanes(at, 4).astype(np.int64), _unplanes(hashes, 7) if hashes else np.empty(0, U)
+def _unpack(docs: bytes, tags: bytes, counts: bytes, at: bytes, hashes: bytes) -> tuple[np.ndarray, ...]:
+    times = _unplanes(counts, 4).astype(np.int64)
+    d = np.repeat(np.cumsum(_unplanes(docs, 8)).view(np.int64), times)
+    return d, np.repeat(np.frombuffer(tags, "<i8"), times), _unplanes(at, 4).astype(np.int64), _unplanes(hashes, 7) if hashes else np.empty(0, U)
 
 
-def _windows(bits: int, width: int):
-    """Stretches of documents -> packed distinct windows (part >= 0) and repeats already settled (part < 0)."""
+def _settled(d: np.ndarray, t: np.ndarray, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, whether a window there is its hash's earliest start, whether it is the first row of it)."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    some = order[shared]
+    order[shared] = some[np.lexsort((t[some], p[some], d[some], h[some]))]
+    new = np.concatenate((np.ones(min(1, len(h)), bool), ~same))
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return order, (d[order] == d[head]) & (p[order] == p[head]), new
 
-    def flush(docs: list, at: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        d, p, h = np.concatenate(docs), np.concatenate(at), np.concatenate(hashes)
-        order = np.lexsort((p, d, h))
-        d, p, h = d[order], p[order], h[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
+
+def _windows(bits: int, slots: int, width: int):
+    """Stretches of documents -> packed distinct windows (part >= 0) and repeats already settled (part < 0)."""
+    binary = pa.schema([("slot", pa.int32()), ("part", pa.int32())] + [(n, pa.binary()) for n in _BINARY])
+
+    def flush(ids: list, tags: list, counts: list, hashes: list) -> Iterator[pa.RecordBatch]:
+        i, t, n, h = (np.concatenate(x) for x in (ids, tags, counts, hashes))
+        begin = np.cumsum(n) - n
+        by = np.lexsort((t, i))
+        by = by[np.concatenate(([True], (i[by][1:] != i[by][:-1]) | (t[by][1:] != t[by][:-1])))]
+        n, begin = n[by], begin[by]
+        d, t = np.repeat(i[by], n), np.repeat(t[by], n)
+        p = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+        h = h[np.repeat(begin, n) + p]
+        order, earliest, _ = _settled(d, t, p, h)
         rows = []
-        if not first.all():
-            d2, p2 = d[~first], p[~first]
-            o = np.lexsort((p2, d2))
-            salt = int(h[0] >> U(40)) % (1 << bits)
-            rows.append(_pack(-1 - salt, d2[o], p2[o], None))
-        d, p, h = d[first], p[first], h[first]
-        cuts = np.searchsorted(h, np.arange(1 << bits).astype(U) << U(64 - bits))
-        for part, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(h)), strict=True)):
-            if b > a:
-                o = a + np.lexsort((p[a:b], d[a:b]))
-                rows.append(_pack(part, d[o], p[o], (h[o] << U(bits)) >> U(8)))
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32())] + [(n, pa.binary()) for n in ("docs", "counts", "at", "hashes")]))
+        if not earliest.all():
+            again = np.sort(order[~earliest])
+            rows.append(_pack(slots, -1 - int(h[0] >> U(40)) % (1 << bits), d[again], t[again], p[again], None))
+            order = order[earliest]
+        parts = (h[order] >> U(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(parts, prepend=-1, append=-1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            o = np.sort(order[a:b])
+            rows.append(_pack(slots, int(parts[a]), d[o], t[o], p[o], (h[o] << U(bits)) >> U(8)))
+        yield pa.RecordBatch.from_pylist(rows, schema=binary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, at, hashes, held = [], [], [], 0
+        held, windows = ([], [], [], []), 0
         for batch in batches:
             data, offsets = strings(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             for a, b in slices(offsets):
                 words, first = word_hashes(data, offsets[a : b + 1])
                 rolled = rolling(words, width)
                 n = np.maximum(np.diff(first) - width + 1, 0)
-                row = np.repeat(np.arange(b - a), n)
-                where = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                docs.append(ids[a:b][row])
-                at.append(where)
-                hashes.append(rolled[first[:-1][row] + where])
-                held += len(row)
-                if held >= STRETCH_WINDOWS:
-                    yield from flush(docs, at, hashes)
-                    docs, at, hashes, held = [], [], [], 0
-        if held:
-            yield from flush(docs, at, hashes)
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                for column, values in zip(held, (ids[a:b], tags[a:b], n, rolled[np.repeat(first[:-1], n) + within]), strict=True):
+                    column.append(values)
+                windows += len(within)
+                if windows >= STRETCH_WINDOWS:
+                    yield from flush(*held)
+                    held, windows = ([], [], [], []), 0
+        if windows:
+            yield from flush(*held)
+        trim()
 
     return run
 
 
-def _settle(key, table):
+def _settle(part: int, rows: list[dict]) -> pa.RecordBatch:
     """One hash range: every window but the earliest of its hash, as positions."""
-    part = key[0].as_py()
-    got = [_unpack(*(v.as_py() for v in row)) for row in zip(*(table[c] for c in ("docs", "counts", "at", "hashes")), strict=True)]
-    d, p = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+    got = [_unpack(*(row[c] for c in _BINARY)) for row in rows]
+    d, t, p = (np.concatenate([x[k] for x in got]) for k in range(3))
     if part >= 0:
-        h = np.concatenate([x[2] for x in got])
-        del got
-        order = np.lexsort((p, d, h))
-        again = np.concatenate(([False], h[order[1:]] == h[order[:-1]]))
-        d, p = d[order[again]], p[order[again]]
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    change = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
-    cuts = np.append(change, len(d)).tolist()
-    return pa.table(
-        {"doc_id": pa.array(d[change], pa.int64()), "at": pa.array([_planes(p[a:b], 4) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
-    )
+        order, earliest, _ = _settled(d, t, p, np.concatenate([x[3] for x in got]))
+        order = order[~earliest]
+        d, t, p = d[order], t[order], p[order]
+    order = np.lexsort((p, t, d))
+    d, t, p = d[order], t[order], p[order]
+    first, counts = _runs(d, t)
+    cuts = np.append(first, len(d)).tolist()
+    at = [_planes(p[a:b], 4) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), pa.array(t[first], pa.int64()), pa.array(at, pa.binary())], ["doc_id", "tag", "at"])
+
+
+def _settle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, one part after another."""
+    part, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["part"] != part:
+                yield _settle(part, rows)
+                rows = []
+            part = row["part"]
+            rows.append(row)
+    if rows:
+        yield _settle(part, rows)
+    trim()
+
+
+def _tag(docs: DataFrame) -> Column:
+    """What tells rows of an equal id apart: a hash of the text, or nothing where ids are unique."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.lit(0).cast("long")
+    return F.xxhash64("text")
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, ats): for each document with repeated windows, packed start positions (first word = 0)."""
-    docs = small_batches(docs)
-    spark = docs.sparkSession
-    bits = max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_windows(bits, width), _PACKED)
-    return packed.groupBy("part").applyInArrow(_settle, "doc_id long, at binary").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+    """(doc_id, tag, ats) for rows (doc_id, tag, text): for each with repeated windows, packed start positions (first word = 0)."""
+    docs = small_batches(docs.where("doc_id is not null and text is not null"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (size // (2 * RANGE_WINDOWS)).bit_length() - 1)  # at most a window in two bytes, mostly in six
+    slots = min(1 << bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = docs.select("doc_id", "tag", "text").mapInArrow(_windows(bits, slots, width), _PACKED)
+    dealt = packed.repartitionById(slots, "slot").sortWithinPartitions("part")
+    return dealt.mapInArrow(_settle_parts, "doc_id long, tag long, at binary").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("ats"))
 
 
-def _remover(width: int, carried: int, texts: bool, names: list[str]):
+def _remover(width: int, texts: bool, carried: int, names: list[str]):
     def run(batches):
         for batch in batches:
             column, ats = batch.column(carried).cast(pa.binary()), batch.column(carried + 1)
@@ -143,9 +187,8 @@ def _remover(width: int, carried: int, texts: bool, names: list[str]):
                     delta = np.zeros(len(words) + 1, np.int64)
                     for blob in blobs.as_py():
                         at = _unplanes(blob, 4).astype(np.int64)
-                        at = at[at + width <= len(words)]
-                        np.add.at(delta, at, 1)
-                        np.add.at(delta, at + width, -1)
+                        delta[at] += 1
+                        delta[at + width] -= 1
                     gone = np.cumsum(delta[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                     spans = edge.reshape(-1, 2).tolist()
@@ -153,33 +196,38 @@ def _remover(width: int, carried: int, texts: bool, names: list[str]):
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
                 intervals.append([{"first": a, "last": b - 1} for a, b in spans])
-            added = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             if texts:
-                added.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                last = pa.array(kept, pa.binary()).cast(pa.string())
             else:
-                added.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
-            added.append(pa.array(intervals, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))))
+                last = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+            added = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), last, pa.array(intervals, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *added], names)
+        trim()
 
     return run
 
 
+def _removed(docs: DataFrame, width: int, carry: list[str], texts: bool) -> DataFrame:
+    """Columns ``carry`` as _c0, _c1, ...; then _words, _gone, _kept, _spans. One row for every row of ``docs``."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(rows.withColumn("tag", _tag(rows)))
+    found = repeated_windows(rows.select("doc_id", "tag", "text"), width)
+    kinds = dict(rows.dtypes)
+    names = [f"_c{i}" for i in range(len(carry))]
+    schema = ", ".join([f"{c} {kinds[c]}" for c in names] + ["_words long, _gone long, _kept string, _spans array<struct<first:long,last:long>>"])
+    joined = rows.join(found, ["doc_id", "tag"], "left").select(*names, "text", "ats")
+    return joined.mapInArrow(_remover(width, texts, len(carry), [*names, "_words", "_gone", "_kept", "_spans"]), schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] | None = None, texts: bool = True) -> DataFrame:
     """``carry`` columns (doc_id alone if not given), then n_words, n_removed, kept_text, removed intervals.
 
     Without ``texts`` the kept words come as ``kept_sha256`` (joined by one space) instead of ``kept_text``.
-    One row for every row of ``docs``; carried columns must not have the added names.
+    One row for every row of ``docs``; carried columns come first, whatever their names.
     """
     carry = carry or ["doc_id"]
-    found = repeated_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    found = found.select(F.col("doc_id").alias("_at_id"), F.col("ats").alias("_ats"))
-    joined = docs.join(found, docs["doc_id"] == found["_at_id"], "left")
-    joined = joined.select(*[docs[c] for c in carry], docs["text"].alias("_whole"), found["_ats"])
-    last = "kept_text" if texts else "kept_sha256"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(carry).schema)
-    schema += f", n_words long, n_removed long, {last} string, removed array<struct<first:long,last:long>>"
-    names = [*carry, "n_words", "n_removed", last, "removed"]
-    return joined.mapInArrow(_remover(width, len(carry), texts, names), schema)
+    out = _removed(docs, width, carry, texts)
+    return out.toDF(*carry, "n_words", "n_removed", "kept_text" if texts else "kept_sha256", "removed")
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -188,11 +236,8 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A text that loses words becomes its kept words joined by one space and ``n_chars`` follows, where there is
     such a column; documents left without a word go. Other rows stay as they are.
     """
-    cleaned = remove_repeats(docs.select(*[F.col(c) for c in docs.columns]), width, docs.columns)
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
-    out = cleaned.where("n_removed < n_words or n_words = 0").select(
-        *[text.alias(c) if c == "text" else F.when(cut, F.length("kept_text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c)
-          for c, t in docs.dtypes]
-    )
-    return out
+    out = _removed(docs, width, docs.columns, True).where("_gone < _words or _words = 0")
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept")}
+    return out.select(
+        *[F.when(F.col("_gone") > 0, new[c]).otherwise(F.col(f"_c{i}")).cast(t).alias(c) if c in new else F.col(f"_c{i}").alias(c) for i, (c, t) in enumerate(docs.dtypes)]
+    )
