@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.tokens import batches_of, encoder
-from tessera.llm.words import small_batches
+from tessera.llm.tokens import encoded, forget
+from tessera.llm.words import small_batches, trim
 from tessera.scratch import materialize
 
 LENGTH, GROUP = 4096, 8192
@@ -26,25 +26,23 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def _cutter(path: str, end_id: int, length: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
-            for a, b in batches_of(texts):
-                rows = []
-                for doc, raw in zip(ids[a:b], encoder(path).encode(texts[a:b]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, length):
-                        piece = raw[4 * s : 4 * min(n, s + length)]
-                        rows.append((doc, s, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
-                cols = list(zip(*rows, strict=True))
+            docs = batch.column("doc_id")
+            for a, b, ids, bounds in encoded(path, batch.column("text"), end_id):
+                n = np.diff(bounds)
+                count = -(-n // length)
+                row = np.repeat(np.arange(b - a), count)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * length
+                size = np.minimum(length, n[row] - start)
+                raw, at = memoryview(ids.tobytes()), (4 * (bounds[row] + start)).tolist()
+                pieces = [raw[s : s + 4 * k] for s, k in zip(at, size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)],
+                    [docs.slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(size), pa.array(list(map(zlib.crc32, pieces)), pa.int64()), pa.array(n[row]),
+                     pa.array([bytes(p) for p in pieces] if with_ids else [None] * len(pieces), pa.binary())],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
-                )
+                )
+        trim()
 
     return run
 
@@ -76,6 +74,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _packer(length: int):
     def pack(key, table):
+        forget()
         sizes = table["length"].to_numpy()
         order = np.lexsort((table["ids_crc32"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), -sizes))
         bins, offsets = first_fit_decreasing(sizes[order], length)

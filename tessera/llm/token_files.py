@@ -5,8 +5,11 @@ take one byte. Each block of documents holds its control bytes (two bits an id:
 from its data bytes; decoding is table lookup in numpy. Blocks are rows of Parquet files in the shared store, ordered by
 (part, block): ascending ``doc_id`` over the whole table. Next to ``blocks`` lie the ``ranks``.
 
-Null texts are empty; an empty document is its end id alone. Rows of a null id cannot be addressed and are left out;
-rows of an equal id follow each other, by their ids' crc32. An empty table gives no blocks.
+Null texts are empty; an empty document is its end id alone. Rows of a null id come first (in the files their id is
+``NO_ID``); rows of an equal id follow each other, by their ids' crc32. An empty table gives no blocks.
+
+Documents are put in order range by range of ``doc_id``: ranges hold about ``RANGE_IDS`` ids (there are ``MAX_RANGES`` at most, whose
+bounds and totals the driver sees), many to a task, settled one after another. An id that many rows have spans ranges by crc32.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.tokens import batches_of, encoder
-from tessera.llm.words import small_batches
+from tessera.llm.tokens import encoded, forget
+from tessera.llm.words import small_batches, trim
 from tessera.scratch import drop_path, materialize, new_path
 
-BLOCK_IDS = 1 << 19
+BLOCK_IDS, RANGE_IDS, MAX_RANGES = 1 << 19, 4_000_000, 1 << 20
+NO_ID = -(1 << 63)
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -74,24 +78,26 @@ _CHUNK_TYPE = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("docs", pa.bi
 _BLOCK = "part int, block int, n_ids long, docs binary, lengths binary, control binary, data binary"
 
 
+def _crcs(ids: np.ndarray, bounds: np.ndarray) -> list[int]:
+    raw, at = memoryview(ids.tobytes()), (4 * bounds).tolist()
+    return [zlib.crc32(raw[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
 def _tokeniser(path: str, end_id: int):
     """Texts -> chunks of documents (part 0)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
             docs = batch.column("doc_id").to_numpy()
-            for a, b in batches_of(texts):
-                ids = [raw + end for raw in encoder(path).encode(texts[a:b])]
-                lengths = np.array([len(x) // 4 for x in ids])
-                crcs = np.array([zlib.crc32(x) for x in ids], np.uint32)
-                yield pa.RecordBatch.from_pylist([_chunk(0, docs[a:b], lengths, crcs, np.frombuffer(b"".join(ids), "<u4"))], schema=_CHUNK_TYPE)
+            for a, b, ids, bounds in encoded(path, batch.column("text"), end_id):
+                yield pa.RecordBatch.from_pylist([_chunk(0, docs[a:b], np.diff(bounds), np.array(_crcs(ids, bounds), np.uint32), ids)], schema=_CHUNK_TYPE)
+        trim()
 
     return run
 
 
 def _counter(batches):
+    forget()
     total = np.zeros(0, np.int64)
     for batch in batches:
         for row in batch.to_pylist():
@@ -100,23 +106,27 @@ def _counter(batches):
             total = got
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+    trim()
 
 
 def _ranked(ranks, bounds):
     """Ids -> ranks, and each chunk cut by the range of ``doc_id`` that its documents belong to."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for row in batch.to_pylist():
                 docs, lengths, crcs, ids = _open(row)
                 values, ends = ranks.value[ids], np.cumsum(lengths)
-                part = np.searchsorted(bounds.value, docs, "right")
+                low, high = (np.searchsorted(bounds.value, docs, side) for side in ("left", "right"))
+                part = low + (crcs.astype(np.int64) * (high - low + 1) >> 32)
                 out = []
                 for p in np.unique(part).tolist():
                     some = np.flatnonzero(part == p)
                     pieces = [values[e - n : e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)]
                     out.append(_chunk(p, docs[some], lengths[some], crcs[some], np.concatenate(pieces)))
                 yield pa.RecordBatch.from_pylist(out, schema=_CHUNK_TYPE)
+        trim()
 
     return run
 
@@ -144,6 +154,7 @@ def _blocks(batches):
             )
             block, start = block + 1, stop
 
+    forget()
     part, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
@@ -154,14 +165,12 @@ def _blocks(batches):
             rows.append(row)
     if rows:
         yield from settle(part, rows)
+    trim()
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
-    """Tokenise ``docs`` (doc_id, text), append ``end_id`` to each and write ``path``/blocks and ``path``/ranks.
-
-    There are as many ranges of ``doc_id`` as shuffle partitions; one range is put in order in one task's memory.
-    """
-    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    """Tokenise ``docs`` (doc_id, text), append ``end_id`` to each and write ``path``/blocks and ``path``/ranks."""
+    rows = small_batches(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text"))
     spark = rows.sparkSession
     token_path = new_path(spark, "token_ids")
     rows.mapInArrow(_tokeniser(vocabulary, end_id), _CHUNK).write.parquet(token_path)
@@ -172,28 +181,32 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 and len(ids) else []  # one a partition
+    ranges = min(MAX_RANGES, -(sum(n for n, _ in counted) // RANGE_IDS))
+    cuts = rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     share = spark.sparkContext.broadcast
     cut = coded.mapInArrow(_ranked(share(rank_of), share(np.array(sorted(cuts), np.float64))), _CHUNK)
-    ordered = cut.repartition(parts, "part").sortWithinPartitions("part")
+    tasks = max(1, min(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = cut.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
     ordered.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     drop_path(spark, token_path)
 
 
 def _reader(ids, with_ids: bool):
     def run(batches):
+        forget()
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 values = ids.value[decode_ranks(row["control"], row["data"], row["n_ids"])]
-                raw, cuts = values.tobytes(), np.concatenate(([0], np.cumsum(lengths)))
-                pieces = [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                cuts = np.concatenate(([0], np.cumsum(lengths)))
+                raw = values.tobytes() if with_ids else b""
+                pieces = [raw[4 * a : 4 * b] if with_ids else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                docs = np.frombuffer(row["docs"], "<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["docs"], "<i8")), pa.array(row["start"] + cuts[:-1]), pa.array(lengths),
-                     pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(pieces if with_ids else [None] * len(pieces), pa.binary())],
+                    [pa.array(docs, mask=docs == NO_ID), pa.array(row["start"] + cuts[:-1]), pa.array(lengths), pa.array(_crcs(values, cuts), pa.int64()), pa.array(pieces, pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
+        trim()
 
     return run
 
@@ -205,7 +218,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     ranks = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").orderBy("rank").collect()  # at most the vocabulary
     ids = spark.sparkContext.broadcast(np.array([r.id for r in ranks], "<u4"))
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a partition
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a range
     bases, base = [], 0
     for r in totals:
         bases.append((r.part, base))

@@ -119,6 +119,18 @@ def test_repeats(docs, texts, none):
     assert all(len(r.text) == r.n_chars for r in kept.values() if got[r.doc_id][1])
 
 
+def test_repeats_of_equal_and_null_ids(spark):
+    from tessera.llm.substring_dedup import drop_repeats, remove_repeats
+
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(5, say(1), "a"), (5, say(1), "b"), (6, say(2), "c"), (8, say(2), "d"), (8, say(3, 60), "e"), (8, "go " + say(3, 60), "f"), (9, say(1) + " end", "g"), (None, say(1), "h"), (None, None, "i")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = {r[0]: (r[1], r.n_removed) for r in remove_repeats(table, carry=["n_words"], texts=False).collect()}
+    assert got == {"a": (40, 0), "b": (40, 0), "c": (40, 0), "d": (40, 40), "e": (60, 0), "f": (61, 60), "g": (41, 40), "h": (40, 0), "i": (0, 0)}
+    kept = {r.n_words: r.text for r in drop_repeats(table).collect()}
+    assert kept == {"a": say(1), "b": say(1), "c": say(2), "e": say(3, 60), "f": "go", "g": "end", "h": say(1), "i": None}
+
+
 def test_packing(docs, texts, none):
     from tessera.llm.packing import first_fit_decreasing, pack
 
@@ -175,6 +187,52 @@ def test_token_files(spark, docs, texts, none):
         assert got == want
 
 
+def test_token_files_of_equal_and_null_ids(spark):
+    from tessera.llm import token_files
+    from tessera.scratch import new_path
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("byte_bpe_50k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    odd = "a\u00a0b\u3000c \x0b<|endoftext|> \u0130, " * 3000
+    rows = [(None, "none"), (None, None), *[(7, f"seven {i}") for i in range(400)], (-3, odd), (9, "nine"), (9, "nine")]
+    ids = sorted((d if d is not None else token_files.NO_ID, brute.ids_crc32(x), len(x)) for d, t in rows for x in [tok.encode(t or "", add_special_tokens=False).ids + [0]])
+    small, token_files.RANGE_IDS = token_files.RANGE_IDS, 50
+    try:
+        target = new_path(spark, "test_ids")
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, 0, target)
+        got = sorted((r.start, r.doc_id if r.doc_id is not None else token_files.NO_ID, r.ids_crc32, r.n_tokens) for r in token_files.read_token_files(spark, target).collect())
+    finally:
+        token_files.RANGE_IDS = small
+    assert [r[1:] for r in got] == ids
+    assert [r[0] for r in got] == [sum(n for _, _, n in ids[:k]) for k in range(len(ids))]
+
+
+def test_encoder_agrees_with_the_library():
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    from tessera.llm import tokens
+
+    rng = random.Random(1)
+    bits = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "don't", ".", ",", "!?", "12", "\u00e9", "\u00d1", "\u0130", "\u017f", "\u2026", "\u4e16\u754c", "\u0301", "\u00a0", "<|endoftext|>", "<|", "\x0b", "\u00d7", "\u03a3", "\U0001f600", "\r\n", "word", "x" * 70, "9,5", "\u200b", "\ufeff", "\u00aa", "\x00", "K"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    known, tokens.KNOWN = tokens.KNOWN, 700
+    tokens.forget()
+    try:
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            tok, n = tokenizers.Tokenizer.from_file(vocabulary(name)), 0
+            for k in range(0, 1500, 100):
+                for a, b, ids, bounds in tokens.encoded(vocabulary(name), pa.array(texts[k : k + 100]), 7):
+                    for i in range(a, b):
+                        assert ids[bounds[i - a] : bounds[i - a + 1]].tolist() == [*tok.encode(texts[k + i], add_special_tokens=False).ids, 7]
+                        n += 1
+            assert n == 1500
+    finally:
+        tokens.KNOWN = known
+        tokens.forget()
+
+
 def test_language(spark, none):
     from tessera.llm.langid import fit, held_out, keep_languages, predict
 
@@ -265,6 +323,16 @@ def test_chat(spark):
     assert chat.fold(chat.conversation_events(table.where("false"))).count() == 0
 
 
+def test_chat_of_long_runs_of_backslashes(spark):
+    from tessera.llm import chat
+
+    texts = ["\\" * 300_000, "\\" * 99_999 + "[INST]", "[INST]" * 50_000, "\\[INST]\\" * 30_000 + "</s>", "x [/INST]" * 30_000, "\\"]
+    table = spark.createDataFrame([(1, i, "user" if i % 2 else "\\[/ROLE]", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    parsed = chat.parse(chat.render(chat.fold(chat.conversation_events(table)))).first()
+    assert [t.text for t in parsed.turns] == texts
+    assert [t.role for t in parsed.turns] == ["user" if i % 2 else "\\[/ROLE]" for i in range(len(texts))]
+
+
 def test_chat_events(spark):
     from tessera.llm import chat
 
@@ -339,3 +407,21 @@ def test_leaks_by_neighbouring_shifts(spark):
     assert {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1), (8, 1)} <= set(got)
     assert got[1, 1] == "reparameterised" and got[3, 1] == got[4, 2] == "exact"
     assert (5, 1) not in got and not [d for d, _ in got if d == 7]
+
+
+def test_leaks_of_short_items_and_repeated_ids(spark):
+    from tessera.llm.decontamination import drop_leaks, leaks
+
+    items = [(1, "What is 2 plus 2?"), (2, "the river runs past seven grey mills"), (3, "hello"), (4, ""), (5, "Anna buys 3 pens and 4 books at the market, what do 3 pens cost her?")]
+    items += [(6, "name every moon of the large planet that has rings"), (6, "why do small birds fly south before the long winter comes")]
+    rows = [
+        (1, "What is 2 plus 2?"), (2, "What is 7 plus 7?"), (3, "What is 7 plus 8?"), (4, "So what is 2 plus 2? Nobody asks."), (5, "far away the river runs past seven grey mills, he said"),
+        (6, "he said hello"), (7, None), (8, "Anna buys 3 pens and 4 books at the market, what do 3 pens cost her?"), (8, "Anna buys 3 pens and 4 books at the market, what do 5 pens cost her?"),
+        (None, "name every moon of the large planet that has rings"), (None, "some other text of no concern to anyone here at all"), (9, "why do small birds fly south before the long winter comes"),
+    ]
+    table = spark.createDataFrame([(*r, "v") for r in rows], "doc_id long, text string, version string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.kind) for r in leaks(table, benchmark).collect()}
+    assert got == {(1, 1): (1, "exact"), (2, 1): (1, "reparameterised"), (5, 2): (1, "exact"), (8, 5): (1, "exact"), (None, 6): (1, "exact"), (9, 6): (1, "exact")}
+    left = sorted((r.doc_id or 0, r.text or "") for r in drop_leaks(table, benchmark).collect())
+    assert left == sorted([(0, rows[10][1]), (3, rows[2][1]), (4, rows[3][1]), (6, rows[5][1]), (7, ""), (8, rows[8][1])])
