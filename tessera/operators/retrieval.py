@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scores import cosine
+from tessera.scratch import materialize
 
 K1, B = 1.5, 0.75
 
@@ -19,7 +20,8 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> tuple[DataFrame, Data
 def bm25(docs: DataFrame, doc: str, tokens: Column, query_terms: list[str]) -> DataFrame:
     """(doc, score) of documents with a query term; the rows given are the corpus of all statistics.
 
-    Only the query's terms leave the scan: lengths come from the token arrays, counts are filtered before the shuffle.
+    Texts are read once: lengths and counts of the query's terms (a few numbers a document) are written, and read again for
+    the statistics and the scores.
     A term asked twice counts twice. The query's terms are a handful, so they are literals, not a join.
     """
     wanted: dict[str, int] = {}
@@ -27,10 +29,13 @@ def bm25(docs: DataFrame, doc: str, tokens: Column, query_terms: list[str]) -> D
         wanted[t] = wanted.get(t, 0) + 1
     if not wanted:
         return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).where(F.lit(False))
-    held = docs.select(F.col(doc).alias("doc"), tokens.alias("tokens"))
-    occurrences = lambda word: F.size(F.filter("tokens", lambda t: t == word))
-    counts = [occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    rows = held.select("doc", F.size("tokens").alias("dl"), *counts)
+    asked = F.array(*map(F.lit, wanted))
+    # Bound to a lambda variable, the tokens are computed once.
+    counted = F.transform(F.array(tokens), lambda ts: F.struct(F.size(ts).alias("dl"), F.filter(ts, lambda t: F.array_contains(asked, t)).alias("hits")))[0]
+    rows = docs.select(F.col(doc).alias("doc"), counted.alias("c"))
+    times = lambda word: F.size(F.filter("c.hits", lambda t: t == word))
+    rows = rows.select("doc", "c.dl", *[times(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    rows = materialize(rows, "term_counts")
     sums = rows.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))]
     )

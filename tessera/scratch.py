@@ -11,23 +11,21 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of this application in the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder of this application in the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a driver that runs its tasks itself (tests); with executors elsewhere it is an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessera-", dir=_local_base())
+            if not spark.sparkContext._jsc.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         _ROOTS[app] = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     return _ROOTS[app]
 
 
-def _local_base() -> str:
-    import os
-
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "/tmp/checkpoints"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
