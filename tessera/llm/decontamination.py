@@ -2,15 +2,18 @@
 
 Texts become canonical tokens: runs of letters and digits, lower-cased; numbers, names (capitalised words inside a
 sentence) and units after numbers become typed placeholders. Windows of eight canonical tokens are hashed by three
-doublings of pairwise hashes and joined with the items' windows. A document leaks an item if at least
+doublings of pairwise hashes and joined with the items' windows; an item of four to seven tokens is one window of its own length. A document leaks an item if at least
 ``COVERAGE`` of the item's windows occur in it and its slots are consistent: within the matched windows of one alignment, each value in
 the item corresponds to one value in the document throughout (a re-parameterised question) or to itself (an exact copy). An alignment
 is one shift between item and document, or all shifts within ``DRIFT`` tokens of one, as inserted and dropped words move what follows.
 
+Windows with fewer than four literal tokens are no evidence and are left out; an item without any other window ("What is 2
+plus 2?") is found in documents that are this item as a whole, by the hash of the whole sequence.
+
 Everything is DataFrame operations. The items' windows are broadcast only after a count shows that they fit
 ``BROADCAST_WINDOWS``; beyond that the join is shuffled. A hot passage only adds (document, item) pairs in
-proportion to the documents that have it. Items of fewer than eight tokens, null or empty texts match
-nothing; windows with fewer than four literal tokens are no evidence and are left out. Repeated items are each reported.
+proportion to the documents that have it. Null and empty texts match nothing. Rows of an equal or null ``doc_id`` are judged one by
+one, each by its own text; items of an equal ``item_id`` too. Results name a pair of ids once, by its best row.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from tessera.scratch import materialize
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.4
 DRIFT = 2 * WINDOW
+NO_ID = -(1 << 63)
 BROADCAST_WINDOWS = 200_000
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 # Unit words.
@@ -48,18 +52,29 @@ def _tokens(text: Column, tagged: bool) -> Column:
     return F.filter(F.split(F.lower(marked), between), lambda t: t != "")
 
 
-def _with_windows(rows: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``: xxhash64 of every run of eight tokens of column ``_tokens``, by doubling.
+def _with_windows(rows: DataFrame, name: str, widths: list[int], whole: bool = False) -> DataFrame:
+    """Adds ``name``: (width, at, h) of every run of each of ``widths`` (1 to 8) tokens of column ``_tokens``, by doubling.
 
-    Each step is a column of its own, so that it is computed once; explode it with an outer generator, as the
-    optimiser would otherwise infer a filter on its size and compute every step again in there.
+    With ``whole``, the hash of the whole sequence comes too, with width 0. Each step is a column of its own, so that it is
+    computed once; explode it with an outer generator, as the optimiser would otherwise infer a filter on its size and
+    compute every step again in there.
     """
+    kept = rows.columns
     rows = rows.withColumn("_runs1", F.transform("_tokens", lambda t: F.xxhash64(t)))
-    for step in (1, 2, 4):
-        one = F.col(f"_runs{step}")
-        rows = rows.withColumn(f"_runs{2 * step}", F.zip_with(one, F.slice(one, step + 1, 1 << 30), lambda x, y: F.xxhash64(x, y)))
-    whole = F.greatest(F.size("_tokens") - (WINDOW - 1), F.lit(0))
-    return rows.withColumn(name, F.slice("_runs8", F.lit(1), whole)).drop("_runs1", "_runs2", "_runs4", "_runs8")
+    for a, b in ((1, 1), (2, 2), (2, 1), (4, 4), (4, 1), (4, 2), (4, 3)):
+        if a == b and max(widths, default=0) >= a + b or a + b in widths or (a, b) == (2, 1) and 7 in widths:
+            later = F.slice(F.col(f"_runs{b}"), a + 1, 1 << 30)
+            rows = rows.withColumn(f"_runs{a + b}", F.zip_with(F.col(f"_runs{a}"), later, lambda x, y: F.xxhash64(x, y)))
+
+    def runs(width):
+        valid = F.slice(F.col(f"_runs{width}"), F.lit(1), F.greatest(F.size("_tokens") - (width - 1), F.lit(0)))
+        return F.transform(valid, lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h")))
+
+    parts = [runs(w) for w in widths]
+    if whole:
+        one = F.struct(F.lit(0).alias("width"), F.lit(0).alias("at"), F.xxhash64(F.lit("whole"), F.concat_ws(" ", "_tokens")).alias("h"))
+        parts.append(F.array(one))
+    return rows.select(*kept, F.concat(*parts).alias(name))
 
 
 def _slots(tokens: Column) -> Column:
@@ -69,59 +84,78 @@ def _slots(tokens: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(h, item_id, item_at, item_windows): the windows of each item with enough literal tokens."""
-    tokens = _with_windows(items.select("item_id", _tokens(F.col("text"), False).alias("_tokens")), "runs")
+    """(h, item, item_at, item_windows, width, whole): the windows of each item (item, text) with enough literal tokens, or the whole item."""
+    tokens = items.select("item", _tokens(F.col("text"), False).alias("_tokens")).where("size(_tokens) > 0")
+    rows = _with_windows(tokens, "runs", [4, 5, 6, 7, WINDOW], True)
     literal = F.transform("_tokens", lambda t: F.when(t.isin(NUMBER, UNIT, NAME), 0).otherwise(1))
-    rows = tokens.select("item_id", literal.alias("literal"), F.posexplode_outer("runs").alias("item_at", "h"))
-    enough = F.aggregate(F.slice("literal", F.col("item_at") + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= LITERALS
-    rows = rows.where(enough).select("h", "item_id", "item_at")
-    return rows.join(rows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows")), "item_id").select(
-        "h", "item_id", "item_at", "item_windows"
-    )
+    rows = rows.select("item", literal.alias("literal"), F.explode_outer("runs").alias("run")).select("item", "literal", "run.*")
+    rows = materialize(rows.where(F.col("width").isin(0) | (F.col("width") == F.least(F.size("literal"), F.lit(WINDOW)))), "item_runs")
+    enough = F.aggregate(F.slice("literal", F.col("at") + 1, F.col("width")), F.lit(0), lambda a, x: a + x) >= LITERALS
+    good = rows.where((F.col("width") > 0) & enough).select("h", "item", F.col("at").alias("item_at"), "width", F.lit(False).alias("whole"))
+    rest = rows.where("width = 0").join(good.select("item").distinct(), "item", "left_anti")
+    good = good.unionByName(rest.select("h", "item", F.lit(0).alias("item_at"), F.size("literal").alias("width"), F.lit(True).alias("whole")))
+    return good.join(good.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows")), "item")
 
 
-def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, coverage, kind): kind is ``exact`` or ``reparameterised``; one row per leaked pair."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, version, item, coverage, same) of rows (doc_id, version, text) and (item, text)."""
     known = materialize(item_windows(items), "item_windows")
-    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text"), False).alias("_tokens"))
-    found = _with_windows(tokens, "runs").select("doc_id", F.posexplode_outer("runs").alias("at", "h"))
+    kinds = [(r.width, r.whole, r.n) for r in known.groupBy("whole", F.when(~F.col("whole"), F.col("width")).alias("width")).agg(F.count("*").alias("n")).collect()]
+    side = known.drop("whole")
+    side = F.broadcast(side) if sum(n for _, _, n in kinds) <= BROADCAST_WINDOWS else side
+    tokens = docs.select("doc_id", "version", _tokens(F.col("text"), False).alias("_tokens"))
+    runs = _with_windows(tokens, "runs", sorted({w for w, whole, _ in kinds if not whole} or {WINDOW}), any(whole for _, whole, _ in kinds))
+    found = runs.select("doc_id", "version", F.explode_outer("runs").alias("run")).select("doc_id", "version", "run.at", "run.h")
     hits = found.join(side, "h")
-    along = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("found")
-    )
-    nearby = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-DRIFT, DRIFT)
+    key = ["doc_id", "version", "item"]
+    along = hits.groupBy(*key, "item_windows", "width", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("found"))
+    nearby = Window.partitionBy(*key).orderBy("shift").rangeBetween(-DRIFT, DRIFT)
     around = along.withColumn("around", F.collect_list(F.struct("shift", "found")).over(nearby))
     ways = F.array(F.array(F.struct("shift", "found")), "around")
-    tried = around.select("doc_id", "item_id", "item_windows", "shift", F.explode(F.when(F.size("around") > 1, ways).otherwise(F.slice(ways, 1, 1))).alias("matched"))
+    tried = F.explode(F.when(F.size("around") > 1, ways).otherwise(F.slice(ways, 1, 1)))
+    around = around.select(*key, "item_windows", "width", "shift", tried.alias("matched"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("matched", lambda m: m["found"])))) / F.col("item_windows")
-    pairs = materialize(
-        tried.select("doc_id", "item_id", "shift", "matched", covered.alias("coverage")).where(F.col("coverage") >= coverage), "pairs"
-    )
-    item_slots = items.select("item_id", _slots(_tokens(F.col("text"), True)).alias("item_slots")).where("size(item_slots) > 0")
-    slotted = materialize(pairs.join(item_slots, "item_id").select("doc_id", "item_id", "shift", "matched", "coverage", "item_slots"), "slotted")
-    ids = materialize(slotted.select("doc_id").distinct(), "slotted_docs")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    doc_slots = texts.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", _slots(_tokens(F.col("text"), True)).alias("slots"))
+    pairs = materialize(around.select(*key, "width", "shift", "matched", covered.alias("coverage")).where(F.col("coverage") >= coverage), "pairs")
+    item_slots = items.select("item", _slots(_tokens(F.col("text"), True)).alias("item_slots")).where("size(item_slots) > 0")
+    slotted = materialize(pairs.join(item_slots, "item"), "slotted")
+    rows = materialize(slotted.select("doc_id", "version").distinct(), "slotted_docs")
+    texts = docs.join(rows, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    slots = texts.select("doc_id", "version", _slots(_tokens(F.col("text"), True)).alias("slots"))
     at_value = F.map_from_entries(F.transform("slots", lambda s: F.struct(s["at"], s["value"])))
-    doc_slots = materialize(doc_slots.select("doc_id", at_value.alias("at_value")), "doc_slots")
-    valued = slotted.join(doc_slots, "doc_id").select("doc_id", "item_id", "shift", "coverage", _values().alias("values"))
-    valued = materialize(valued, "values")
+    slots = materialize(slots.select("doc_id", "version", at_value.alias("at_value")), "doc_slots")
+    valued = materialize(slotted.join(slots, ["doc_id", "version"]).select(*key, "shift", "coverage", _values().alias("values")), "values")
     keys = F.transform("values", lambda v: v["item_value"])
     consistent = F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["item_value"], v["doc_value"])))) == F.size(F.array_distinct(keys))
     same = F.forall("values", lambda v: v["doc_value"] == v["plain"])
-    best = lambda rows, exact: rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", exact.alias("same"))).alias("best"))
-    plain = pairs.join(slotted.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
-    out = best(plain, F.lit(True)).unionByName(best(valued.where(consistent), same))
-    return out.select("doc_id", "item_id", "best.coverage", F.when(F.col("best.same"), "exact").otherwise("reparameterised").alias("kind"))
+    plain = pairs.join(slotted.select(*key).distinct(), key, "left_anti")
+    return plain.select(*key, "coverage", F.lit(True).alias("same")).unionByName(valued.where(consistent).select(*key, "coverage", same.alias("same")))
+
+
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _keyed(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, version, text), null ids as ``NO_ID``, and items (item, item_id, text); a row is known by its id and text."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _version().alias("version"), "text")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return docs, items.withColumn("item", F.xxhash64(F.coalesce("item_id", F.lit(NO_ID)), "text")).dropDuplicates(["item"])
+
+
+def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, kind): kind is ``exact`` or ``reparameterised``; one row per leaked pair of ids, by its best row."""
+    docs, items = _keyed(docs, items)
+    found = _leaks(docs, items, coverage).join(items.select("item", "item_id"), "item")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "same")).alias("best"))
+    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return best.select(doc_id, "item_id", "best.coverage", F.when(F.col("best.same"), "exact").otherwise("reparameterised").alias("kind"))
 
 
 def _values() -> Column:
     """(item_value, doc_value, plain) of the item's slots inside matched windows, each at the nearest shift that matches there."""
 
     def valued(slot):
-        inside = F.filter("matched", lambda m: F.exists(m["found"], lambda at: (at <= slot["at"]) & (slot["at"] < at + WINDOW)))
+        inside = F.filter("matched", lambda m: F.exists(m["found"], lambda at: (at <= slot["at"]) & (slot["at"] < at + F.col("width"))))
         nearest = F.array_min(F.transform(inside, lambda m: F.struct(F.abs(m["shift"] - F.col("shift")), m["shift"].alias("shift"))))
         doc_value = F.element_at("at_value", slot["at"] + nearest["shift"])
         return F.struct(F.concat(slot["mark"], slot["value"]).alias("item_value"), doc_value.alias("doc_value"), slot["value"].alias("plain"))
@@ -130,6 +164,8 @@ def _values() -> Column:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Rows of ``docs`` that leak no item; rows with a null id stay."""
-    gone = materialize(leaks(docs, items, coverage).where("doc_id is not null").select("doc_id").distinct(), "leaked")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs`` that leak no item."""
+    keyed, templates = _keyed(docs, items)
+    gone = _leaks(keyed, templates, coverage).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
+    at = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (_version() == F.col("_version"))
+    return docs.join(materialize(gone, "leaked"), at, "left_anti").select(docs.columns)

@@ -309,6 +309,27 @@ def test_near_vectors(spark):
     assert near_vectors(table.where("false")).count() == 0
 
 
+def test_near_vectors_of_equal_and_null_ids_in_blocks(spark):
+    from tessera.llm import embedding_dedup
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, b in enumerate(rng.normal(size=(3, 12))):
+        for j in range(25):
+            rows.append((100 * i + j, [float(v) for v in np.float32(b + rng.normal(size=12) * 0.25)], "l"))
+    want = brute.near_vectors(rows)
+    block, embedding_dedup.BLOCK = embedding_dedup.BLOCK, 8
+    try:
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table).collect()} == want
+    finally:
+        embedding_dedup.BLOCK = block
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    odd = [(7, one, "x"), (7, one, "x"), (7, two, "x"), (4, two, "x"), (None, one, "x"), (9, one, None), (8, [0.93, (1 - 0.93**2) ** 0.5, 0.0], "x")]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(0, 0, 0, False), (4, 1, 4, True), (7, 1, 4, False), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 0, 9, True)]
+
+
 def test_chat(spark):
     from tessera.llm import chat
 
