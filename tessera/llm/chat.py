@@ -5,9 +5,8 @@ the text (a regeneration without text starts empty), ``delta`` appends to what t
 message. A message stands where its first event stands; its role is the first that is not null. Folding is per
 message, so a long conversation is shared out; only the rendered string, the output unit, is put together per conversation.
 
-Rendering marks turns with control strings and escapes such strings inside texts: a control string and the
-backslashes right before it get ``2n + 1`` backslashes for ``n``. That is reversible, and an unescaped control string is never
-text. Loss covers the text of assistant turns. Nulls: texts and roles read as empty, a null conversation is one of its own
+Rendering marks turns with control strings and escapes texts: every backslash and every control string gets one backslash before
+it. That is reversible, linear in the text, and a control string behind no backslash is never text. Loss covers the text of assistant turns. Nulls: texts and roles read as empty, a null conversation is one of its own
 (rows of null ``conv_id`` together), rows of null ``seq`` come first; repeated events (equal in all but order) apply twice.
 """
 
@@ -25,11 +24,11 @@ _ANY = "|".join(c.replace("[", r"\[").replace("]", r"\]") for c in CONTROLS)
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)({_ANY})", r"$1$1\\$2")
+    return F.regexp_replace(text, rf"(\\|{_ANY})", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\\*)\1\\({_ANY})", "$1$2")
+    return F.regexp_replace(text, rf"\\(\\|{_ANY})", "$1")
 
 
 def fold(events: DataFrame) -> DataFrame:

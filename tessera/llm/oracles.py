@@ -26,7 +26,7 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(gone, 0) as n_removed, sha
 
 _ANY = r"\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]|\[/TURN\]"
 CHAT = rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-t as (select *, length(regexp_replace(text, '(\\*)({_ANY})', '\1\1\\\2', 'g')) as body, length(regexp_replace(role, '(\\*)({_ANY})', '\1\1\\\2', 'g')) as name from c)
+t as (select *, length(regexp_replace(text, '(\\|{_ANY})', '\\\1', 'g')) as body, length(regexp_replace(role, '(\\|{_ANY})', '\\\1', 'g')) as name from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   (sum(body + case role when 'user' then 15 when 'assistant' then 9 when 'system' then 17 else name + 24 end) + count(*) - 1)::bigint as formatted_chars from t group by 1"""
