@@ -6,9 +6,13 @@ unrelated vector (from the largest label's size) and L so that a pair at the thr
 ``MISS``. Only vectors of equal label and length are compared. Equal vectors collapse to one with a multiplicity first.
 
 Buckets are compared in memory, in blocks: one of more than ``BLOCK`` members is cut into blocks whose pairs go to
-different tasks, so a hot bucket is shared out whole. Only links at or over the threshold leave a task.
-Null labels and vectors that are null, zero, empty or hold null or non-finite components link with nothing. ``vec_id`` is
-unique; null ids link with nothing.
+different tasks, so a hot bucket is shared out whole. A block sends on links that join its members into components, never all
+its links; the first ``FIRST`` tables are compared first, and of the others only buckets that still span components. Links are
+then counted within the components, where every link has both ends, again in blocks and by exact cosine: so each pair is counted once,
+also one that met in no table, and rows grow with the vectors. Cosines within rounding of the threshold are computed again in plain order.
+
+Null labels and vectors that are null, zero, empty or hold null or non-finite components link with nothing; null ids
+neither. Rows of an equal ``vec_id`` are vectors of their own; a class has its smallest ``vec_id``.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.words import U, mix, powers
+from tessera.llm.words import U, grouped, mix, powers, small_batches, trim
 from tessera.operators.graph import connected_components
 from tessera.scratch import materialize
 
-WIDTH, MISS, BLOCK, SEED = 2.0, 1e-3, 1024, 93
+LEFT, RIGHT, ALL = 0, 1, 2
+WIDTH, MISS, BLOCK, SEED, FIRST = 2.0, 1e-3, 1024, 93, 6
+HASHED = 1 << 22  # projections of a batch at once
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -66,8 +72,11 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -78,110 +87,134 @@ def _hasher(k: int, tables: int):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                same = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 if dim not in planes:
                     rng = np.random.default_rng((SEED, dim))
                     planes[dim] = rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k)
                 a, b = planes[dim]
-                x = _units(some.column("vector"))
-                cells = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(U).reshape(len(x), tables, k)
-                keys = np.broadcast_to(np.arange(tables, dtype=U) + U(dim << 20), (len(x), tables))
-                for i in range(k):
-                    keys = mix(keys * U(31) + cells[:, :, i])
-                flat = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (len(x) + 1) * tables, tables, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))
-                )
-                yield pa.RecordBatch.from_arrays([some.column("vec_id"), some.column("label"), flat], ["rep", "label", "keys"])
+                step = max(1, HASHED // (tables * k))
+                for at in range(0, same.num_rows, step):
+                    some = same.slice(at, step)
+                    x = _units(_matrix(some.column("vector")))
+                    cells = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(U).reshape(len(x), tables, k)
+                    keys = np.broadcast_to(np.arange(tables, dtype=U) + U(dim << 20), (len(x), tables))
+                    for i in range(k):
+                        keys = mix(keys * U(31) + cells[:, :, i])
+                    flat = pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, (len(x) + 1) * tables, tables, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))
+                    )
+                    yield pa.RecordBatch.from_arrays([some.column("node"), some.column("label"), flat], ["node", "label", "keys"])
+        trim()
 
     return run
 
 
-def _linker(threshold: float):
-    """Rows sorted by group: all pairs of a block, or of two blocks; links only."""
+def _linked(raw: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows reach the threshold (a row with itself does not)."""
+    x = _units(raw)
+    similar = x @ x.T
+    out = similar >= threshold
+    for i, j in np.argwhere(np.abs(similar - threshold) < 1e-12).tolist():
+        p, q = raw[i].tolist(), raw[j].tolist()
+        dot = lambda u, v: sum(a * b for a, b in zip(u, v, strict=True))
+        out[i, j] = dot(p, q) / (math.sqrt(dot(p, p)) * math.sqrt(dot(q, q))) >= threshold
+    np.fill_diagonal(out, False)
+    return out
 
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+
+def _by_group(batches, judge, names):
+    for table in grouped(batches, "grp", 4 * BLOCK):
         group = table["grp"].to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))).tolist()
-        ids, side = table["rep"].to_numpy(), table["side"].to_numpy()
-        vectors = table["vector"].combine_chunks()
-        out_a, out_b = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
-                continue
-            x = _units(vectors.slice(a, b - a))
-            right = side[a:b] == 1
-            if right.any():
-                left = np.flatnonzero(~right)
-                other = np.flatnonzero(right)
-                i, j = np.nonzero(x[left] @ x[other].T >= threshold)
-                i, j = left[i], other[j]
-            else:
-                i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-            if len(i):
-                p, q = ids[a + i], ids[a + j]
-                out_a.append(np.minimum(p, q))
-                out_b.append(np.maximum(p, q))
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+        found = [judge(table.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+        found = [f for f in found if len(f[0])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names)
+    trim()
 
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * BLOCK:
-                table = pa.Table.from_batches(held)
-                group = table["grp"].to_numpy()
-                whole = int(np.searchsorted(group, group[-1], "left"))
-                yield from links(table.slice(0, whole))
-                held = table.slice(whole).to_batches()
-                rows = table.num_rows - whole
-        if held:
-            yield from links(pa.Table.from_batches(held))
 
-    return run
+def _joiner(threshold: float):
+    """Members of a block, or of two, sorted by group -> links (a, b) that join those of different ``comp``: a star for each component."""
+
+    def judge(table: pa.Table):
+        nodes, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        linked = _linked(_matrix(table["vector"]), threshold) & (comp[:, None] != comp[None, :])
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        found = np.flatnonzero(label != np.arange(len(label)))
+        return nodes[label[found]], nodes[found]
+
+    return lambda batches: _by_group(batches, judge, ["a", "b"])
+
+
+def _counter(threshold: float):
+    """Members of a block of a component, or of two, sorted by group -> (node, n): linked vectors of the other side or of the one block."""
+
+    def judge(table: pa.Table):
+        nodes, side, copies = (table[c].to_numpy() for c in ("node", "side", "copies"))
+        linked = _linked(_matrix(table["vector"]), threshold)
+        if (side != ALL).any():
+            linked &= side[:, None] != side[None, :]
+        return nodes, linked @ copies
+
+    return lambda batches: _by_group(batches, judge, ["node", "n"])
+
+
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """Rows (``key``, node, members, ...) dealt to the pairs of their group's blocks: adds grp and side."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = members.withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    side = F.when(F.col("mine") == F.col("other"), ALL).when(F.col("mine") < F.col("other"), LEFT).otherwise(RIGHT)
+    return placed.withColumns({"grp": F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")), "side": side}).drop("mine", "other", "members", key)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").withColumn("label", F.col("label").cast("string"))
-    ready = materialize(
-        rows.mapInArrow(_prepare, "vec_id long, label string, dim int, h1 long, h2 long, vector binary"), "vectors"
-    )
+    rows = small_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding"))
+    ready = materialize(rows.mapInArrow(_prepare, "vec_id long, label string, dim int, h1 long, h2 long, vector binary"), "vectors")
     usable = ready.where("label is not null and vector is not null and vec_id is not null")
     same = ["label", "dim", "h1", "h2"]
-    reps = materialize(usable.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    nodes = usable.groupBy(*same).agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     k, tables = plan(largest, threshold)
-
-    distinct = usable.join(reps.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi")
-    hashed = distinct.mapInArrow(_hasher(k, tables), "rep long, label string, keys array<long>")
-    cells = materialize(hashed.select("rep", F.explode("keys").alias("key"), "label").select("rep", F.xxhash64("label", "key").alias("bucket")), "cells")
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = cells.join(shared, "bucket").withColumns(
-        {"mine": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))}
-    )
-    placed = placed.select(
-        "rep",
-        F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"),
-        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    sides = placed.join(distinct.select(F.col("vec_id").alias("rep"), "vector"), "rep")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sides.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_linker(threshold), "a long, b long")
-    links = materialize(found.distinct(), "links")
-
+    hashed = nodes.select("node", "label", "dim", "vector").mapInArrow(_hasher(k, tables), "node long, label string, keys array<long>")
+    cells = hashed.select("node", "label", F.posexplode("keys").alias("t", "key")).select("node", "t", F.xxhash64("label", "key").alias("bucket"))
+    cells = materialize(cells, "cells")
+
+    def joined(placed: DataFrame) -> DataFrame:
+        """Links between members (node, bucket, comp) of a bucket and of different components."""
+        shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        open_ = placed.join(materialize(shared.select("bucket", "members"), "shared"), "bucket")
+        sides = _blocks(open_, "bucket").join(nodes.select("node", "vector"), "node").select("grp", "node", "comp", "vector")
+        links = sides.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joiner(threshold), "a long, b long")
+        return materialize(links.distinct(), "links")
+
+    links = joined(cells.where(F.col("t") < FIRST).select("node", "bucket", F.col("node").alias("comp")))
     labels = connected_components(links, "a", "b")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = reps.select(F.col("rep").alias("b"), "copies")
-    linked = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("near")).withColumnRenamed("a", "rep")
+    rest = cells.where(F.col("t") >= FIRST).join(labels, "node", "left")
+    more = joined(materialize(rest.select("node", "bucket", F.coalesce("component", "node").alias("comp")), "placed"))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), "a", "b")
+
+    sizes = materialize(labels.groupBy("component").agg(F.count("*").alias("members")), "sizes")
+    sides = _blocks(labels.join(sizes, "component"), "component").join(nodes.select("node", "copies", "vector"), "node")
+    counted = sides.select("grp", "node", "side", "copies", "vector").repartition("grp").sortWithinPartitions("grp").mapInArrow(_counter(threshold), "node long, n long")
+    counted = materialize(counted.groupBy("node").agg(F.sum("n").alias("near")), "counted")
+    least = materialize(labels.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least")), "least")
     classes = (
-        reps.join(linked, "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*same, F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
+        nodes.select(*same, "node", "low", "copies")
+        .join(counted, "node", "left")
+        .join(labels, "node", "left")
+        .join(least, "component", "left")
+        .select(*same, F.coalesce("least", "low").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
     )
-    out = ready.join(classes, same, "left")
+    out = ready.drop("vector").join(materialize(classes, "classes"), same, "left")
     linkable = F.col("vec_id").isNotNull() & F.col("component").isNotNull()
     component = F.when(linkable, F.col("component")).otherwise(F.col("vec_id"))
     return out.select(

@@ -239,14 +239,17 @@ def test_language(spark, none):
     rng = random.Random(2)
     sounds = {"en": ["the", "ing", "and"], "de": ["der", "sch", "ung"]}
     rows = [(i, " ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(30)), lang) for i in range(120) for lang in ["en" if i % 2 else "de"]]
-    extra = [(900, None, "en"), (901, "", None), (902, "123 ...", "de"), (903, "theand " * 30_000, None)]
-    table = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    extra = [(900, None, "en"), (901, "", None), (902, "123 ...", "de"), (903, "theand " * 30_000, None), (None, "derung " * 9, "de"), (904, "theing and", None), (904, "theing and", None)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows + extra], "doc_id long, text string, lang string, _language_guess string, score int")
     model = fit(table.where(~held_out()), vocabulary("piece_bpe_32k.model"), sample_chars=20_000)
     assert model.languages == ["de", "en"]
     got = {r.doc_id: r for r in predict(table, model).collect()}
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang in rows)
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
-    assert {r.doc_id for r in keep_languages(table, model).collect()} == {i for i, _, _ in rows} | {903}
+    assert (got[None].lang_pred, got[904].lang_pred) == ("de", "en")
+    kept = keep_languages(table, model)
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([r[0] or -1 for r in rows] + [-1, 903, 904, 904])
     empty = fit(none, vocabulary("piece_bpe_32k.model"))
     assert {r.lang_pred for r in predict(table, empty).collect()} == {"und"}
 
@@ -268,7 +271,39 @@ def test_segmentations_are_summed():
         return np.log(ways[-1])
 
     words = ["▁the", "▁hello", "▁a", "zzzz", "▁straße", "世"]
-    assert np.allclose(_Lattice(words, trie).score(p)[:, 0], [brute_sum(w) for w in words])
+    assert np.allclose(_Lattice(words, trie).score(np.log(p))[:, 0], [brute_sum(w) for w in words])
+
+
+def test_long_and_rare_words_are_scored_whole():
+    from tessera.llm.langid import LanguageModel, _trie
+    from tessera.llm.words import strings
+
+    import pyarrow as pa
+
+    path = vocabulary("piece_bpe_32k.model")
+    trie = _trie(path)
+    rng = np.random.default_rng(2)
+    p = rng.random((len(trie.pieces) + 1, 2)) * 1e-9
+    m = LanguageModel(["x", "y"], path, p)
+    index = {x: i for i, x in enumerate(trie.pieces)}
+    longest = max(map(len, trie.pieces))
+
+    def brute_sum(word, lang):
+        ways = [0.0] + [-np.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            for begin in range(max(0, end - longest), end):
+                k = index.get(word[begin:end], len(trie.pieces) if end == begin + 1 else -1)
+                if k >= 0:
+                    ways[end] = np.logaddexp(ways[end], ways[begin] + np.log(p[k, lang]))
+        return ways[-1]
+
+    words = ["the" * 100, "\u4e16\u754c\u306e" * 60, "a", "\u1234" * 90, "x\u00a0y"]
+    assert np.allclose(m.word_scores(words), [[brute_sum("\u2581" + w, k) for k in range(2)] for w in words])
+    texts = ["a  the\tthe", "", None, words[0] + "\n" + words[1], "a"]
+    scores, n = m.text_scores(*strings(pa.array(texts)))
+    assert n.tolist() == [3, 0, 0, 2, 1]
+    each = dict(zip(["a", "the", words[0], words[1]], m.word_scores(["a", "the", words[0], words[1]])))
+    assert np.allclose(scores, [each["a"] + 2 * each["the"], [0, 0], [0, 0], each[words[0]] + each[words[1]], each["a"]])
 
 
 def test_quality(spark, none):
@@ -290,6 +325,67 @@ def test_quality(spark, none):
     assert {r.score for r in classify(table, labels.where("false")).collect()} == {0.5}
 
 
+def test_boosting_against_brute_force():
+    """Every split found by trying all cuts of all features on the node's rows, and every row walked node by node."""
+    from tessera.llm.quality import BINS, boost
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(150, 4)), 1)
+    x[:, 3] = 1
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    rounds, depth, rate, penalty = 5, 3, 0.3, 1.0
+    trees = boost(x, y, rounds, depth, rate, penalty)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(4)]
+    total = np.full(150, np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+
+    def grow(rows, level, g, h):
+        """{row: leaf value}"""
+        if level == depth:
+            return dict.fromkeys(rows, rate * sum(g[r] for r in rows) / (sum(h[r] for r in rows) + penalty))
+        best, cut = 1e-9, None
+        for f in range(4):
+            for at in edges[f]:
+                left = [r for r in rows if x[r, f] <= at]
+                gl, hl, gt, ht = (sum(v[r] for r in some) for some in (left, rows) for v in (g, h))
+                if hl >= 1e-3 and ht - hl >= 1e-3:
+                    gain = gl**2 / (hl + penalty) + (gt - gl) ** 2 / (ht - hl + penalty) - gt**2 / (ht + penalty)
+                    if gain > best + 1e-12:
+                        best, cut = gain, (f, at)
+        if cut is None:
+            return grow(rows, level + 1, g, h)
+        left = [r for r in rows if x[r, cut[0]] <= cut[1]]
+        return grow(left, level + 1, g, h) | grow([r for r in rows if x[r, cut[0]] > cut[1]], level + 1, g, h)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-total))
+        values = grow(list(range(150)), 0, y - p, p * (1 - p))
+        total = total + np.array([values[r] for r in range(150)])
+    assert np.allclose(trees.score(x), 1 / (1 + np.exp(-total)))
+
+    def walk(row):
+        out = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            out += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-out))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x])
+
+
+def test_quality_of_equal_and_null_ids(spark):
+    from tessera.llm.quality import classify
+
+    rows = [(i, f"good number {i}. " * (5 + i % 7), "a", 0.5) for i in range(40)] + [(100 + i, f"junk{i} " * 60, "b", 0.1) for i in range(40)]
+    rows += [(None, "good one. " * 9, "c", None), (None, None, "c", None), (3, "junk3 " * 60, "d", 1.0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, x string, score double")
+    labels = spark.createDataFrame([(i, int(i < 100), "l") for i in [*range(40), *range(100, 140)]] + [(None, 1, "l"), (5, None, "l"), (999, 0, "l")], "doc_id long, quality int, y string")
+    out = classify(table, labels).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 2 and sum(r.doc_id == 3 for r in out) == 2
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+
+
 def test_near_vectors(spark):
     from tessera.llm.embedding_dedup import near_vectors
 
@@ -379,6 +475,43 @@ def test_licenses(spark, none):
     assert key_words("a bb ccc dddd".split())
 
 
+def test_licenses_against_brute_force(spark):
+    """Edited notices: what the bands retrieve of all windows that reach the containment, and nothing else."""
+    from tessera.llm import licenses as L
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for i, text in enumerate(L.TEMPLATES.values()):
+        for k in range(4):
+            w = text.split()
+            for _ in range(len(w) * k // 40):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], [rng.choice(words)], [w[at], rng.choice(words)]])
+            rows.append((i * 10 + k, " ".join([*rng.choices(words, k=rng.randint(0, 40)), *w, *rng.choices(words, k=20)])))
+    rows += [(9000, "merchantability warranties software license license reserved"), (None, "All rights reserved. Licensed under the MIT License"), (None, "All rights reserved."), (7, "x"), (7, "All rights reserved")]
+    grams = lambda w: {tuple(w[i : i + L.SHINGLE]) for i in range(len(w) - L.SHINGLE + 1)}
+    want = {}
+    for doc, text in rows:
+        w = L._words(text)
+        for name, template in L.TEMPLATES.items():
+            t = grams(L._words(template))
+            size = L._size(L._words(template))
+            windows = [w[a : a + size + L.stride(size)] for a in range(0, max(1, len(w)), L.stride(size))]
+            best = max(len(t & grams(x)) / len(t) for x in windows)
+            if best >= L.CONTAINMENT:
+                want[doc, text, name] = best
+    by = {}
+    for (doc, _, name), best in want.items():
+        by.setdefault((doc, name), []).append(round(best, 9))
+    got = {}
+    for r in L.scan(spark.createDataFrame([(*r, "v") for r in rows], "doc_id long, text string, version string")).collect():
+        got.setdefault((r.doc_id, r.license), []).append(round(r.containment, 9))
+    assert set(got) <= set(by) and len(by) > 60
+    assert sum(sorted(got.get(k, [])) == sorted(v) for k, v in by.items()) >= 0.95 * len(by)
+    assert len(got[None, "all-rights-reserved"]) == 2 and len(got[7, "all-rights-reserved"]) == 1
+
+
 def test_leaks(spark, none):
     from tessera.llm.decontamination import drop_leaks, leaks
 
