@@ -1,32 +1,34 @@
 """Language identification by segmentation-marginalised unigram models.
 
 Every language has a probability for each piece of a fixed public vocabulary (a SentencePiece model file); the
-probability of a word is the sum over all its segmentations into pieces (forward algorithm), so no single
-segmentation is chosen. Piece probabilities come from expectation maximisation (forward-backward) on word counts
+probability of a word (a run between ASCII white space, of any length) is the sum over all its segmentations into pieces,
+by the forward algorithm in log space, so no single segmentation is chosen and no word is too long or too rare. Piece
+probabilities come from expectation maximisation (forward-backward) on word counts
 of a bounded, hash-chosen sample of the labelled training texts: about ``sample_chars`` characters a language.
-Scoring reads whole texts; a word's score is computed once per worker and reused.
+Scoring reads whole texts: words are hashed (64 bits) and looked up in a table per worker; a new word's score is computed once, and
+beyond ``KNOWN_CELLS`` numbers the table starts anew.
 
-Null labels are not learned. A text that is null or has no letter is ``und`` with score 0. The score is the
-posterior of the predicted language under equal priors (at long texts it is 1).
+Null labels are not learned. A text that is null or has no letter is ``und`` with score 0. The prediction is the most probable
+language under equal priors; the score is its posterior at the text's mean evidence per word, so it does not run to 1 with the
+length of a text (1 / languages: no evidence).
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.words import small_batches
+from tessera.llm.words import Table, slices, small_batches, strings, trim, word_spans
 
 WORD_START = "▁"
-#: Longest stretch scored as one word; a longer one is scored in stretches (no character is left out).
-STRETCH = 48
-KEPT_WORDS = 250_000
+KNOWN_CELLS, LATTICE_CELLS = 4_000_000, 300_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class _Trie:
@@ -64,11 +66,6 @@ def _trie(path: str) -> _Trie:
     return _Trie(path)
 
 
-def _stretches(word: str) -> list[str]:
-    word = WORD_START + word
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 class _Lattice:
     """Every way to begin a piece in many strings at once: arcs (begin, end, rows, pieces), begins ascending."""
 
@@ -95,35 +92,46 @@ class _Lattice:
                 alive = (nodes > 0) & (self.lengths[rows] > end)
                 rows, nodes = rows[alive], nodes[alive]
 
-    def forward(self, probabilities: np.ndarray) -> np.ndarray:
-        """alpha[position, row, language]: probability of all segmentations of the first ``position`` characters."""
-        alpha = np.zeros((self.width + 1, self.n, probabilities.shape[1]))
-        alpha[0] = 1
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """alpha[position, row, language]: log probability of all segmentations of the first ``position`` characters."""
+        alpha = np.full((self.width + 1, self.n, logs.shape[1]), -np.inf)
+        alpha[0] = 0
         for i, j, rows, piece in self.arcs:
-            alpha[j, rows] += alpha[i, rows] * probabilities[piece]
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logs[piece])
         return alpha
 
-    def score(self, probabilities: np.ndarray) -> np.ndarray:
-        alpha = self.forward(probabilities)
-        out = np.empty((self.n, probabilities.shape[1]))
-        out[self.order] = np.log(np.maximum(alpha[self.lengths, np.arange(self.n)], 1e-300))
+    def score(self, logs: np.ndarray) -> np.ndarray:
+        out = np.empty((self.n, logs.shape[1]))
+        out[self.order] = self.forward(logs)[self.lengths, np.arange(self.n)]
         return out
 
-    def expected(self, probabilities: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def expected(self, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (rows) by language (columns) under counts[text, language]."""
-        alpha = self.forward(probabilities)
-        whole = np.maximum(alpha[self.lengths, np.arange(self.n)], 1e-300)
-        weight = counts[self.order] / whole
-        beta = np.zeros_like(alpha)
-        beta[self.lengths, np.arange(self.n)] = 1
-        out = np.zeros_like(probabilities)
+        alpha = self.forward(logs)
+        whole = alpha[self.lengths, np.arange(self.n)]
+        weight = counts[self.order]
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.lengths, np.arange(self.n)] = 0
+        out = np.zeros_like(logs)
         for i, j, rows, piece in reversed(self.arcs):
-            onward = beta[j, rows] * probabilities[piece]
-            beta[i, rows] += onward
-            np.add.at(out, piece, alpha[i, rows] * onward * weight[rows])
+            onward = beta[j, rows] + logs[piece]
+            beta[i, rows] = np.logaddexp(beta[i, rows], onward)
+            np.add.at(out, piece, np.exp(alpha[i, rows] + onward - whole[rows]) * weight[rows])
         return out
 
 
+def _lattices(texts: list[str], trie: _Trie) -> Iterator[tuple[np.ndarray, _Lattice]]:
+    """(indexes, lattice) of texts of similar lengths, about ``LATTICE_CELLS`` characters at a time; a longer text stands alone."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(lengths, kind="stable")
+    a = 0
+    while a < len(order):
+        area = lengths[order[a:]] * np.arange(1, len(order) - a + 1)
+        b = a + max(1, int(np.searchsorted(area, LATTICE_CELLS, "right")))
+        yield order[a:b], _Lattice([texts[i] for i in order[a:b].tolist()], trie)
+        a = b
+
+
 @dataclass
 class LanguageModel:
     """probabilities: one row for each piece (the last: any character that is no piece), one column a language."""
@@ -133,48 +141,51 @@ class LanguageModel:
     probabilities: np.ndarray
 
     @functools.cached_property
-    def _known(self) -> dict[str, int]:
-        return {}
+    def _logs(self) -> np.ndarray:
+        return np.log(self.probabilities)
 
     @functools.cached_property
-    def _table(self) -> np.ndarray:
-        return np.zeros((0, len(self.languages)))
+    def _known(self) -> Table:
+        return Table(max(10_000, KNOWN_CELLS // max(1, len(self.languages))))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        parts = [(i, s) for i, w in enumerate(words) for s in _stretches(w)]
         out = np.zeros((len(words), len(self.languages)))
-        for a in range(0, len(parts), 20_000):
-            some = parts[a : a + 20_000]
-            scores = _Lattice([s for _, s in some], _trie(self.vocabulary)).score(self.probabilities)
-            np.add.at(out, np.fromiter((i for i, _ in some), np.int64, len(some)), scores)
+        for at, lattice in _lattices([WORD_START + w for w in words], _trie(self.vocabulary)):
+            out[at] = lattice.score(self._logs)
         return out
 
-    def text_scores(self, texts: list[str | None]) -> np.ndarray:
-        """Log probability of each whole text; words that the worker has met before are looked up."""
-        known = self._known
-        counts = [Counter(t.split()) if t else Counter() for t in texts]
-        fresh = list(dict.fromkeys(w for c in counts for w in c if w not in known))
-        extra: dict[str, int] = {}
-        if fresh:
-            room = max(0, KEPT_WORDS - len(known))
-            base = len(self._table)
-            scores = self.word_scores(fresh)
-            if room:
-                known.update((w, base + i) for i, w in enumerate(fresh[:room]))
-                self.__dict__["_table"] = np.concatenate((self._table, scores[:room]))
-            rest = scores[room:]
-            extra = {w: i for i, w in enumerate(fresh[room:])}
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, c in enumerate(counts):
-            if c:
-                times = np.fromiter(c.values(), np.float64, len(c))
-                if extra and not all(w in known for w in c):
-                    rows = np.stack([self._table[known[w]] if w in known else rest[extra[w]] for w in c])
-                else:
-                    rows = self._table[np.fromiter((known[w] for w in c), np.int64, len(c))]
-                out[i] = times @ rows
-        return out
+    def text_scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of each whole text in each language, its words) for UTF-8 rows of an Arrow buffer."""
+        hashes, first, starts, ends = word_spans(data, offsets)
+        words = np.diff(first)
+        if not len(hashes):
+            return np.zeros((len(words), len(self.languages))), words
+        hashes[hashes == 0] = 1
+        known, state = self._known, self.__dict__
+        raw = data[offsets[0] : offsets[-1]].tobytes()
+        table, n = state.get("_scores", np.zeros((1 << 12, len(self.languages)))), state.get("_held", 0)
+        unit = known.find(hashes)
+        fresh = np.flatnonzero(unit < 0)
+        new, at = np.unique(hashes[fresh], return_index=True)
+        if n + len(new) > known.slots // 2:
+            known.clear()
+            n, fresh = 0, np.arange(len(hashes))
+            new, at = np.unique(hashes, return_index=True)
+        at = fresh[at]
+        scores = self.word_scores([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        if n + len(new) > len(table):
+            table = np.concatenate((table, np.zeros((max(n + len(new) - len(table), len(table)), len(self.languages)))))
+        table[n : n + len(new)] = scores
+        unit[fresh] = n + np.searchsorted(new, hashes[fresh])
+        if n + len(new) <= known.slots // 2:
+            known.add(new, (n + np.arange(len(new))).astype(np.int32))
+            n += len(new)
+        state["_scores"], state["_held"] = table, n
+        out = np.zeros((len(words), len(self.languages)))
+        some = np.flatnonzero(words)
+        out[some] = np.add.reduceat(table[unit], first[some], axis=0)
+        return out, words
 
 
 def fit(
@@ -190,7 +201,7 @@ def fit(
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(draw < share[F.col("lang")])
     words = (
-        sample.select("lang", F.explode(F.split("text", r"[\s\x{1c}-\x{1f}\x{85}\x{a0}]+")).alias("word"))
+        sample.select("lang", F.explode(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")).alias("word"))
         .where("word <> ''")
         .groupBy("lang", "word")
         .count()
@@ -200,15 +211,14 @@ def fit(
     column = {name: i for i, name in enumerate(languages)}
     totals: dict[str, np.ndarray] = {}
     for name, word, count in words.itertuples(index=False):
-        for s in _stretches(word):
-            totals.setdefault(s, np.zeros(len(languages)))[column[name]] += count
+        totals.setdefault(WORD_START + word, np.zeros(len(languages)))[column[name]] += count
     texts = list(totals)
     counts = np.stack(list(totals.values())) if texts else np.zeros((0, len(languages)))
     length = np.array([len(p) for p in trie.pieces] + [1])
     probabilities = np.repeat((0.5**length / np.sum(0.5**length))[:, None], len(languages), 1)
-    blocks = [(_Lattice(texts[a : a + 20_000], trie), counts[a : a + 20_000]) for a in range(0, len(texts), 20_000)]
+    blocks = [(lattice, counts[at]) for at, lattice in _lattices(texts, trie)]
     for _ in range(rounds):
-        uses = sum((x.expected(probabilities, c) for x, c in blocks), np.zeros_like(probabilities)) + smoothing
+        uses = sum((x.expected(np.log(probabilities), c) for x, c in blocks), np.zeros_like(probabilities)) + smoothing
         probabilities = uses / uses.sum(0)
     return LanguageModel(languages, vocabulary, probabilities)
 
@@ -216,23 +226,26 @@ def fit(
 def _guesser(docs: DataFrame, model: LanguageModel):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for series in texts:
-            values = series.where(series.notna(), None).tolist()
-            names, scores = [], []
-            for a in range(0, len(values), 512):
-                some = values[a : a + 512]
-                for t, s in zip(some, m.text_scores(some), strict=True):
-                    if not t or not len(s) or not any(map(str.isalpha, t)):
-                        names.append("und")
-                        scores.append(0.0)
-                    else:
-                        best = int(s.argmax())
-                        names.append(m.languages[best])
-                        scores.append(float(1 / np.exp(s - s[best]).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+        names = pa.array([*m.languages, "und"], pa.string())
+        for column in texts:
+            data, offsets = strings(column)
+            best, score = np.full(len(column), len(m.languages)), np.zeros(len(column))
+            for a, b in slices(offsets, 1 << 19) if m.languages else ():
+                s, words = m.text_scores(data, offsets[a : b + 1])
+                counted = np.concatenate(([0], np.cumsum(_LETTER[data[offsets[a] : offsets[b]]])))
+                off = offsets[a : b + 1] - offsets[a]
+                lettered = counted[off[1:]] > counted[off[:-1]]
+                for i in np.flatnonzero(~lettered & (words > 0)).tolist():
+                    lettered[i] = any(map(str.isalpha, column[a + i].as_py()))
+                some = np.flatnonzero(lettered)
+                best[a + some] = s[some].argmax(1)
+                mean = (s[some] - s[some].max(1, keepdims=True)) / words[some, None]
+                score[a + some] = 1 / np.exp(mean).sum(1)
+            yield pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score)], ["lang_pred", "score"])
+        trim()
 
     return guess
 
@@ -243,13 +256,12 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", _guesser(docs, model)("text").alias("g")).select("doc_id", "g.lang_pred", "g.score")
 
 
-def keep_languages(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, min_score: float = 0.5) -> DataFrame:
+def keep_languages(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
     """Rows of ``docs`` in one of ``languages`` (all that the model knows, if not given) at ``min_score`` or more; ``und`` goes."""
     wanted = model.languages if languages is None else languages
-    docs = small_batches(docs)
-    judged = docs.withColumn("_language_guess", _guesser(docs, model)("text"))
-    good = F.col("_language_guess.lang_pred").isin(wanted) & (F.col("_language_guess.score") >= min_score)
-    return judged.where(good).select(docs.columns)
+    rows = small_batches(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
+    judged = rows.select("row", _guesser(docs, model)("text").alias("guess"))
+    return judged.where(F.col("guess.lang_pred").isin(wanted) & (F.col("guess.score") >= min_score)).select("row.*")
 
 
 def held_out() -> Column:

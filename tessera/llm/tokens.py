@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.words import BASE, BASE_INV, U, mix, powers, slices, strings
+from tessera.llm.words import BASE, BASE_INV, Table, U, mix, powers, slices, strings
 
 KNOWN, LONG, JOINED, CHUNK = 1_000_000, 64, 256, 1 << 19
 SPACES = np.zeros(256, bool)
@@ -33,40 +33,6 @@ _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-class _Table:
-    """64-bit hash -> number, by open addressing at half load at most."""
-
-    def __init__(self, most: int):
-        self.slots = 1 << (2 * most - 1).bit_length()
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.values = np.zeros(self.slots, U), np.zeros(self.slots, np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each hash, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        at = (h & U(self.slots - 1)).astype(np.int64)
-        left = np.arange(len(h))
-        while len(left):
-            seen = self.keys[at]
-            hit = seen == h[left]
-            out[left[hit]] = self.values[at[hit]]
-            go = ~hit & (seen != 0)
-            left, at = left[go], (at[go] + 1) & (self.slots - 1)
-        return out
-
-    def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Distinct hashes that are not in the table."""
-        at = (h & U(self.slots - 1)).astype(np.int64)
-        while len(h):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[free]
-            placed = self.keys[at] == h
-            self.values[at[placed]] = values[placed]
-            h, values, at = h[~placed], values[~placed], (at[~placed] + 1) & (self.slots - 1)
-
-
 class Encoder:
     """Ids of whole texts, as the library gives them without special tokens added."""
 
@@ -86,7 +52,7 @@ class Encoder:
         self.ends = self.tokenizer.normalizer is not None
         self.edge = np.zeros(max(names.values()) + 1, bool)
         self.edge[[i for name, i in names.items() if (name.endswith("</w>") if self.ends else name.startswith("Ġ"))]] = True
-        self.table = _Table(KNOWN)
+        self.table = Table(KNOWN)
         self._clear()
 
     def _clear(self) -> None:

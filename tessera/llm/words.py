@@ -115,13 +115,53 @@ def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
         a = min(b, n)
 
 
+class Table:
+    """64-bit hash -> number, by open addressing at half load at most."""
+
+    def __init__(self, most: int):
+        self.slots = 1 << (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(self.slots, U), np.zeros(self.slots, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        at = (h & U(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            seen = self.keys[at]
+            hit = seen == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (seen != 0)
+            left, at = left[go], (at[go] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not in the table."""
+        at = (h & U(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            placed = self.keys[at] == h
+            self.values[at[placed]] = values[placed]
+            h, values, at = h[~placed], values[~placed], (at[~placed] + 1) & (self.slots - 1)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the total); ``lower`` folds A-Z only."""
+    hashes, first, _, _ = word_spans(data, offsets, lower)
+    return hashes, first
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where each word begins and ends, counted from ``offsets[0]``."""
     data = data[offsets[0] : offsets[-1]]
     off = offsets - offsets[0]
     n = len(data)
     if not n:
-        return np.empty(0, U), np.zeros(len(off), np.int64)
+        return np.empty(0, U), np.zeros(len(off), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~SEPARATOR[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -130,7 +170,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     total = np.zeros(n + 1, U)
     np.cumsum((_LOWER if lower else _BYTE)[data] * powers(BASE, n), out=total[1:])
     hashes = mix((total[ends] - total[starts]) * powers(BASE_INV, n)[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, off)
+    return hashes, np.searchsorted(starts, off), starts, ends
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
