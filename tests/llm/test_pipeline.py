@@ -24,7 +24,7 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     left = [(i, t) for i, t, _ in texts if i not in (102, 103)]
-    near = brute.near_duplicates(left)
+    near = brute.near_duplicates(left, 80)
     left = [(i, t) for i, t in left if near[i][2]]
     seen, cleaned = set(), []
     for i, t in sorted(left):
@@ -41,3 +41,21 @@ def test_run(spark, tmp_path):
     got = {r.doc_id: r.ids_crc32 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "MinHash near-dedup"
+
+
+def test_repeated_rows_null_ids_and_empty_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(["the", "and", "thing", "ring", "other"]) + rng.choice(["er", "ing", "s", "y"]) + str(i % 7) for i in range(n))
+    texts = [say(60) for _ in range(8)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(2, texts[2], "en"), (3, say(60), "en"), (None, say(60), "en"), (None, say(60), None), (None, None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, version string, doc_id_key long"
+    whole = spark.createDataFrame([(*r, "s", len(r[1] or ""), "v", 1) for r in rows], names)
+    for name, table, want in (("some", whole, [*range(8), 3, None, None]), ("none", whole.where("false"), [])):
+        folder = tmp_path / name
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, say(30))] if want else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
