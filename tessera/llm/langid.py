@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.llm.words import Table, slices, small_batches, strings, trim, word_spans
 
 WORD_START = "▁"
-KNOWN_CELLS, LATTICE_CELLS = 4_000_000, 300_000
+KNOWN_CELLS, LATTICE_CELLS = 2_000_000, 150_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
