@@ -9,7 +9,7 @@ PATTERNS = {
     "confusion": r"(?i)I'm not sure|I am not sure|Could you clarify|Can you clarify|I need more information|Can you provide more context|I don't understand|I do not understand|What do you mean by|Please specify|Could you be more specific|I'm uncertain|It's unclear|I cannot determine",
     "success": r"(?i)Done\.|I've (completed|finished|implemented|fixed|created|added|updated)|I have (completed|finished|implemented|fixed|created|added|updated)|The (task|change|fix|feature|update|implementation) is complete|Successfully (completed|implemented|fixed|created|added|updated)|Changes have been (made|applied|committed)|All (tests|checks) pass|Here's the (completed|updated|fixed)",
     "error": r"(?i)Error:|Exception:|Traceback|failed with|cannot (find|locate|access)|does not exist|permission denied|syntax error|undefined|not found",
-    "commit": r"(?i)git commit|committed|Created commit",
+    "commit": r"(?i)git commit|committed|Created commit|\[.+\]\s+\w+",
     "tests": r"(?i)tests? passed|all tests|pytest.*passed|OK \([0-9]+ tests?\)|[0-9]+ passed|PASSED",
     "clarification": r"(?i)could you clarify|can you clarify|i'm not sure|i am not sure|i need more information|can you provide more context|what do you mean by|please specify|could you be more specific|it's unclear|i cannot determine",
     "error_signal": r"(?i)(^|[ >|\]])(error|errno|fatal|panic|exception|traceback)[ \t]*[:(]|[A-Za-z0-9_]*(error|exception)[ \t]*:|command not found|no such file|permission denied|failed to|unable to|could not",

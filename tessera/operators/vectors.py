@@ -78,3 +78,44 @@ def linking_edges(vectors: DataFrame, bar: float) -> DataFrame:
         return pa.table({"a": ids[label[found]], "b": ids[found]})
 
     return _block_pairs(vectors, stars, "a long, b long").distinct()
+
+
+def band_pairs(vectors: DataFrame, low: float, high: float, most: int) -> DataFrame:
+    """(a, b, similarity): the first ``most`` pairs a < b of a group with a cosine in [low, high), in order; a block sends no more than that."""
+
+    def first(table: pa.Table) -> pa.Table:
+        ids, x = _units(table)
+        x, ids = x[np.argsort(ids)], np.sort(ids)
+        out: list[tuple] = []
+        for at in range(0, len(x), CHUNK):
+            near = x[at : at + CHUNK] @ x.T
+            i, j = np.nonzero((near >= low) & (near < high) & (ids[at : at + CHUNK, None] < ids[None, :]))
+            out += list(zip(ids[at + i].tolist(), ids[j].tolist(), near[i, j].tolist(), strict=True))[: most - len(out)]
+            if len(out) >= most:
+                break
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64()), "similarity": pa.array([r[2] for r in out], pa.float64())})
+
+    pairs = _block_pairs(vectors, first, "a long, b long, similarity double").distinct().dropDuplicates(["a", "b"])
+    return pairs.orderBy("a", "b").limit(most).withColumn("similarity", F.round("similarity", 6))
+
+
+def best_other(vectors: DataFrame, owner: str) -> DataFrame:
+    """(id, ``owner``, other, similarity): each vector's largest cosine with the vectors of every other owner (an int, few of them), by blocks of all vectors."""
+    rows = vectors.select("id", (F.col(owner).cast("long") * 0).alias("grp"), F.concat("vector", F.array(F.col(owner).cast("double"))).alias("vector"))
+
+    def largest(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        raw = np.array(table["vector"].to_pylist(), np.float64)
+        owners, x = raw[:, -1].astype(np.int64), raw[:, :-1]
+        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        out = []
+        for other in np.unique(owners).tolist():
+            theirs, mine = x[owners == other], np.flatnonzero(owners != other)
+            for at in range(0, len(mine), CHUNK):
+                some = mine[at : at + CHUNK]
+                out.append((ids[some], owners[some], np.full(len(some), other), (x[some] @ theirs.T).max(1)))
+        columns = [np.concatenate([o[k] for o in out]) if out else np.empty(0) for k in range(4)]
+        return pa.table({"id": pa.array(columns[0], pa.int64()), "own": pa.array(columns[1], pa.int64()), "other": pa.array(columns[2], pa.int64()), "similarity": pa.array(columns[3], pa.float64())})
+
+    best = _block_pairs(rows, largest, "id long, own long, other long, similarity double").groupBy("id", "own", "other").agg(F.max("similarity").alias("similarity"))
+    return best.select("id", F.col("own").cast("int").alias(owner), F.col("other").cast("int").alias("other"), "similarity")

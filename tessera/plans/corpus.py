@@ -22,16 +22,31 @@ def generalize_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_generalize(text: str) -> str:
+    """The canonical form, its values written out; this engine's word bounds are ASCII, so letters beyond get a mark of a word first."""
+    word = r"[\p{L}\p{N}_]"
+    before, after = f"(^|[^{word[1:-1]}])", f"($|[^{word[1:-1]}])"
+
+    def swap(x: str, body: str, put: str) -> str:
+        spread = f"regexp_replace({x}, '([^{word[1:-1]}])', chr(1) || '\\1' || chr(1), 'g')"
+        inner = body.replace(" ", chr(1) + " " + chr(1)) if body.startswith("(?i)") else body
+        flags, inner = ("(?i)", inner[4:]) if inner.startswith("(?i)") else ("", inner)
+        return f"replace(regexp_replace({spread}, '{flags}(^|{chr(1)})(?:{inner})($|{chr(1)})', '\\1{put}\\2', 'g'), chr(1), '')"
+
     out = text
-    for pattern, mark in T.ABSTRACTIONS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mark.replace('$', chr(92))}', 'g')"
-    for canonical, words in T.VERBS.items():
-        # the right edge is consumed by this engine, so neighbours are split by doubling separators first
-        spread = f"regexp_replace({out}, '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(1), 'g')"
-        swapped = f"regexp_replace({spread}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(words)})($|[^\\p{{L}}\\p{{N}}_])', '\\1{canonical}\\3', 'g')"
-        if any(" " in w for w in words):
-            swapped = f"regexp_replace({spread}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(w.replace(' ', ' ' + chr(1)) for w in words)})($|[^\\p{{L}}\\p{{N}}_])', '\\1{canonical}\\3', 'g')"
-        out = f"replace({swapped}, chr(1), '')"
+    for body, put in (
+        (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
+        (r"(?:[A-Za-z]:)?(?:[\\/][\p{L}\p{N}_.-]+){2,}", "<path>"),
+    ):
+        out = f"regexp_replace({out}, '{body}', '{put}', 'g')"
+    out = swap(out, "[0-9a-f]{7,64}", "<hash>")
+    out = f"regexp_replace(regexp_replace({out}, '{before}(v?[0-9]+(?:\\.[0-9]+){{1,3}}(?:-[\\p{{L}}\\p{{N}}_.+-]*[\\p{{L}}\\p{{N}}_])?){after}', '\\1<version>\\3', 'g'), '{before}(v?[0-9]+(?:\\.[0-9]+){{1,3}}(?:-[\\p{{L}}\\p{{N}}_.+-]*[\\p{{L}}\\p{{N}}_])?){after}', '\\1<version>\\3', 'g')"
+    out = swap(out, "[0-9]{5,}", "<n>")
+    for body, put in (
+        ("(?i)log in|sign in", "authenticate"), ("(?i)get|fetch|retrieve|obtain|pull|download|load", "fetch"), ("(?i)send|submit|post|push|upload|transmit", "send"),
+        ("(?i)create|make|build|add|new", "create"), ("(?i)delete|remove|drop|destroy|erase", "delete"), ("(?i)update|modify|change|edit|patch|alter", "update"),
+        ("(?i)validate|verify|check|test|confirm|assert", "validate"), ("(?i)authenticate|auth|login|signin", "authenticate"),
+    ):
+        out = swap(out, body, put)
     out = f"regexp_replace({out}, '`[^`]*`|\"[^\"]*\"', '<q>', 'g')"
     return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
@@ -161,14 +176,10 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(red, 256).alias("redacted_sha256"), (red != F.col("text")).alias("changed"))
 
 
-def _sql_redact(text: str) -> str:
-    for pattern, mark in T.SECRETS:
-        p = pattern.replace("'", "''")
-        text = f"regexp_replace({text}, '{p}', '{mark.replace('$1', chr(92) + '1')}', 'g')"
-    return text
-
-
-REDACT = f"select doc_id, sha256(r) as redacted_sha256, r <> text as changed from (select doc_id, text, {_sql_redact('text')} as r from documents)"
+REDACT = r"""select doc_id, sha256(r) as redacted_sha256, r <> text as changed from (select doc_id, text,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{20,}\b', '[REDACTED]', 'g'), '\bAKIA[A-Z0-9]{16}\b', '[REDACTED]', 'g'),
+    '\bghp_[A-Za-z0-9]{20,}\b', '[REDACTED]', 'g'), '\bxox[baprs]-[A-Za-z0-9-]{10,}\b', '[REDACTED]', 'g'),
+    '(?i)\b(password|passwd|api[_-]?key|access[_-]?token|secret)\s*[:=]\s*([^\s,;]+)', '\1=[REDACTED]', 'g') as r from documents)"""
 
 
 def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
