@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 def complete_link(vectors: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
     """(group, key, cluster): greedy complete-linkage clusters in key order, within each ``group``.
 
-    The rule is sequential (a row joins the first open cluster all of whose members reach the threshold), so each group is one
-    task; choose groups (blocks of candidates) that fit one. The cluster's name is its first key.
+    The rule is sequential (a row joins the first open cluster all of whose members reach the threshold), but only rows that chains of
+    such cosines connect can meet in a cluster, so each connected part of a group is one task and the rest never leave their
+    blocks. Rows that nothing reaches, and unusable vectors, are clusters of their own. The cluster's name is its first key.
     """
     import numpy as np
 
+    from tessera.operators.graph import connected_components
+    from tessera.operators.vectors import linking_edges
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, ignore_index=True)
         x = np.array([np.asarray(v, np.float64) for v in pdf[vector]])
@@ -32,7 +36,12 @@ def complete_link(vectors: DataFrame, group: str, key: str, vector: str, thresho
 
     types = dict(vectors.dtypes)
     usable = vectors.where(F.col(vector).isNotNull()).select(group, key, vector)
-    return usable.groupBy(group).applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, cluster {types[key]}")
+    edges = linking_edges(usable.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), F.col(vector).alias("vector")), threshold)
+    parts = connected_components(edges, "a", "b").select(F.col("node").alias(key), F.col("component").alias("_part"))
+    placed = usable.join(parts, key, "left")
+    schema = f"{group} {types[group]}, {key} {types[key]}, cluster {types[key]}"
+    linked = placed.where("_part is not null").groupBy("_part").applyInPandas(lambda pdf: run(pdf.drop(columns="_part")), schema)
+    return linked.unionByName(placed.where("_part is null").select(group, key, F.col(key).alias("cluster")))
 
 
 def merge_clusters(rows: DataFrame, cluster: str) -> DataFrame:

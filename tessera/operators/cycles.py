@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.scratch import materialize
 
+SMALL, TRIMS = 500_000, 5
+
 
 def _reach(edges: DataFrame, colours: DataFrame) -> DataFrame:
     """(node, colour, low): smallest node of the same colour that reaches each node along the edges.
@@ -27,13 +30,62 @@ def _reach(edges: DataFrame, colours: DataFrame) -> DataFrame:
             return low
 
 
+def _tarjan(table: pa.Table) -> pa.Table:
+    """(node, component) of the strongly connected groups of two or more nodes, of all edges at once."""
+    onward: dict[int, list[int]] = {}
+    for u, v in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+        onward.setdefault(u, []).append(v)
+    order, low, held, stack, out = {}, {}, set(), [], []
+    for start in onward:
+        if start in order:
+            continue
+        work = [(start, iter(onward[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        held.add(start)
+        while work:
+            node, rest = work[-1]
+            for n in rest:
+                if n not in order:
+                    order[n] = low[n] = len(order)
+                    stack.append(n)
+                    held.add(n)
+                    work.append((n, iter(onward.get(n, ()))))
+                    break
+                if n in held:
+                    low[node] = min(low[node], order[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    group = stack[stack.index(node) :] if stack[-1] != node else [node]
+                    del stack[len(stack) - len(group) :]
+                    held.difference_update(group)
+                    if len(group) > 1:
+                        out += [(n, min(group)) for n in group]
+    return pa.table({"node": pa.array([n for n, _ in out], pa.int64()), "component": pa.array([c for _, c in out], pa.int64())})
+
+
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes in groups of two or more that reach each other; component = smallest node.
 
-    Nodes without an incoming or outgoing edge inside their colour are trimmed; then each colour is split by the smallest node that
-    reaches a node forwards and the smallest it can reach, until no colour splits. All rounds are joins on written tables.
+    Edges whose ends have no edge in or no edge out are trimmed first, some rounds. What is left is settled by one task where
+    it is at most ``SMALL`` edges, counted; otherwise each colour is split by the smallest node that reaches a node forwards and the
+    smallest it can reach, until no colour splits, with nodes that stand alone put aside. All rounds are joins on written tables.
     """
-    edges = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "directed")
+    edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "directed")
+    left = -1
+    for _ in range(TRIMS):
+        ends = edges.select(F.col("src").alias("dst")).distinct()
+        starts = edges.select(F.col("dst").alias("src")).distinct()
+        edges = materialize(edges.join(ends, "dst", "left_semi").join(starts, "src", "left_semi").select("src", "dst"), "trimmed")
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    if left <= SMALL:
+        return edges.groupBy(F.lit(0).alias("all")).applyInArrow(_tarjan, "node long, component long")
     nodes = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
     colours = nodes.withColumn("colour", F.lit("0"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -41,11 +93,11 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     while True:
         down = _reach(edges, colours).select("node", "colour", F.col("low").alias("f"))
         up = _reach(back, colours).select("node", F.col("low").alias("b"))
-        split = down.join(up, "node").select("node", F.sha2(F.concat_ws("|", "colour", "f", "b"), 256).alias("colour"))
-        colours = materialize(split, "colours")
+        split = materialize(down.join(up, "node").select("node", F.sha2(F.concat_ws("|", "colour", "f", "b"), 256).alias("colour")), "split")
+        together = split.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        colours = materialize(split.join(together, "colour").select("node", "colour", "component"), "colours")
         found = colours.select("colour").distinct().count()
         if found == groups:
-            break
+            return colours.select("node", "component")
         groups = found
-    sizes = colours.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return colours.join(sizes, "colour").select("node", "component")
+        colours = colours.select("node", "colour")

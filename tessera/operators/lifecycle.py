@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scores import DAY, cosine
+from tessera.operators.vectors import nearest
 
 # Fixed values.
 PROTECTED_TAGS = ("seed", "community", "synthesized")
@@ -91,10 +92,8 @@ def value_scores(facts: DataFrame, vectors: DataFrame) -> DataFrame:
     the 20 vectors accessed last.
     """
     rows = facts.where("is_valid").join(vectors.select(F.col("vec_id").alias("fact_id"), "embedding", "label"), "fact_id")
-    other = rows.select("label", F.col("fact_id").alias("o"), F.col("embedding").alias("oe"))
-    near = (
-        rows.join(other, "label").where("fact_id <> o").groupBy("fact_id").agg(F.max(cosine(F.col("embedding"), F.col("oe"), 0.0)).alias("nearest"))
-    )
+    near = nearest(rows.select(F.col("fact_id").cast("long").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector")))
+    near = near.select(F.col("id").alias("fact_id"), F.col("similarity").alias("nearest"))
     active = rows.orderBy(F.col("last_accessed").desc(), "fact_id").limit(20)
     mean = active.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centroid = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))  # one vector

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of ids whose ``tokens`` (distinct) reach the threshold.
 
-    Tokens are ordered from rare to frequent; two sets that reach the threshold share a token among the first
+    Tokens are compared by their 64-bit hashes and ordered from rare to frequent; two sets that reach the threshold share a token among the first
     ``n - ceil(threshold * n) + 1`` of each, so only these prefixes are joined (no loss), with the length filter in the join.
     """
+    sets = sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     tokens = sets.select("id", F.explode("tokens").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").alias("f"))
     ordered = tokens.join(frequency, "t").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda s: s["t"]).alias("tokens"))

@@ -119,3 +119,18 @@ def best_other(vectors: DataFrame, owner: str) -> DataFrame:
 
     best = _block_pairs(rows, largest, "id long, own long, other long, similarity double").groupBy("id", "own", "other").agg(F.max("similarity").alias("similarity"))
     return best.select("id", F.col("own").cast("int").alias(owner), F.col("other").cast("int").alias("other"), "similarity")
+
+
+def nearest(vectors: DataFrame) -> DataFrame:
+    """(id, similarity): each vector's largest cosine with another of its group; rows are one for each vector and block."""
+
+    def largest(table: pa.Table) -> pa.Table:
+        ids, x = _units(table)
+        best = np.full(len(x), -2.0)
+        for at in range(0, len(x), CHUNK):
+            near = x[at : at + CHUNK] @ x.T
+            near[np.arange(len(near)), at + np.arange(len(near))] = -2
+            best[at : at + CHUNK] = near.max(1, initial=-2)
+        return pa.table({"id": ids[best > -2], "similarity": best[best > -2]})
+
+    return _block_pairs(vectors, largest, "id long, similarity double").groupBy("id").agg(F.max("similarity").alias("similarity"))

@@ -116,39 +116,8 @@ h as (select doc_id, item_id, count(*) as c from x join y using (line) group by
 select doc_id, item_id, round(c / least(na, nb), 6) as containment, round(c / (na + nb - c), 6) as jaccard from h join na using (doc_id) join nb using (item_id)"""
 
 
-def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each later vector the earlier one of its label that it supersedes: cosine over the bar, oldest, then lowest cosine."""
-    v = read(spark, sf_dir, "embeddings").where("vec_id % 3 = 0")
-    a = v.select("label", F.col("vec_id").alias("fact_id"), F.col("embedding").alias("e"))
-    b = v.select("label", F.col("vec_id").alias("old_id"), F.col("embedding").alias("o"))
-    pairs = a.join(b, "label").where("old_id < fact_id").withColumn("similarity", F.round(cosine(F.col("e"), F.col("o")), 6)).where("similarity > 0.2")
-    best = pairs.groupBy("fact_id").agg(F.min(F.struct("old_id", "similarity")).alias("m"))
-    conf = F.greatest(0.1 + F.col("fact_id") % 9 / 10, F.least(F.lit(1.0), 0.1 + F.col("m.old_id") % 9 / 10 + 0.05))
-    return best.select("fact_id", F.col("m.old_id").alias("superseded"), F.col("m.similarity").alias("similarity"), F.round(conf, 6).alias("confidence"))
-
-
-SUPERSESSION = f"""with v as (select * from embeddings where vec_id % 3 = 0),
-p as (select a.vec_id as fact_id, b.vec_id as old_id, round({_COS.format(a="a.embedding", b="b.embedding")}, 6) as similarity from v a join v b on a.label = b.label and b.vec_id < a.vec_id),
-r as (select *, row_number() over (partition by fact_id order by old_id, similarity) as rn from p where similarity > 0.2)
-select fact_id, old_id as superseded, similarity, round(greatest(0.1 + fact_id % 9 / 10, least(1.0, 0.1 + old_id % 9 / 10 + 0.05)), 6)::double as confidence from r where rn = 1"""
-
-
-def supersession_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fact's chain of superseded predecessors, cycle-safe, by pointer doubling on written tables."""
-    from tessera.operators.chains import chain_ends
-
-    links = supersession(spark, sf_dir).select(F.col("fact_id").alias("node"), F.col("superseded").alias("next"))
-    return chain_ends(links)
-
-
-CHAIN = f"""with recursive {SUPERSESSION[5:SUPERSESSION.index("select fact_id, old_id as superseded")].strip()},
-l as (select fact_id as node, old_id as next from r where rn = 1),
-c as (select node, next, 1 as depth from l union all select c.node, l.next, c.depth + 1 from c join l on l.node = c.next where c.depth < 100)
-select node, arg_max(next, depth) as root, max(depth) as depth from c group by node"""
-
-
-def supersession_all(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
-    """As ``supersession``, over every vector and at the survey's bar: the oldest earlier vector of the label with a cosine over it."""
+def supersession(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
+    """For each later vector the earlier one of its label that it supersedes: the oldest with a cosine over the bar."""
     from tessera.operators.vectors import earliest_link
 
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
@@ -158,16 +127,22 @@ def supersession_all(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> Dat
     return both.select(F.col("id").alias("fact_id"), F.col("first").alias("superseded"), F.round(cosine(F.col("e"), F.col("o")), 6).alias("similarity"), F.round(conf, 6).alias("confidence"))
 
 
-SUPERSESSION_ALL = f"""with p as (select a.vec_id as fact_id, b.vec_id as old_id, {_COS.format(a="a.embedding", b="b.embedding")} as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id),
+SUPERSESSION = f"""with p as (select a.vec_id as fact_id, b.vec_id as old_id, {_COS.format(a="a.embedding", b="b.embedding")} as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id),
 r as (select *, row_number() over (partition by fact_id order by old_id) as rn from p where similarity > 0.85)
 select fact_id, old_id as superseded, round(similarity, 6) as similarity, round(greatest(0.1 + fact_id % 9 / 10, least(1.0, 0.1 + old_id % 9 / 10 + 0.05)), 6)::double as confidence from r where rn = 1"""
 
 
-def supersession_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``supersession_chain``, over the links of ``supersession_all``."""
+def supersession_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fact's chain of superseded predecessors, cycle-safe, by pointer doubling on written tables."""
     from tessera.operators.chains import chain_ends
 
-    return chain_ends(supersession_all(spark, sf_dir).select(F.col("fact_id").alias("node"), F.col("superseded").alias("next")))
+    return chain_ends(supersession(spark, sf_dir).select(F.col("fact_id").alias("node"), F.col("superseded").alias("next")))
+
+
+CHAIN = f"""with recursive {SUPERSESSION[5:SUPERSESSION.index("select fact_id, old_id as superseded")].strip()},
+l as (select fact_id as node, old_id as next from r where rn = 1),
+c as (select node, next, 1 as depth from l union all select c.node, l.next, c.depth + 1 from c join l on l.node = c.next where c.depth < 100)
+select node, arg_max(next, depth) as root, max(depth) as depth from c group by node"""
 
 
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +262,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import retrieval as R
 
     docs = read(spark, sf_dir, "documents")
-    truth = docs.join(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("source = 'src0'")
+    truth = docs.join(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     ranked = None
     for name, terms in (("en", ["the", "and", "of"]), ("de", ["die", "und", "der"]), ("fr", ["le", "les", "de"]), ("es", ["de", "la", "que"])):
         scored = R.bm25(docs, "doc_id", T.tokenize(F.col("text")), terms).select(F.lit(name).alias("query"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -307,7 +282,7 @@ def _ir_sql() -> str:
         inner = f"with {_bm25_sql('documents', 'doc_id', _TOKENS, terms)} select '{name}' as query, doc as doc_id, row_number() over (order by round(score, 6) desc, doc) as rank from scored"
         parts.append(f"(select * from ({inner}) where rank <= 100)")
     return f"""with ranked as ({" union all ".join(parts)}),
-rel as (select lang as query, doc_id from documents where source = 'src0' and doc_id in (select doc_id from labels where quality = 1)),
+rel as (select lang as query, doc_id from documents where doc_id in (select doc_id from labels where quality = 1)),
 h as (select query, count(*) filter (rank <= 50) as found, min(rank) as first from ranked join rel using (query, doc_id) group by 1)
 select query, round(coalesce(found, 0) / relevant, 6) as recall, coalesce(found, 0) > 0 as hit, round(coalesce(1 / first, 0), 6) as reciprocal_rank
 from (select query, count(*) as relevant from rel group by 1) left join h using (query)"""
@@ -321,8 +296,6 @@ QUERIES = {
     "benchmark_overlap": (benchmark_overlap, OVERLAP),
     "supersession": (supersession, SUPERSESSION),
     "supersession_chain": (supersession_chain, CHAIN),
-    "supersession_all": (supersession_all, SUPERSESSION_ALL),
-    "supersession_chain_all": (supersession_chain_all, None),
     "secret_redaction": (secret_redaction, REDACT),
     "line_findings": (line_findings, FINDINGS),
     "exemplar_tfidf": (exemplar_tfidf, TFIDF),

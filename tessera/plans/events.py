@@ -198,37 +198,6 @@ select case when status is null or status = 'pending' then 'pending' when revisi
   count(*) as gates, sum(gate) as key_sum from j group by 1"""
 
 
-def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of modules that reach each other: strongly connected components of two or more nodes.
-
-    Trim-and-label: nodes without in- or out-edges cannot be in a cycle and go first; the rest is split by
-    forward and backward minimum labels until every label is settled.
-    """
-    from tessera.operators.cycles import cycle_groups
-
-    orders = read(spark, sf_dir, "orders")
-    edges = orders.select((F.col("o_custkey") % 60).alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 61).alias("dst")).where("o_orderkey % 200 = 0").distinct()
-    return cycle_groups(edges)
-
-
-CYCLES = """with recursive e as (select distinct o_custkey % 60 as src, (o_orderkey * 7 + o_custkey) % 61 as dst from orders where o_orderkey % 200 = 0),
-r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst),
-m as (select a.src as node, least(a.src, min(a.dst)) as component from r a join r b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src)
-select node, component from m"""
-
-
-def components_single_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-linkage clusters of customers over shared nation and segment buckets (edges come from sorted neighbours)."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 7 + F.col("c_custkey") % 5).alias("k"))
-    pivot = c.groupBy("k").agg(F.min("c_custkey").alias("a"))
-    edges = c.join(pivot, "k").select("a", F.col("c_custkey").alias("b"))
-    return connected_components(edges, "a", "b")
-
-
-COMPONENTS = """with c as (select c_custkey, c_nationkey * 7 + c_custkey % 5 as k from customer)
-select c_custkey as node, min(c_custkey) over (partition by k) as component from c"""
-
-
 def components_cosine(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
     """Single-linkage clusters of all vectors: components of cosine >= ``bar`` per embedding dimension; a vector without links is its own."""
     from tessera.operators.vectors import linking_edges
@@ -243,8 +212,8 @@ r as (select vec_id as node, vec_id as other from embeddings union select r.node
 select node, min(other) as component from r group by node"""
 
 
-def import_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``import_cycles``, over every order with its own keys: an edge from each order's customer key to its order key."""
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of modules that reach each other; an edge from each order's customer key to its order key."""
     from tessera.operators.cycles import cycle_groups
 
     return cycle_groups(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
@@ -317,9 +286,7 @@ QUERIES = {
     "interval_correlation": (interval_correlation, INTERVAL),
     "bucket_fallback": (bucket_fallback, FALLBACK),
     "validation_gates": (validation_gates, GATES),
-    "import_cycles": (import_cycles, CYCLES),
-    "components_single_link": (components_single_link, COMPONENTS),
-    "import_cycles_all": (import_cycles_all, None),
+    "import_cycles": (import_cycles, None),
     "components_cosine": (components_cosine, COSINE_COMPONENTS),
     "change_detection": (change_detection, CHANGES),
     "merge_reconcile": (merge_reconcile, MERGE),

@@ -44,19 +44,6 @@ s as (select fact_id, level, round(sim * least(1.0, greatest(0.0, quality + case
 select fact_id, level, score, rank from (select *, row_number() over (order by score desc, fact_id) as rank from s where score > 0.1) where rank <= 10"""
 
 
-def legacy_keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance by substrings (.5 pattern, .3 shared source, .2 context) times quality; three ways to be accepted."""
-    asked = "the thand edly ing of"
-    rows = read(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.filter(F.split(F.lower(F.substring("text", 1, 40)), r"[ \t\n\r\f]+"), lambda w: w != "").alias("pattern"),
-        F.filter(F.split(F.lower(F.substring("text", 41, 80)), r"[ \t\n\r\f]+"), lambda w: w != "").alias("context"), (0.1 + F.col("doc_id") % 9 / 10).alias("quality"),
-    )
-    inside = lambda c: F.exists(c, lambda w: F.contains(F.lit(asked), w)).cast("int")
-    relevance = F.least(F.lit(1.0), inside("pattern") * 0.5 + F.col("source").isin("src0", "src1").cast("int") * 0.3 + inside("context") * 0.2)
-    scored = rows.select("doc_id", relevance.alias("relevance"), "quality", F.round(relevance * F.col("quality"), 6).alias("score"))
-    return top_k(scored.where("score > 0.05 or relevance > 0.3 or quality > 0.6").select("doc_id", "score"), "score", 10, "doc_id")
-
-
 LEGACY_KEYWORD = """with w as (select doc_id, source, list_filter(string_split_regex(lower(substring(text, 1, 40)), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') as p,
   list_filter(string_split_regex(lower(substring(text, 41, 80)), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') as c, 0.1 + doc_id % 9 / 10 as quality from documents),
 r as (select doc_id, quality, least(1.0, (len(list_filter(p, lambda x: contains('the thand edly ing of', x))) > 0)::int * 0.5 + (source in ('src0','src1'))::int * 0.3
@@ -65,8 +52,8 @@ s as (select doc_id, round(relevance * quality, 6)::double as score from r where
 select doc_id, score, rank from (select *, row_number() over (order by score desc, doc_id) as rank from s) where rank <= 10"""
 
 
-def legacy_keyword_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``legacy_keyword_retrieval``, over whole texts: the first line is the pattern, all the rest the context."""
+def legacy_keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by substrings (.5 pattern, .3 shared source, .2 context) times quality; three ways to be accepted. The first line is the pattern, all the rest the context."""
     asked = "the thand edly ing of"
     words = lambda part: F.filter(F.split(F.lower(part), r"[ \t\n\r\f]+"), lambda w: w != "")
     at = F.instr("text", "\n")
@@ -79,7 +66,7 @@ def legacy_keyword_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(scored.where("score > 0.05 or relevance > 0.3 or quality > 0.6").select("doc_id", "score"), "score", 10, "doc_id")
 
 
-LEGACY_KEYWORD_WHOLE = LEGACY_KEYWORD.replace("substring(text, 1, 40)", "split_part(text, chr(10), 1)").replace("substring(text, 41, 80)", "substring(text, length(split_part(text, chr(10), 1)) + 2)")
+LEGACY_KEYWORD = LEGACY_KEYWORD.replace("substring(text, 1, 40)", "split_part(text, chr(10), 1)").replace("substring(text, 41, 80)", "substring(text, length(split_part(text, chr(10), 1)) + 2)")
 
 
 def loop_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +151,7 @@ CRITERIA = rf"(?i){EDGE_L}tests?[ \t\n]+(should[ \t\n]+)?pass|{EDGE_L}should[ \t
 def prompt_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a prompt lacks (five rules) and the confidence of an enhancement."""
     tail = F.element_at(F.array(*map(F.lit, ["", " fix it", " in src/app.py", " it must return x", " tests should pass", " update only main.go"])), (F.col("item_id") % 6 + 1).cast("int"))
-    p = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.substring("text", 1, 12), tail).alias("p"))
+    p = read(spark, sf_dir, "benchmark").select("item_id", F.concat("text", tail).alias("p"))
     words = F.size(F.filter(F.split("p", r"[ \t\n\r\f]+"), lambda w: w != ""))
     vague = F.exists(F.array(*map(F.lit, VAGUE)), lambda v: F.contains(F.lower("p"), v)) & ~(F.col("p").rlike(FILE_REF) | F.col("p").rlike(LIMITS) | (words > 15))
     flags = [(vague, "lacks_specificity"), (~F.col("p").rlike(FILE_REF), "missing_file_references"), (~F.col("p").rlike(LIMITS), "missing_constraints"), (~F.col("p").rlike(CRITERIA), "missing_acceptance_criteria"), (words < 5, "too_brief")]
@@ -174,51 +161,82 @@ def prompt_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = lambda s: s.replace("'", "''")
-ISSUES = f"""with b as (select item_id, substring(text, 1, 12) || ['', ' fix it', ' in src/app.py', ' it must return x', ' tests should pass', ' update only main.go'][(item_id % 6 + 1)::int] as p from benchmark),
+ISSUES = f"""with b as (select item_id, text || ['', ' fix it', ' in src/app.py', ' it must return x', ' tests should pass', ' update only main.go'][(item_id % 6 + 1)::int] as p from benchmark),
 w as (select *, len(list_filter(string_split_regex(p, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) as n, regexp_matches(p, '{_Q(FILE_REF)}') as f, regexp_matches(p, '{_Q(LIMITS)}') as l, regexp_matches(p, '{_Q(CRITERIA)}') as c,
   len(list_filter([{", ".join("'" + v + "'" for v in VAGUE)}], lambda v: contains(lower(p), v))) > 0 as v from b),
 i as (select item_id, list_filter([case when v and not (f or l or n > 15) then 'lacks_specificity' end, case when not f then 'missing_file_references' end, case when not l then 'missing_constraints' end,
   case when not c then 'missing_acceptance_criteria' end, case when n < 5 then 'too_brief' end], lambda x: x is not null) as issues from w)
 select item_id, array_to_string(issues, ',') as issues, round(least(1.0, 0.5 + least(0.3, 0.1 * len(issues)) + least(0.2, 0.07 * (item_id % 4))), 6)::double as confidence from i"""
 
-# Signals of task types, and the order of ties.
+# Signals of task types (\\b: a word's edge), in the order of ties.
+SYMPTOMS = ["error", "fail", "exception", "crash"]
 TASKS = {
-    "feature": ["add", "implement", "create", "build", "support", "new", "feature"],
-    "refactor": ["refactor", "rename", "extract", "restructure", "tidy"],
-    "explanation": ["explain", "describe", "understand", "walk me through"],
-    "bugfix": ["fix", "bug", "traceback", "regression", "not working", "throws"],
-    "algorithm": ["performance", "faster", "efficient", "complexity", "algorithm", "data structure"],
-}
+    "feature": [r"\badd\b", r"\bimplement\b", r"\bcreate\b", r"\bbuild\b", r"\bsupport\b", r"\bnew\b", r"\bfeature\b"],
+    "refactor": [r"\brefactor", r"\bclean ?up\b", r"\brestructure\b", r"\brename\b", r"\bextract\b", r"\bsimplif(?:y|ies|ied)\b", r"\breorganiz", r"\bconsolidat", r"\btidy\b"],
+    "explanation": [
+        r"\bexplain\b", r"\bdescribe\b", r"\bsummar", r"\bwalk me through\b", r"\bwhat (?:does|is|are|happens)\b", r"\bhow (?:does|do|is|can)\b", r"\bwhy (?:does|is|do|are)\b", r"\bunderstand\b",
+    ],
+    "bugfix": [
+        r"\bfix(?:es|ed|ing)?\b", r"\bbugs?\b", r"\btraceback\b", r"\bregression\b", r"\bnot working\b", r"\bdoesn'?t work\b", r"\bthrows?\b",
+        *[rf"\b{k}(?:s|es|ed|ing|ure)?\b" for k in SYMPTOMS],
+    ],
+    "algorithm": [
+        r"\boptimiz", r"\bperformance\b", r"\bfaster\b", r"\bspeed ?up\b", r"\befficient\b", r"\bcomplexity\b", r"(?-i:O)\(", r"\balgorithms?\b", r"\bdata structure\b", r"\bmemoiz",
+    ],
+}
 HARD = ["dynamic programming", "dp", "graph", "tree", "bfs", "dfs", "shortest path", "dijkstra", "optimization", "minimize", "maximize", "np-hard", "exponential", "backtrack"]
 
 
-def task_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task type by distinct signals (ties fail safe, a trace counts twice for bugfix) and difficulty by constraints, then keywords."""
-    words = ["explain the bug", "fix a traceback", "add new feature", "rename and extract", "faster algorithm n <= 100000", "describe graph n <= 50", "simple note", "plain"]
-    p = F.concat(F.element_at(F.array(*map(F.lit, words)), (F.col("item_id") % 8 + 1).cast("int")), F.lit(" "), F.lower(F.substring("text", 1, 20)))
-    rows = read(spark, sf_dir, "benchmark").select("item_id", p.alias("p"), (F.col("item_id") % 5 == 0).alias("trace"))
-    hits = {t: sum((F.col("p").rlike(rf"{EDGE_L}{k}{EDGE_R}").cast("int") for k in ks), F.lit(0)) + (F.col("trace").cast("int") * 2 if t == "bugfix" else 0) for t, ks in TASKS.items()}
+def task_type(prompt: Column, trace: Column) -> Column:
+    """Type with the most distinct signals; ties in the order of ``TASKS``; a trace counts twice for bugfix; feature without a signal."""
+    text = F.coalesce(prompt, F.lit(""))
+    hits = {t: sum((text.rlike(f"(?iU){k}").cast("int") for k in ks), F.lit(0)) + (trace.cast("int") * 2 if t == "bugfix" else 0) for t, ks in TASKS.items()}
     best = F.greatest(*hits.values())
     kind: Column | None = F.when(best == 0, "feature")
     for t, n in hits.items():
         kind = kind.when(n == best, t)
-    bound = F.regexp_extract("p", r"n *<= *([0-9]+)", 1).try_cast("long")
-    hard = F.exists(F.array(*map(F.lit, HARD)), lambda k: F.contains("p", k))
-    level = F.when(bound <= 100, "easy").when(bound >= 100000, "hard").when(hard, "hard").when(F.col("p").rlike("easy|simple|basic"), "easy").when(F.col("p").rlike("hard|complex|difficult"), "hard").otherwise("medium")
-    return rows.select("item_id", kind.alias("task"), level.alias("difficulty"))
+    return kind
+
+
+def difficulty(prompt: Column) -> Column:
+    """By the bound of n, then by key words."""
+    p = F.lower(F.coalesce(prompt, F.lit("")))
+    bound = F.regexp_extract(p, r"n *<= *([0-9]+)", 1).try_cast("long")
+    hard = F.exists(F.array(*map(F.lit, HARD)), lambda k: F.contains(p, k))
+    return F.when(bound <= 100, "easy").when(bound >= 100000, "hard").when(hard, "hard").when(p.rlike("easy|simple|basic"), "easy").when(p.rlike("hard|complex|difficult"), "hard").otherwise("medium")
+
+
+_LEADS = ["Explain the bug", "fix a traceback", "add NEW feature", "rename and extract", "faster algorithm n <= 100000", "describe graph n <= 50", "simple note", "plain info(", "Is it O(n)? why do tests crash", "clean up errors"]
+
+
+def task_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and difficulty of whole prompts."""
+    p = F.concat(F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("item_id") % 10 + 1).cast("int")), F.lit(" "), "text")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", p.alias("p"), (F.col("item_id") % 5 == 0).alias("trace"))
+    return rows.select("item_id", task_type(F.col("p"), F.col("trace")).alias("task"), difficulty(F.col("p")).alias("difficulty"))
+
+
+_B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+_ANY = {
+    "feature": ["add{e}", "implement{e}", "create{e}", "build{e}", "support{e}", "new{e}", "feature{e}"],
+    "refactor": ["refactor", "clean ?up{e}", "restructure{e}", "rename{e}", "extract{e}", "simplif(y|ies|ied){e}", "reorganiz", "consolidat", "tidy{e}"],
+    "explanation": ["explain{e}", "describe{e}", "summar", "walk me through{e}", "what (does|is|are|happens){e}", "how (does|do|is|can){e}", "why (does|is|do|are){e}", "understand{e}"],
+    "bugfix": ["fix(es|ed|ing)?{e}", "bugs?{e}", "traceback{e}", "regression{e}", "not working{e}", "doesn''?t work{e}", "throws?{e}", "error(s|es|ed|ing|ure)?{e}", "fail(s|es|ed|ing|ure)?{e}", "exception(s|es|ed|ing|ure)?{e}", "crash(s|es|ed|ing|ure)?{e}"],
+    "algorithm": ["optimiz", "performance{e}", "faster{e}", "speed ?up{e}", "efficient{e}", "complexity{e}", "algorithms?{e}", "data structure{e}", "memoiz"],
+}
 
 
 def _task_sql() -> str:
-    scores = ", ".join(
-        "(" + " + ".join(f"regexp_matches(p, '{EDGE_L}{k}{EDGE_R}')::int" for k in ks) + (" + trace::int * 2" if t == "bugfix" else "") + f") as s_{t}" for t, ks in TASKS.items()
-    )
-    best = "greatest(" + ", ".join(f"s_{t}" for t in TASKS) + ")"
-    return f"""with b as (select item_id, ['explain the bug','fix a traceback','add new feature','rename and extract','faster algorithm n <= 100000','describe graph n <= 50','simple note','plain'][(item_id % 8 + 1)::int]
-  || ' ' || lower(substring(text, 1, 20)) as p, item_id % 5 = 0 as trace from benchmark),
-s as (select *, {scores}, try_cast(regexp_extract(p, 'n *<= *([0-9]+)', 1) as bigint) as bound from b)
-select item_id, case when {best} = 0 then 'feature' {" ".join(f"when s_{t} = {best} then '{t}'" for t in TASKS)} end as task,
-  case when bound <= 100 then 'easy' when bound >= 100000 then 'hard' when len(list_filter([{", ".join("'" + k + "'" for k in HARD)}], lambda k: contains(p, k))) > 0 then 'hard'
-  when regexp_matches(p, 'easy|simple|basic') then 'easy' when regexp_matches(p, 'hard|complex|difficult') then 'hard' else 'medium' end as difficulty from s"""
+    count = lambda ks: " + ".join(f"regexp_matches(p, '(?i){_B}{k.replace('{e}', _E)}')::int" for k in ks)
+    extra = {"bugfix": " + trace::int * 2", "algorithm": " + regexp_matches(p, 'O[(]')::int"}
+    scores = ", ".join(f"({count(ks)}{extra.get(t, '')}) as s_{t}" for t, ks in _ANY.items())
+    best = "greatest(" + ", ".join(f"s_{t}" for t in _ANY) + ")"
+    leads = ", ".join("'" + x + "'" for x in _LEADS)
+    return f"""with b as (select item_id, [{leads}][(item_id % 10 + 1)::int] || ' ' || text as p, item_id % 5 = 0 as trace from benchmark),
+s as (select *, {scores}, lower(p) as low, try_cast(regexp_extract(lower(p), 'n *<= *([0-9]+)', 1) as bigint) as bound from b)
+select item_id, case when {best} = 0 then 'feature' {" ".join(f"when s_{t} = {best} then '{t}'" for t in _ANY)} end as task,
+  case when bound <= 100 then 'easy' when bound >= 100000 then 'hard' when regexp_matches(low, 'dynamic programming|dp|graph|tree|bfs|dfs|shortest path|dijkstra|optimization|minimize|maximize|np-hard|exponential|backtrack') then 'hard'
+  when regexp_matches(low, 'easy|simple|basic') then 'easy' when regexp_matches(low, 'hard|complex|difficult') then 'hard' else 'medium' end as difficulty from s"""
 
 
 def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,19 +256,18 @@ select conv_id, score, confidence, rank from (select *, row_number() over (order
 
 
 def prefix_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of three or more with an equal twenty-character prefix, merged: mean confidence, summed counters, best row's text."""
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 7).alias("prefix"), (F.col("p_size") / 50).alias("confidence"), "p_size")
-    out = rows.groupBy("prefix").agg(F.count("*").alias("members"), F.round(F.avg("confidence"), 6).alias("confidence"), F.sum("p_size").alias("uses"), F.max(F.struct("confidence", -F.col("p_partkey"))).alias("best"))
+    """Groups of three or more with an equal prefix of twenty characters, merged: mean confidence, summed counters, the best row as base."""
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 20).alias("prefix"), (F.col("doc_id") % 50 / 50).alias("confidence"), (F.col("doc_id") % 13).alias("uses"))
+    out = rows.groupBy("prefix").agg(F.count("*").alias("members"), F.round(F.avg("confidence"), 6).alias("confidence"), F.sum("uses").alias("uses"), F.max(F.struct("confidence", -F.col("doc_id"))).alias("best"))
     return out.where("members >= 3").select("prefix", "members", "confidence", "uses", (-F.col("best.col2")).alias("base"))
 
 
-PREFIX = """with r as (select p_partkey, substring(p_name, 1, 7) as prefix, p_size / 50 as confidence, p_size from part)
-select prefix, count(*) as members, round(avg(confidence), 6) as confidence, sum(p_size) as uses, arg_max(p_partkey, (confidence, -p_partkey)) as base from r group by 1 having count(*) >= 3"""
+PREFIX = """with r as (select doc_id, substring(text, 1, 20) as prefix, doc_id % 50 / 50 as confidence, doc_id % 13 as uses from documents where text is not null)
+select prefix, count(*) as members, round(avg(confidence), 6) as confidence, sum(uses)::bigint as uses, arg_max(doc_id, (confidence, -doc_id)) as base from r group by 1 having count(*) >= 3"""
 
 QUERIES = {
     "legacy_retrieval": (legacy_retrieval, LEGACY),
     "legacy_keyword_retrieval": (legacy_keyword_retrieval, LEGACY_KEYWORD),
-    "legacy_keyword_whole": (legacy_keyword_whole, LEGACY_KEYWORD_WHOLE),
     "loop_decision": (loop_decision, LOOP),
     "hypothesis_states": (hypothesis_states, HYPOTHESES),
     "prompt_issues": (prompt_issues, ISSUES),

@@ -127,16 +127,18 @@ select fact_id, sim, score, row_number() over (order by score desc, fact_id) as
 
 
 def query_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("compare "), F.substring("text", 1, 30), F.lit(" vs "), F.substring("text", 31, 30)))
-    asked = asked.when(F.col("item_id") % 3 == 1, F.concat(F.substring("text", 1, 20), F.lit(" of the owner of the "), F.substring("text", 21, 20)))
-    rows = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(asked.otherwise(F.substring("text", 1, 40)), "\n", " ").alias("query"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("compare "), first, F.lit(" vs "), rest))
+    asked = asked.when(F.col("item_id") % 3 == 1, F.concat(first, F.lit(" of the owner of the "), rest))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(asked.otherwise(F.col("text")), "\n", " ").alias("query"))
     shaped = rows.withColumn("shape", classify(F.col("query")))
     return shaped.select("item_id", "shape", F.posexplode(decompose(F.col("query"), F.col("shape"))).alias("step", "part"))
 
 
 _SP = r"[ \t\n\r\f]"
-QUERY_ROUTING = rf"""with q as (select item_id, regexp_replace(case item_id % 3 when 0 then 'compare ' || substring(text, 1, 30) || ' vs ' || substring(text, 31, 30)
-  when 1 then substring(text, 1, 20) || ' of the owner of the ' || substring(text, 21, 20) else substring(text, 1, 40) end, '\n', ' ', 'g') as query from benchmark),
+QUERY_ROUTING = rf"""with q as (select item_id, regexp_replace(case item_id % 3 when 0 then 'compare ' || substring(text, 1, length(text) // 2) || ' vs ' || substring(text, length(text) // 2 + 1)
+  when 1 then substring(text, 1, length(text) // 2) || ' of the owner of the ' || substring(text, length(text) // 2 + 1) else text end, '\n', ' ', 'g') as query from benchmark),
 s as (select *, case when regexp_matches(query, '(?i)(^|[^\p{{L}}\p{{N}}_])(of|in|on|by|from|under) the [\p{{L}}\p{{N}}_-]+ (of|in|on|by|from|under) the($|[^\p{{L}}\p{{N}}_])')
     or regexp_matches(query, '[\p{{L}}\p{{N}}_]''s [\p{{L}}\p{{N}}_]+''s($|[^\p{{L}}\p{{N}}_])')
     or regexp_matches(query, '(?i)(^|[^\p{{L}}\p{{N}}_])(that|which|who) (owns|has|holds|contains) the [\p{{L}}\p{{N}}_]') then 'chain'

@@ -171,7 +171,7 @@ select path, 'independent' from (select path from c where path not in (select pa
 
 
 def cluster_complete_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_link(read(spark, sf_dir, "embeddings").where("label is not null"), "label", "vec_id", "embedding", 0.15)
+    return complete_link(read(spark, sf_dir, "embeddings").where("label is not null"), "label", "vec_id", "embedding", 0.85)
 
 
 def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 
 def test_import_cycles_of_every_order(spark, tmp_path):
-    from tessera.plans.events import import_cycles_all
+    from tessera.plans.events import import_cycles
 
     rng = random.Random(4)
     rows = [(k, rng.randint(1, 90)) for k in range(1, 120)] + [(k, k % 90 + 1) for k in range(200, 230)] + [(61, 1), (1, 61), (7, 7), (300, None)]
@@ -30,15 +30,22 @@ def test_import_cycles_of_every_order(spark, tmp_path):
         if len(group) > 1:
             want[n] = min(group)
     assert len(want) > 2
-    assert {r.node: r.component for r in import_cycles_all(spark, str(tmp_path)).collect()} == want
+    from tessera.operators import cycles
+
+    small = cycles.SMALL
+    try:
+        for cycles.SMALL in (small, 0):
+            assert {r.node: r.component for r in import_cycles(spark, str(tmp_path)).collect()} == want
+    finally:
+        cycles.SMALL = small
 
 
 def test_keywords_after_the_first_characters(spark, tmp_path):
-    from tessera.plans.reasoning import legacy_keyword_whole
+    from tessera.plans.reasoning import legacy_keyword_retrieval
 
     rows = [(8, "src9", "zzz " * 50 + "the"), (17, "src9", "zzz " * 50 + "\n" + "zzz " * 50 + "the"), (26, "src9", "zzz " * 100)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [(r.doc_id, r.score) for r in legacy_keyword_whole(spark, str(tmp_path)).orderBy("rank").collect()] == [(8, 0.45), (17, 0.18), (26, 0.0)]
+    assert [(r.doc_id, r.score) for r in legacy_keyword_retrieval(spark, str(tmp_path)).orderBy("rank").collect()] == [(8, 0.45), (17, 0.18), (26, 0.0)]
 
 
 def test_near_copies_of_documents(spark, tmp_path):
