@@ -30,7 +30,7 @@ from tessera.scratch import materialize
 
 LEFT, RIGHT, ALL = 0, 1, 2
 WIDTH, MISS, BLOCK, SEED, FIRST = 2.0, 1e-3, 1024, 93, 6
-HASHED = 1 << 22  # projections of a batch at once
+FEW, HASHED = 6, 1 << 22  # projections of a batch at once
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -122,11 +122,28 @@ def _linked(raw: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _by_group(batches, judge, names):
+def _worth(table: pa.Table, cuts: np.ndarray, threshold: float) -> np.ndarray:
+    """Groups of two rows and more, but for those of up to ``FEW`` rows of which no two come near the threshold."""
+    size = np.diff(cuts)
+    small = np.repeat(size <= FEW, size)
+    vectors = table["vector"].to_pylist()
+    if len({len(v) for v in vectors}) != 1:
+        return size > 1
+    x, group = _units(np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)), np.repeat(np.arange(len(size)), size)
+    near = np.zeros(len(size), bool)
+    for step in range(1, FEW):
+        at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+        hit = np.einsum("ij,ij->i", x[at], x[at + step]) >= threshold - 1e-9
+        near[group[at[hit]]] = True
+    return (size > FEW) | near
+
+
+def _by_group(batches, judge, names, threshold: float | None = None):
     for table in grouped(batches, "grp", 4 * BLOCK):
         group = table["grp"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))).tolist()
-        found = [judge(table.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        good = np.diff(cuts) > 1 if threshold is None else _worth(table, cuts, threshold)
+        found = [judge(table.slice(a, b - a)) for a, b in zip(cuts[:-1][good].tolist(), cuts[1:][good].tolist(), strict=True)]
         found = [f for f in found if len(f[0])]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names)
@@ -149,7 +166,7 @@ def _joiner(threshold: float):
         found = np.flatnonzero(label != np.arange(len(label)))
         return nodes[label[found]], nodes[found]
 
-    return lambda batches: _by_group(batches, judge, ["a", "b"])
+    return lambda batches: _by_group(batches, judge, ["a", "b"], threshold)
 
 
 def _counter(threshold: float):
