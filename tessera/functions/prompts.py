@@ -61,13 +61,15 @@ def is_topic_change(prompt: Column, following: Column) -> Column:
 def signals(turns: DataFrame) -> DataFrame:
     """Every user turn with its ten flags, its iterations to success and its score in [-1, 1]."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # From the last turn back the frames run on, so their cost is linear; forward, each row would look at all that follow.
+    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     t = turns.withColumns(
         {
             "next_role": F.lead("role").over(w),
             "next_text": F.lead("text").over(w),
-            "response": F.coalesce(F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(after), F.lit("")),
-            "next_user": F.coalesce(F.first(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(after), F.lit("")),
+            "response": F.coalesce(F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(after), F.lit("")),
+            "next_user": F.coalesce(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(after), F.lit("")),
             "segment": F.sum((F.col("role") == "user").cast("int")).over(w),
         }
     )
@@ -76,7 +78,7 @@ def signals(turns: DataFrame) -> DataFrame:
         t = t.withColumn(flag, F.coalesce(F.max(F.col("text").rlike(PATTERNS[name])).over(near), F.lit(False)))
     paired = F.coalesce(F.col("next_role") == "assistant", F.lit(False))
     u = t.where("role = 'user'").withColumns({"paired": paired, "won": paired & F.coalesce(F.col("next_text").rlike(PATTERNS["success"]), F.lit(False))})
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    onward = back.rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("pos", F.row_number().over(w))
     u = u.withColumn("stop", F.min(F.when(F.col("won") | ~F.col("paired"), F.struct("pos", "won"))).over(onward)).withColumn("left", F.count("*").over(onward))
     rounds = F.when(F.col("stop").isNull(), F.col("left")).otherwise(F.col("stop.pos") - F.col("pos") + F.col("stop.won").cast("int"))
