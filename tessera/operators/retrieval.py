@@ -77,3 +77,38 @@ def half_and_half(rows: DataFrame, k: int, score: str, similarity: str, *ties: s
     rest = rows.join(F.broadcast(by_score.select(*ties)), list(ties), "left_anti")
     chosen = by_score.unionByName(rest.orderBy(F.col(similarity).desc(), *ties).limit(k // 2))
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), *ties)))
+
+
+# Words without weight.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "from", "with", "as", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that", "these", "those", "not", "no",
+]
+
+
+def tfidf_search(docs: DataFrame, key: str, text: str, query: str, k: int = 3, least: float = 0.1, features: int = 1000, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """(key, score, rank) of the ``k`` rows most like ``query`` by TF-IDF cosine of words and word pairs, at ``least`` or more.
+
+    Words have two characters and more, without ``stop``; the features are the most frequent terms of the rows; idf is smoothed and vectors have
+    unit length. Only the features' counts leave the texts, and of the query only its own features are joined.
+    """
+    spark = docs.sparkSession
+
+    def terms(column: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        words = F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+        pairs = lambda ws: F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.transform(F.array(words), lambda ws: F.concat(ws, pairs(ws)))[0]
+
+    counts = materialize(docs.select(key, F.explode_outer(terms(F.col(text))).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf")), "grams")
+    frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(features)
+    kept = F.broadcast(materialize(frequent.select("term", "df"), "features"))  # at most ``features`` rows
+    n = docs.count()
+    weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    rows = materialize(counts.join(kept, "term").select(key, "term", weight.alias("x")), "weights")
+    asked = spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("tf")).join(kept, "term").select("term", weight.alias("q"))
+    asked = materialize(asked, "asked")
+    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).first()[0] or 1.0
+    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = rows.join(F.broadcast(asked), "term").groupBy(key).agg(F.sum(F.col("x") * F.col("q")).alias("dot"))
+    scored = dot.join(norm, key).select(key, F.round(F.col("dot") / (F.col("norm") * length), 6).alias("score"))
+    return top_k(scored.where(F.col("score") >= least), "score", k, key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.functions import text as T
+from tessera.functions import decisions as D, text as T
 from tessera.functions.scores import cosine
 from tessera.operators.similarity import jaccard_pairs
 from tessera.plans.search import _COS, _TOKENS
@@ -175,30 +175,25 @@ r as (select *, row_number() over (partition by doc_id order by line_no) as rn f
 select doc_id, line_no, kind, snippet from r where rn <= 8"""
 
 
+_ASKED = "the quick heit and the thing with ring, ring of the ung schaft tion tion"
+
+
 def exemplar_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF-IDF cosine (smoothed idf, unit length) of benchmark items to one query item; at least 0.1, best three."""
-    from tessera.operators.retrieval import top_k
-
-    words = read(spark, sf_dir, "benchmark").select("item_id", T.tokenize(F.col("text")).alias("w"))
-    grams = F.concat("w", F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
-    tf = words.select("item_id", F.explode(grams).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    n = F.broadcast(words.agg(F.count("*").alias("n")))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(n).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = weighted.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = weighted.join(norm, "item_id").select("item_id", "term", (F.col("x") / F.col("norm")).alias("x"))
-    query = unit.where("item_id = 1").select("term", F.col("x").alias("q"))
-    scored = unit.where("item_id <> 1").join(query, "term").groupBy("item_id").agg(F.round(F.sum(F.col("x") * F.col("q")), 6).alias("score"))
-    return top_k(scored.where("score >= 0.1"), "score", 3, "item_id")
-
-
-TFIDF = f"""with w as (select item_id, {_TOKENS} as w from benchmark),
-g as (select item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w),
-tf as (select item_id, term, count(*) as tf from g group by all), df as (select term, count(*) as df from tf group by all),
-x as (select item_id, term, tf * (ln((1 + (select count(*) from w)) / (1 + df)) + 1) as x from tf join df using (term)),
-u as (select item_id, term, x / sqrt(sum(x * x) over (partition by item_id)) as x from x),
-s as (select a.item_id, round(sum(a.x * q.x), 6) as score from u a join u q on a.term = q.term and q.item_id = 1 where a.item_id <> 1 group by 1)
-select item_id, score, rank from (select *, row_number() over (order by score desc, item_id) as rank from s where score >= 0.1) where rank <= 3"""
+    """Documents most like a query text by TF-IDF of words and pairs, 1000 features; at least 0.1, best twenty."""
+    from tessera.operators.retrieval import tfidf_search
+
+    return tfidf_search(read(spark, sf_dir, "documents"), "doc_id", "text", _ASKED, 20)
+
+
+_STOP = "['the','a','an','and','or','but','of','to','in','on','at','by','for','from','with','as','is','are','was','were','be','been','it','its','this','that','these','those','not','no']"
+_GRAMS = "list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1 and not list_contains(" + _STOP + ", x))"
+TFIDF = f"""with w as (select doc_id, {_GRAMS.format(t="coalesce(text, '')")} as w from documents), qw as (select {_GRAMS.format(t="'" + _ASKED + "'")} as w),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w) group by all),
+f as (select term, count(*) as df from tf group by term order by sum(tf) desc, term limit 1000),
+x as (select doc_id, term, tf * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as x from tf join f using (term)),
+q as (select term, count(*) * (ln((1 + (select count(*) from documents)) / (1 + any_value(df))) + 1) as q from (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from qw) join f using (term) group by term),
+n as (select doc_id, sqrt(sum(x * x)) as norm from x group by 1), s as (select doc_id, round(sum(x * q) / (any_value(norm) * (select sqrt(sum(q * q)) from q)), 6) as score from x join q using (term) join n using (doc_id) group by 1)
+select doc_id, score, rank from (select *, row_number() over (order by score desc, doc_id) as rank from s where score >= 0.1) where rank <= 20"""
 
 
 def exemplar_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,19 +237,22 @@ h as (select item_id, category, len(list_filter(ks, lambda k: contains(lower(tex
 select item_id, category, hits from h where hits >= n * 0.5"""
 
 
+_BITS = ["You are given a set. ", "Find the maximum of it; return true if so. ", "def f(): ", "class A: ", "", "check if the ring holds. "]
+
+
 def junk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junk entries by indicator counts and length."""
-    words = ["prompt", "context", "the the", "ing ing", "###", "|"]
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), "n_chars")
-    hits = sum((F.contains("t", F.lit(w)).cast("int") for w in words), F.lit(0))
-    code = F.contains("t", F.lit("def ")) | F.contains("t", F.lit("class "))
-    junk = ((hits >= 2) & (F.col("n_chars") > 150)) | ((hits >= 1) & (F.col("n_chars") > 300)) | (code & (F.col("n_chars") > 100))
-    return d.select("doc_id", hits.alias("hits"), junk.alias("junk"))
-
-
-JUNK = """with h as (select doc_id, n_chars, len(list_filter(['prompt','context','the the','ing ing','###','|'], lambda k: contains(lower(text), k)))::int as hits,
-  contains(lower(text), 'def ') or contains(lower(text), 'class ') as code from documents)
-select doc_id, hits, (hits >= 2 and n_chars > 150) or (hits >= 1 and n_chars > 300) or (code and n_chars > 100) as junk from h"""
+    """Junk entries among all documents, each behind a few phrases: by phrases of problem descriptions, code and length."""
+    n = F.col("doc_id")
+    pick = lambda k: F.element_at(F.array(*map(F.lit, _BITS)), (k % 6 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents").select("doc_id", pick(n).alias("p"), F.concat(pick(F.floor(n / 6)), F.coalesce("text", F.lit(""))).alias("s"))
+    return d.select("doc_id", D.junk_phrases(F.concat("p", F.lit(" "), "s")).alias("phrases"), D.is_junk(F.col("p"), F.col("s")).alias("junk"))
+
+
+JUNK = """with b as (select doc_id, ['You are given a set. ','Find the maximum of it; return true if so. ','def f(): ','class A: ','','check if the ring holds. '] as bits, coalesce(text, '') as text from documents),
+t as (select doc_id, bits[(doc_id % 6 + 1)::int] as p, bits[(doc_id // 6 % 6 + 1)::int] || text as s from b), l as (select *, lower(p || ' ' || s) as low from t),
+h as (select doc_id, s, low, len(list_filter(['you are given','given an array','given a string','return true if','return the number of','find the number of','find the maximum','find the minimum','determine if the','calculate the number','check if the'], lambda k: contains(low, k)))::int as phrases from l)
+select doc_id, phrases, (phrases >= 2 and length(s) > 150) or (phrases >= 1 and length(s) > 300) or ((contains(s, 'def ') or contains(s, 'class ')) and length(s) > 100
+  and not regexp_matches(low, 'two pointer|left right|start end|both ends|from edges|sliding window|subarray|substring|consecutive|window size|hash map|dictionary|frequency|count occurrences|lookup|binary search|sorted array|log n|divide half|mid point|dp|dynamic programming|memoization|subproblem|optimal substructure|greedy|local optimum|sorted first|priority|backtrack|recursion|try all|explore paths|permutation|combination|graph|bfs|dfs|traversal|adjacency|connected|tree|binary tree|level order|inorder|preorder|postorder|stack|lifo|push pop|monotonic|queue|fifo|deque|heap|sort')) as junk from h"""
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

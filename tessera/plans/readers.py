@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tessera.functions import decisions as D
 from tessera.functions.text import EDGE_L, EDGE_R
 from tessera.scratch import new_path
 from tessera.sources.tables import read
@@ -77,27 +78,24 @@ def commit_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMITS = f"""with c as (select page_id, ['Merge branch x ','fix: ','Bump version ','feat: ','chore(deps) ','x','refactor '][(page_id % 7 + 1)::int] || case when page_id % 7 = 5 then '' else substring(url, 9, 30) end as message from pages)
 select page_id, message from c where page_id > 10 and len(list_filter([{", ".join("'" + n + "'" for n in NOISE)}], lambda p: starts_with(trim(lower(message)), p))) = 0 and length(trim(lower(message))) >= 10 order by page_id desc limit 50"""
 
-SYNTAX = rf"(?i){EDGE_L}(SyntaxError|ParseError|parse error|unexpected token|unterminated|invalid syntax){EDGE_R}"
-WRONG = rf"(?i){EDGE_L}(assertion ?error|expected .* got|test (failed|fail)|wrong (answer|output)|incorrect|FAIL(ED)?){EDGE_R}"
-
 
 def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome buckets of run logs (syntax, wrong result, speed) in the documented order, with the run's confidence."""
     logs = ["ok", "SyntaxError: x", "expected 3 got 4", "test failed", "all good"]
     e = read(spark, sf_dir, "events").select("event_id", "user_id", F.element_at(F.array(*map(F.lit, logs)), (F.col("event_id") % 5 + 1).cast("int")).alias("log"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 10).alias("speed"))
-    kind = F.when(F.col("log").rlike(SYNTAX), "syntax_error").when(F.col("log").rlike(WRONG), "functional_incorrectness").when(F.col("speed") > 1, "speed_up").when(F.col("speed") < 1, "slow_down").otherwise("unknown")
+    kind = D.outcome_class(F.col("log"), F.col("speed"))
     g = e.withColumn("kind", kind).groupBy("user_id").agg(
         F.count(F.when(F.col("kind") == "speed_up", 1)).alias("fast"), F.count(F.when(F.col("kind") == "slow_down", 1)).alias("slow"), F.count(F.when(F.col("kind") == "syntax_error", 1)).alias("broken"),
         F.count(F.when(F.col("kind") == "functional_incorrectness", 1)).alias("wrong"), F.avg(F.when(F.col("speed").isNotNull(), 0.5 + F.col("event_id") % 5 / 10)).alias("mean"),
     )
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean") - F.least(F.lit(0.15), 0.02 * F.col("wrong")) - F.least(F.lit(0.1), 0.01 * F.col("broken"))))
+    conf = D.run_confidence(F.col("mean"), F.col("wrong"), F.col("broken"))
     basis = F.when(F.col("mean").isNull(), "no_verifiable_change").otherwise("suggestions")
     return g.select("user_id", "fast", "slow", "broken", "wrong", F.round(conf, 6).alias("confidence"), basis.alias("basis"))
 
 
 _Q = lambda s: s.replace("'", "''")
 OUTCOME_CLASSES = f"""with e as (select event_id, user_id, ['ok','SyntaxError: x','expected 3 got 4','test failed','all good'][(event_id % 5 + 1)::int] as log, case when event_id % 3 <> 0 then value / 10 end as speed from events),
-k as (select *, case when regexp_matches(log, '{_Q(SYNTAX)}') then 'syntax_error' when regexp_matches(log, '{_Q(WRONG)}') then 'functional_incorrectness' when speed > 1 then 'speed_up' when speed < 1 then 'slow_down' else 'unknown' end as kind from e),
+k as (select *, case when regexp_matches(log, '{_Q(D.SYNTAX)}') then 'syntax_error' when regexp_matches(log, '{_Q(D.WRONG)}') then 'functional_incorrectness' when speed > 1 then 'speed_up' when speed < 1 then 'slow_down' else 'unknown' end as kind from e),
 g as (select user_id, count(*) filter (kind = 'speed_up') as fast, count(*) filter (kind = 'slow_down') as slow, count(*) filter (kind = 'syntax_error') as broken, count(*) filter (kind = 'functional_incorrectness') as wrong,
   avg(0.5 + event_id % 5 / 10) filter (speed is not null) as mean from k group by 1)
 select user_id, fast, slow, broken, wrong, case when mean is not null then round(greatest(0, least(1, mean - least(0.15, 0.02 * wrong) - least(0.1, 0.01 * broken))), 6)::double end as confidence,

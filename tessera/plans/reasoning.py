@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions import decisions as D
 from tessera.functions.scores import cosine
-from tessera.functions.text import EDGE_L, EDGE_R
 from tessera.operators.retrieval import top_k
 from tessera.plans.search import _COS, FACTS_SQL
 from tessera.sources.tables import facts, read
 
 AFFINITY = 0.2
-BOOSTS = {("hard", "compositional"): 0.15, ("hard", "procedural"): -0.10, ("hard", "adaptive"): 0.05, ("easy", "adaptive"): 0.05, ("medium", "adaptive"): 0.10}
 
 
 def legacy_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +19,11 @@ def legacy_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = vectors.where("vec_id = 0").select("embedding").first()
     q = F.array(*[F.lit(float(x)) for x in (first[0] if first else [])])
     e = facts(read(spark, sf_dir, "events")).join(vectors.select(F.col("vec_id").alias("fact_id"), "embedding"), "fact_id")
-    signals = F.col("success_count") + F.col("error_count")
-    base = F.when(signals >= 10, F.col("confidence") * 0.5 + F.col("success_count") / signals * 0.5).otherwise(F.col("confidence"))
-    used = base * (0.9 + 0.1 * F.least(F.lit(1.0), F.col("access_count") / 10))
+    used = D.entry_quality(F.col("confidence"), F.col("success_count"), F.col("error_count"), F.col("access_count"))
     hard_n, hard_s = F.col("fact_id") % 6, F.least(F.col("fact_id") % 6, F.col("fact_id") % 5)
     with_affinity = F.when(hard_n > 0, F.least(F.lit(1.0), used + hard_s / hard_n * AFFINITY)).otherwise(used)
-    hard = F.when(hard_n > 0, hard_s / hard_n).otherwise(0.5)
-    easy = (F.col("fact_id") % 5) / 4
-    level = F.when((hard > 0.6) & (F.col("fact_id") % 9 > 3), "compositional").when((easy >= 0.75) & (hard < 0.4), "procedural").otherwise("adaptive")
-    boost = F.when(level == "compositional", 0.15).when(level == "procedural", -0.10).otherwise(0.05)
-    quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), with_affinity + boost))
+    level = D.strategy_level((F.col("fact_id") % 5) / 4, F.when(hard_n > 0, hard_s / hard_n).otherwise(0.5), F.col("fact_id") % 9)
+    quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), with_affinity + D.strategy_boost(level, "hard")))
     scored = e.select("fact_id", level.alias("level"), F.round(cosine(F.col("embedding"), q) * quality, 6).alias("score"))
     return top_k(scored.where("score > 0.1"), "score", 10, "fact_id")
 
@@ -55,13 +49,11 @@ select doc_id, score, rank from (select *, row_number() over (order by score des
 def legacy_keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance by substrings (.5 pattern, .3 shared source, .2 context) times quality; three ways to be accepted. The first line is the pattern, all the rest the context."""
     asked = "the thand edly ing of"
-    words = lambda part: F.filter(F.split(F.lower(part), r"[ \t\n\r\f]+"), lambda w: w != "")
     at = F.instr("text", "\n")
     first = F.when(at > 0, F.col("text").substr(F.lit(1), at - 1)).otherwise(F.col("text"))
     rest = F.when(at > 0, F.col("text").substr(at + 1, F.length("text"))).otherwise(F.lit(""))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", words(first).alias("pattern"), words(rest).alias("context"), (0.1 + F.col("doc_id") % 9 / 10).alias("quality"))
-    inside = lambda c: F.exists(c, lambda w: F.contains(F.lit(asked), w)).cast("int")
-    relevance = F.least(F.lit(1.0), inside("pattern") * 0.5 + F.col("source").isin("src0", "src1").cast("int") * 0.3 + inside("context") * 0.2)
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", first.alias("pattern"), rest.alias("context"), (0.1 + F.col("doc_id") % 9 / 10).alias("quality"))
+    relevance = D.keyword_relevance(F.lit(asked), F.col("pattern"), F.col("context"), F.col("source").isin("src0", "src1"))
     scored = rows.select("doc_id", relevance.alias("relevance"), "quality", F.round(relevance * F.col("quality"), 6).alias("score"))
     return top_k(scored.where("score > 0.05 or relevance > 0.3 or quality > 0.6").select("doc_id", "score"), "score", 10, "doc_id")
 
@@ -77,22 +69,10 @@ def loop_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 10 == 0).alias("exhausted"), (F.col("o_orderkey") % 4 == 0).alias("success"), (F.col("o_orderkey") % 6).alias("d"), (F.col("o_orderkey") % 9 == 1).alias("failure"))
     j = o.join(li, "k", "left").na.fill(0, ["required", "passed", "failed", "unavailable", "pending"])
-    rules = [
-        ((F.col("required") > 0) & (F.col("passed") == F.col("required")), "satisfied/stop_success"),
-        (F.col("exhausted"), "blocked/stop_blocked"),
-        (F.col("failed") > 0, "in_progress/change_strategy"),
-        ((F.col("required") == 0) & F.col("success"), "unverifiable/stop_blocked"),
-        (F.col("unavailable") > 0, "unverifiable/stop_blocked"),
-        ((F.col("pending") > 0) & F.col("success"), "unverifiable/continue"),
-        (F.col("d").isin(1, 2), "in_progress/change_strategy"),
-        (F.col("d") == 3, "in_progress/continue"),
-        (F.col("failure"), "in_progress/change_strategy"),
-    ]
-    verdict: Column | None = None
-    for test, name in rules:
-        verdict = F.when(test, name) if verdict is None else verdict.when(test, name)
-    out = j.withColumn("v", verdict.otherwise("in_progress/continue"))
-    return out.groupBy(F.split_part("v", F.lit("/"), F.lit(1)).alias("goal"), F.split_part("v", F.lit("/"), F.lit(2)).alias("strategy")).agg(F.count("*").alias("n"), F.sum("k").alias("key_sum"))
+    gates = {c: F.col(c) for c in ("required", "passed", "failed", "unavailable", "pending")}
+    diagnosis = F.when(F.col("d").isin(1, 2), "changed").when(F.col("d") == 3, "same")
+    out = j.withColumn("v", D.loop_decision(gates, F.col("exhausted"), F.col("success"), diagnosis, F.col("failure")))
+    return out.groupBy("v.goal", "v.strategy").agg(F.count("*").alias("n"), F.sum("k").alias("key_sum"))
 
 
 LOOP = """with l as (select l_orderkey as k, count(*) as required, count(*) filter (l_returnflag = 'A') as passed, count(*) filter (l_returnflag = 'R') as failed,
@@ -104,30 +84,13 @@ v as (select k, case when required > 0 and passed = required then 'satisfied/sto
   when d in (1, 2) then 'in_progress/change_strategy' when d = 3 then 'in_progress/continue' when failure then 'in_progress/change_strategy' else 'in_progress/continue' end as v from j)
 select split_part(v, '/', 1) as goal, split_part(v, '/', 2) as strategy, count(*) as n, sum(k) as key_sum from v group by all"""
 
-STATUSES = ["candidate", "supported", "confirmed", "rejected", "contradicted"]
-ALLOWED = {"candidate": STATUSES[:2] + ["rejected"], "supported": STATUSES[1:4], "confirmed": ["confirmed", "contradicted"], "rejected": ["rejected", "candidate"], "contradicted": ["contradicted", "candidate"]}
-
-
 def hypothesis_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses with claimed transitions: disallowed ones revert, claims without evidence step down."""
-    pick = lambda i: F.element_at(F.array(*map(F.lit, STATUSES)), (i + 1).cast("int"))
+    pick = lambda i: F.element_at(F.array(*map(F.lit, D.STATUSES)), (i + 1).cast("int"))
     k = F.col("o_orderkey")
     h = read(spark, sf_dir, "orders").select(k.alias("id"), pick(k % 5).alias("prior"), pick(F.floor(k / 5) % 5).alias("claimed"), (k % 3 == 0).alias("support"), (k % 7 == 0).alias("contra"), (k % 2 == 0).alias("test"))
-    ok = F.lit(False)
-    for prior, after in ALLOWED.items():
-        ok = ok | ((F.col("prior") == prior) & F.col("claimed").isin(after))
-    s = F.when(ok, F.col("claimed")).otherwise(F.col("prior"))
-    h = h.withColumn("s", s)
-    down, dead = F.when(F.col("support"), "supported").otherwise("candidate"), F.col("prior").isin("rejected", "contradicted")
-    h = h.withColumn("s", F.when(dead & (F.col("s") == "candidate") & ~F.col("support") & ~F.col("contra"), F.col("prior")).otherwise(F.col("s")))
-    final = (
-        F.when(F.col("contra") & ~F.col("s").isin("rejected", "contradicted"), F.when(F.col("s") == "confirmed", "contradicted").otherwise("rejected"))
-        .when(F.col("s").isin("rejected", "contradicted") & ~F.col("contra") & ~dead, down)
-        .when((F.col("s") == "confirmed") & (~F.col("test") | ~F.col("support")), down)
-        .when((F.col("s") == "supported") & ~F.col("support"), "candidate")
-        .otherwise(F.col("s"))
-    )
-    return h.groupBy("prior", "claimed", final.alias("status")).agg(F.count("*").alias("n"))
+    status = D.hypothesis_status(*(F.col(c) for c in ("prior", "claimed", "support", "contra", "test")))
+    return h.withColumn("status", status).groupBy("prior", "claimed", "status").agg(F.count("*").alias("n"))
 
 
 HYPOTHESES = """with h as (select o_orderkey % 5 as p, o_orderkey // 5 % 5 as c, o_orderkey % 3 = 0 as support, o_orderkey % 7 = 0 as contra, o_orderkey % 2 = 0 as test from orders),
@@ -141,29 +104,19 @@ select prior, claimed, case when contra and s1 not in ('rejected','contradicted'
   when s1 = 'confirmed' and (not test or not support) then case when support then 'supported' else 'candidate' end
   when s1 = 'supported' and not support then 'candidate' else s1 end as status, count(*) as n from t group by all"""
 
-# Words of the prompt rules.
-VAGUE = ["fix", "change", "update", "modify", "improve", "refactor", "adjust", "tweak", "handle", "do", "make", "work on", "look at", "check", "review", "clean up", "optimize"]
-FILE_REF = rf"(?i)[A-Za-z0-9_/.-]+[.](py|js|ts|go|rs|java|cpp|c|h|md|json|yaml|yml|toml){EDGE_R}|{EDGE_L}in[ \t\n]+[A-Za-z0-9_/.-]|{EDGE_L}(src|lib|tests?)/[^ \t\n]"
-LIMITS = rf"(?i){EDGE_L}(must|should|required?|requires|ensure|validate|before|after|without|only){EDGE_R}|{EDGE_L}(returns?|accepts?|when|if)[ \t\n]+[\p{{L}}\p{{N}}_]"
-CRITERIA = rf"(?i){EDGE_L}tests?[ \t\n]+(should[ \t\n]+)?pass|{EDGE_L}should[ \t\n]+(return|output|produce)|{EDGE_L}(expect|expected|expectd|verify|verified|confirm){EDGE_R}|{EDGE_L}results?[ \t\n]+in{EDGE_R}|{EDGE_L}pass(es|ing)?[ \t\n]+(all[ \t\n]+)?tests?{EDGE_R}"
-
-
 def prompt_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a prompt lacks (five rules) and the confidence of an enhancement."""
     tail = F.element_at(F.array(*map(F.lit, ["", " fix it", " in src/app.py", " it must return x", " tests should pass", " update only main.go"])), (F.col("item_id") % 6 + 1).cast("int"))
     p = read(spark, sf_dir, "benchmark").select("item_id", F.concat("text", tail).alias("p"))
-    words = F.size(F.filter(F.split("p", r"[ \t\n\r\f]+"), lambda w: w != ""))
-    vague = F.exists(F.array(*map(F.lit, VAGUE)), lambda v: F.contains(F.lower("p"), v)) & ~(F.col("p").rlike(FILE_REF) | F.col("p").rlike(LIMITS) | (words > 15))
-    flags = [(vague, "lacks_specificity"), (~F.col("p").rlike(FILE_REF), "missing_file_references"), (~F.col("p").rlike(LIMITS), "missing_constraints"), (~F.col("p").rlike(CRITERIA), "missing_acceptance_criteria"), (words < 5, "too_brief")]
-    issues = F.filter(F.array(*[F.when(f, F.lit(n)) for f, n in flags]), lambda x: x.isNotNull())
-    conf = F.least(F.lit(1.0), 0.5 + F.least(F.lit(0.3), 0.1 * F.size("issues")) + F.least(F.lit(0.2), 0.07 * (F.col("item_id") % 4)))
-    return p.withColumn("issues", issues).select("item_id", F.array_join("issues", ",").alias("issues"), F.round(conf, 6).alias("confidence"))
+    p = p.withColumn("issues", D.prompt_lacks(F.col("p")))
+    conf = D.enhancement_confidence(F.col("issues"), F.col("item_id") % 4)
+    return p.select("item_id", F.array_join("issues", ",").alias("issues"), F.round(conf, 6).alias("confidence"))
 
 
 _Q = lambda s: s.replace("'", "''")
 ISSUES = f"""with b as (select item_id, text || ['', ' fix it', ' in src/app.py', ' it must return x', ' tests should pass', ' update only main.go'][(item_id % 6 + 1)::int] as p from benchmark),
-w as (select *, len(list_filter(string_split_regex(p, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) as n, regexp_matches(p, '{_Q(FILE_REF)}') as f, regexp_matches(p, '{_Q(LIMITS)}') as l, regexp_matches(p, '{_Q(CRITERIA)}') as c,
-  len(list_filter([{", ".join("'" + v + "'" for v in VAGUE)}], lambda v: contains(lower(p), v))) > 0 as v from b),
+w as (select *, len(list_filter(string_split_regex(p, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) as n, regexp_matches(p, '{_Q(D.FILE_REF)}') as f, regexp_matches(p, '{_Q(D.LIMITS)}') as l, regexp_matches(p, '{_Q(D.CRITERIA)}') as c,
+  len(list_filter([{", ".join("'" + v + "'" for v in D.VAGUE)}], lambda v: contains(lower(p), v))) > 0 as v from b),
 i as (select item_id, list_filter([case when v and not (f or l or n > 15) then 'lacks_specificity' end, case when not f then 'missing_file_references' end, case when not l then 'missing_constraints' end,
   case when not c then 'missing_acceptance_criteria' end, case when n < 5 then 'too_brief' end], lambda x: x is not null) as issues from w)
 select item_id, array_to_string(issues, ',') as issues, round(least(1.0, 0.5 + least(0.3, 0.1 * len(issues)) + least(0.2, 0.07 * (item_id % 4))), 6)::double as confidence from i"""
