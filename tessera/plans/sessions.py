@@ -129,7 +129,45 @@ select topic, case when max(error_class) <> '' and regexp_matches(topic, 'comman
   count(*) as members, count(distinct conv_id) as sessions, round(0.4 * least(1, count(*) / 6) + 0.3 * least(1, count(distinct conv_id) / 3) + 0.15, 2)::double as confidence, arg_max(span, (conv_id, turn)) as evidence
 from k where topic is not null group by topic having count(distinct conv_id) >= 2 and count(*) >= 2"""
 
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as rollout records and back as episodes: answers, tools and errors of each."""
+    from tessera.sources.transcripts import rollout_episodes
+
+    t = _turns(spark, sf_dir)
+    bad = (F.col("role") == "assistant") & (F.col("turn") % 5 == 0)
+    payload = (
+        F.when(F.col("role") == "user", F.struct(F.lit("user_message").alias("type"), F.col("text").alias("message"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("output")))
+        .when(bad, F.struct(F.lit("function_call_output").alias("type"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("exited with code 1 "), "text").alias("output")))
+        .when(F.col("role") == "assistant", F.struct(F.lit("agent_message").alias("type"), F.col("text").alias("message"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("output")))
+        .otherwise(F.struct(F.lit("function_call").alias("type"), F.lit(None).cast("string").alias("message"), F.lit("shell").alias("name"), F.lit(None).cast("string").alias("output")))
+    )
+    kind = F.when(payload["type"].isin("user_message", "agent_message"), "event_msg").otherwise("response_item")
+    lines = t.select(F.concat(F.lit("rollout-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("turn").alias("at"), F.to_json(F.struct(kind.alias("type"), payload.alias("payload"))).alias("value"))
+    broken = lines.select("file", (F.col("at") + 1000).alias("at"), F.lit("{broken").alias("value")).distinct()
+    e = rollout_episodes(lines.unionByName(broken))
+    return e.select("session", "episode", F.sha2("ask", 256).alias("ask_sha256"), F.size("answers").alias("answers"), F.size("tools").alias("tools"), F.size("errors").alias("errors"))
+
+
+_HUMAN = r"role = 'user' and trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' and not starts_with(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13)), '<') and not starts_with(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[Request interrupted')"
+ROLLOUTS = f"""with {_TURNS}, e as (select *, ({_HUMAN}) as human, sum(({_HUMAN})::int) over (partition by conv_id order by turn) as episode from t)
+select 'rollout-' || conv_id as session, episode - 1 as episode, sha256(trim(min(text) filter (human), chr(32) || chr(9) || chr(10) || chr(13))) as ask_sha256,
+  (count(*) filter (role = 'assistant' and turn % 5 <> 0 and trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''))::int as answers, (count(*) filter (role not in ('user', 'assistant')))::int as tools, (count(*) filter (role = 'assistant' and turn % 5 = 0))::int as errors
+from e where episode > 0 group by conv_id, episode"""
+
+
+def stream_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that arrive as files, scored once each; patterns of effective prompts."""
+    from tessera.scratch import new_path
+    from tessera.streaming.watch import scan_prompts
+
+    t, path = _turns(spark, sf_dir), new_path(spark, "conversation-files")
+    t.repartition(3, "conv_id").write.parquet(path)
+    return scan_prompts(spark, path, t.schema, 0.3, 2).withColumn("effectiveness", F.round("effectiveness", 6))
+
+
 QUERIES = {
+    "rollouts": (rollouts, ROLLOUTS),
+    "stream_prompts": (stream_prompts, None),
     "sessionize_conversations": (sessionize_conversations, SESSIONIZE),
     "prompt_signals": (prompt_signals, PROMPT_SIGNALS),
     "structural_patterns": (structural_patterns, STRUCTURAL),
