@@ -11,8 +11,9 @@ Windows with fewer than four literal tokens are no evidence and are left out; an
 plus 2?") is found in documents that are this item as a whole, by the hash of the whole sequence.
 
 Everything is DataFrame operations. The items' windows are broadcast only after a count shows that they fit
-``BROADCAST_WINDOWS``; beyond that the join is shuffled. A hot passage only adds (document, item) pairs in
-proportion to the documents that have it. Null and empty texts match nothing. Rows of an equal or null ``doc_id`` are judged one by
+``BROADCAST_WINDOWS``; beyond that the join is shuffled. Documents are found by each item's rarest windows, as many as any document
+that reaches the coverage must hit, so an instruction that many items share makes no pairs by itself; a found
+document's windows then meet the items' as arrays. A hot passage only adds (document, item) pairs in proportion to the documents that have it. Null and empty texts match nothing. Rows of an equal or null ``doc_id`` are judged one by
 one, each by its own text; items of an equal ``item_id`` too. Results name a pair of ids once, by its best row.
 """
 
@@ -101,14 +102,30 @@ def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     """(doc_id, version, item, coverage, same) of rows (doc_id, version, text) and (item, text)."""
     known = materialize(item_windows(items), "item_windows")
     kinds = [(r.width, r.whole, r.n) for r in known.groupBy("whole", F.when(~F.col("whole"), F.col("width")).alias("width")).agg(F.count("*").alias("n")).collect()]
-    side = known.drop("whole")
-    side = F.broadcast(side) if sum(n for _, _, n in kinds) <= BROADCAST_WINDOWS else side
-    tokens = docs.select("doc_id", "version", _tokens(F.col("text"), False).alias("_tokens"))
-    runs = _with_windows(tokens, "runs", sorted({w for w, whole, _ in kinds if not whole} or {WINDOW}), any(whole for _, whole, _ in kinds))
-    found = runs.select("doc_id", "version", F.explode_outer("runs").alias("run")).select("doc_id", "version", "run.at", "run.h")
-    hits = found.join(side, "h")
+    widths, whole = sorted({w for w, whole, _ in kinds if not whole} or {WINDOW}), any(whole for _, whole, _ in kinds)
+    small = F.broadcast if sum(n for _, _, n in kinds) <= BROADCAST_WINDOWS else (lambda side: side)
+    # A document with enough of an item's n windows has one of any n - needed + 1 of them: those that the fewest items share find it.
+    shared = known.groupBy("h").agg(F.countDistinct("item").alias("items"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("items", "item_at"))
+    needed = F.greatest(F.lit(1), F.ceil(coverage * F.col("item_windows") - 1e-9))
+    probes = known.join(shared, "h").withColumn("place", place).where(F.col("place") <= F.col("item_windows") - needed + 1)
+    probes = materialize(probes.select("h", "item").distinct(), "probes")
+
+    def found(rows: DataFrame) -> DataFrame:
+        runs = _with_windows(rows.select("doc_id", "version", _tokens(F.col("text"), False).alias("_tokens")), "runs", widths, whole)
+        return runs.select("doc_id", "version", F.explode_outer("runs").alias("run")).select("doc_id", "version", "run.at", "run.h")
+
     key = ["doc_id", "version", "item"]
-    along = hits.groupBy(*key, "item_windows", "width", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("found"))
+    candidates = materialize(found(docs).join(small(probes), "h").select(*key).distinct(), "candidates")
+    rows = materialize(candidates.select("doc_id", "version").distinct(), "candidate_rows")
+    texts = materialize(docs.join(rows, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "candidate_texts")
+    seen = found(texts).join(small(known.select("h").distinct()), "h").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "h")).alias("seen"))
+    own = known.groupBy("item", "item_windows", "width").agg(F.collect_list(F.struct("h", "item_at")).alias("own"))
+    both = candidates.join(seen, ["doc_id", "version"]).join(small(own), "item")
+    met = lambda s: F.transform(F.filter("own", lambda w: w["h"] == s["h"]), lambda w: F.struct((s["at"] - w["item_at"]).alias("shift"), w["item_at"].alias("item_at")))
+    hits = both.select(*key, "item_windows", "width", F.explode_outer(F.flatten(F.transform("seen", met))).alias("hit"))
+    hits = hits.where("hit is not null").select(*key, "item_windows", "width", "hit.shift", "hit.item_at")
+    along = hits.groupBy(*key, "item_windows", "width", "shift").agg(F.collect_set("item_at").alias("found"))
     nearby = Window.partitionBy(*key).orderBy("shift").rangeBetween(-DRIFT, DRIFT)
     around = along.withColumn("around", F.collect_list(F.struct("shift", "found")).over(nearby))
     ways = F.array(F.array(F.struct("shift", "found")), "around")
@@ -118,9 +135,8 @@ def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     pairs = materialize(around.select(*key, "width", "shift", "matched", covered.alias("coverage")).where(F.col("coverage") >= coverage), "pairs")
     item_slots = items.select("item", _slots(_tokens(F.col("text"), True)).alias("item_slots")).where("size(item_slots) > 0")
     slotted = materialize(pairs.join(item_slots, "item"), "slotted")
-    rows = materialize(slotted.select("doc_id", "version").distinct(), "slotted_docs")
-    texts = docs.join(rows, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    slots = texts.select("doc_id", "version", _slots(_tokens(F.col("text"), True)).alias("slots"))
+    slots = texts.join(slotted.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
+    slots = slots.select("doc_id", "version", _slots(_tokens(F.col("text"), True)).alias("slots"))
     at_value = F.map_from_entries(F.transform("slots", lambda s: F.struct(s["at"], s["value"])))
     slots = materialize(slots.select("doc_id", "version", at_value.alias("at_value")), "doc_slots")
     valued = materialize(slotted.join(slots, ["doc_id", "version"]).select(*key, "shift", "coverage", _values().alias("values")), "values")

@@ -166,6 +166,31 @@ def test_packing(docs, texts, none):
         room[b] -= s
 
 
+def test_packing_of_equal_and_null_ids_with_little_padding(spark):
+    from tessera.llm import packing
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["one", "two", "three", "vier", "cinq"]) for _ in range(n))
+    odd = "a\u00a0b\u3000c \x0b<|endoftext|> \u0130, \u0301" * 2000
+    rows = [(None, say(5), 1), (None, None, 1), (4, say(9), 1), (4, say(9000), 1), (4, say(9000), 1), (5, odd, 1)] + [(100 + i, say(rng.randint(1, 900)), 1) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, length long"), path, end_id=2, with_ids=True).collect()
+    ids = [(d, tok.encode(t or "", add_special_tokens=False).ids + [2]) for d, t, _ in rows]
+    want = sorted((d if d is not None else -1, len(x), s, brute.ids_crc32(x[s : s + 4096])) for d, x in ids for s in range(0, len(x), 4096))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.doc_tokens, r.start, r.ids_crc32) for r in got) == want
+    assert all(len(r.ids) == 4 * r.length for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        assert [o for o, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))]
+    filled = sum(n for spans in by.values() for _, n in spans)
+    padded = sum(0 if (f := sum(n for _, n in spans)) & (f - 1) == 0 else 4096 - f for spans in by.values())
+    assert padded / (filled + padded) < 0.03
+
+
 def test_token_files(spark, docs, texts, none):
     from tessera.llm.token_files import decode_ranks, encode_ranks, read_token_files, write_token_files
     from tessera.scratch import new_path
@@ -579,3 +604,46 @@ def test_leaks_of_short_items_and_repeated_ids(spark):
     assert got == {(1, 1): (1, "exact"), (2, 1): (1, "reparameterised"), (5, 2): (1, "exact"), (8, 5): (1, "exact"), (None, 6): (1, "exact"), (9, 6): (1, "exact")}
     left = sorted((r.doc_id or 0, r.text or "") for r in drop_leaks(table, benchmark).collect())
     assert left == sorted([(0, rows[10][1]), (3, rows[2][1]), (4, rows[3][1]), (6, rows[5][1]), (7, ""), (8, rows[8][1])])
+
+
+def test_leaks_against_brute_force(spark):
+    """Items that share an instruction, found by coverage over neighbouring shifts; plain words only, so no slots."""
+    from tessera.llm import decontamination as D
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    vocabulary = [w for w in vocabulary if w not in D.UNITS]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    lead = say(14)
+    items = {i: (lead if i % 2 else []) + say(rng.randint(9, 30)) for i in range(30)}
+    docs = {}
+    for d in range(120):
+        words = say(rng.randint(0, 40))
+        for i in rng.sample(range(30), rng.randint(0, 2)):
+            part = items[i]
+            a = rng.randint(0, len(part) // 2)
+            piece = part[a : a + rng.randint(4, 40)]
+            if rng.random() < 0.4 and len(piece) > 3:
+                piece = piece[: len(piece) // 2] + say(rng.randint(1, 3)) + piece[len(piece) // 2 :]
+            words += piece + say(rng.randint(0, 20))
+        docs[d] = words + (lead if d % 5 == 0 else [])
+    want = {}
+    for d, w in docs.items():
+        at = {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        for i, t in items.items():
+            hits = [(k - p, p) for p in range(len(t) - 7) for k in at.get(tuple(t[p : p + 8]), ())]
+            best = 0
+            for shift, _ in hits:
+                best = max(best, len({p for s, p in hits if abs(s - shift) <= D.DRIFT}))
+            if best >= D.COVERAGE * (len(t) - 7) - 1e-9:
+                want[d, i] = round(best / (len(t) - 7), 9)
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id): round(r.coverage, 9) for r in D.leaks(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert got == want and len(want) > 30
+    few, D.BROADCAST_WINDOWS = D.BROADCAST_WINDOWS, 0
+    try:
+        assert {(r.doc_id, r.item_id): round(r.coverage, 9) for r in D.leaks(table(docs, "doc_id"), table(items, "item_id")).collect()} == want
+    finally:
+        D.BROADCAST_WINDOWS = few
