@@ -196,3 +196,18 @@ def change_reason(diff: Column) -> Column:
 def actionable(diagnostics: Column, informational: list[str]) -> Column:
     """Diagnostics (severity, ...) that assert a problem."""
     return F.filter(diagnostics, lambda d: ~F.lower(F.coalesce(d["severity"], F.lit(""))).isin(*informational))
+
+
+def stated_constraints(problem: Column) -> Column:
+    """Names of the checkable constraints that a problem states, a divisor behind a colon, in the order of the rules."""
+    low = F.lower(F.coalesce(problem, F.lit("")))
+    divisor = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
+    rules = [
+        F.when(_some(low, ["sorted array", "sorted list", "in sorted order", "non-decreasing"]), F.lit("sorted")),
+        F.when(F.contains(low, F.lit("increasing")) & ~F.contains(low, F.lit("sorted")), F.lit("increasing")),
+        F.when(F.contains(low, F.lit("decreasing")), F.lit("decreasing")),
+        *[F.concat(F.lit("divisible:"), divisor(p)) for p in (r"divisible by (\d+)", r"multiple of (\d+)", r"modulo (\d+) (?:is|equals) 0")],
+        F.when(_some(low, ["non-negative", "non negative", "positive integer", "≥ 0", ">= 0"]), F.lit("non_negative")),
+        F.when(_some(low, ["unique", "distinct", "no duplicates", "all different"]), F.lit("unique")),
+    ]
+    return F.filter(F.array(*rules), lambda c: c.isNotNull())

@@ -57,3 +57,24 @@ def merge_clusters(rows: DataFrame, cluster: str) -> DataFrame:
         F.max("last_accessed").alias("last_accessed"),
         F.array_join(tags, ",").alias("tags"),
     )
+
+
+def due(entries: int, at_last: int) -> bool:
+    """Whether consolidation runs by itself: from 30 entries on, after every ten new ones."""
+    return entries >= 30 and entries - at_last >= 10
+
+
+def consolidate(rows: DataFrame, key: str, vector: str, threshold: float = 0.85, most: int = 2000, least: int = 10) -> DataFrame:
+    """``merge_clusters`` of the connected groups of cosine ``threshold`` among the ``most`` best rows by confidence (the bound is the feature); fewer than ``least`` rows stay as they are.
+
+    The result names each cluster by its smallest key; rows that nothing reaches are clusters of their own.
+    """
+    from tessera.operators.graph import connected_components
+    from tessera.operators.vectors import linking_edges
+
+    best = rows.orderBy(F.col("confidence").desc(), key).limit(most)
+    if best.limit(least).count() < least:
+        return merge_clusters(best.withColumn("cluster", F.col(key)), "cluster")
+    edges = linking_edges(best.select(F.col(key).cast("long").alias("id"), F.lit(0).alias("grp"), F.col(vector).alias("vector")), threshold)
+    labels = connected_components(edges, "a", "b").withColumnsRenamed({"node": key, "component": "cluster"})
+    return merge_clusters(best.join(labels, key, "left").withColumn("cluster", F.coalesce("cluster", F.col(key))), "cluster")

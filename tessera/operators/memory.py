@@ -229,3 +229,20 @@ def with_peers(hits: DataFrame, episodes: DataFrame, most: int = 2) -> DataFrame
     peers = episodes.join(hits.select("fact_id"), "fact_id", "left_anti").join(asked.select("prompt").distinct(), "prompt", "left_semi").withColumn("at", order)
     given = peers.withColumn("turn", F.floor(F.col("at") / most)).join(turn.select("prompt", "turn", "rank"), ["prompt", "turn"])
     return hits.select("rank", F.lit(0).cast("long").alias("place"), "fact_id").unionByName(given.select("rank", (F.col("at") % most + 1).cast("long").alias("place"), "fact_id"))
+
+
+def observations(facts: DataFrame, mined: DataFrame) -> DataFrame:
+    """(fact_id, kind, authority): topics that recurred (fact_id), for valid facts only; nothing about the facts changes."""
+    live = facts.where("is_valid").select("fact_id")
+    return mined.join(live, "fact_id", "left_semi").select("fact_id", F.lit("topic_recurrence").alias("kind"), F.lit("observation_only").alias("authority"))
+
+
+def batch_change(sessions: DataFrame, current: DataFrame) -> DataFrame:
+    """One row a project: differences of ``current`` (project, god_files, cycles, depth, covered, files) from the oldest unprocessed session's snapshot.
+
+    ``sessions``: project, ts and the same columns, null without a snapshot. Projects without one, or with no files on either side, have no row.
+    """
+    fields = ["god_files", "cycles", "depth", "covered", "files"]
+    first = sessions.where("files is not null").groupBy("project").agg(F.min(F.struct("ts", *fields)).alias("b"))
+    both = current.join(first, "project").where((F.col("files") > 0) & (F.col("b.files") > 0))
+    return both.select("project", *[(F.col(c) - F.col(f"b.{c}")).alias(c) for c in fields[:3]], (F.col("covered") & F.col("b.covered")).alias("covered"))

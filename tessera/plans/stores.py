@@ -135,7 +135,54 @@ EVALUATION = """with e as (select count(*) as n, count(*) filter (event_type = '
 select 'error' as metric, round(error / n, 6) as value, round(error / n, 6) <= 0 as passed from e union all select 'purchase', round(purchase / n, 6), round(purchase / n, 6) >= 0.01 from e
 union all select 'view', round(v / n, 6), round(v / n, 6) between 0.1 and 0.9 from e union all select 'latency', null, false"""
 
+def pattern_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design-pattern files made around each document's text: their sections and what is wrong with them."""
+    from tessera.operators.documents import design_patterns
+
+    n = F.col("doc_id")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^(## |# Pattern:|Author:)", "x")
+    text = F.concat(
+        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("# Pattern: P"), n.cast("string"))), F.lit("\nAuthor: "), F.when(n % 11 == 0, "").otherwise("me"), F.lit("\n## Intent\n"), body, F.lit("\n## Forces\nshort\n## Solution Sketch\nlong enough text\n"),
+        F.when(n % 5 > 0, "## Consequences\nten and more\n").otherwise(""), F.lit("## References\n"),
+    )
+    p = design_patterns(read(spark, sf_dir, "documents").select(F.concat(F.lit("p"), n.cast("string")).alias("path"), text.alias("text")))
+    return p.select("path", "name", "solution", "references", F.array_join("errors", ", ").alias("errors"))
+
+
+PATTERNS = r"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '(?m)^(## |# Pattern:|Author:)', 'x', 'g') as body from documents where doc_id % 7 > 0 and doc_id % 11 > 0 and doc_id % 5 > 0),
+b as (select doc_id, length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(body, chr(10)), lambda x: rtrim(x, ' ')), chr(10)), '^\s+', ''), '\s+$', '')) as n, len(string_split(body, chr(10))) + 10 as lines from d)
+select 'p' || doc_id as path, 'P' || doc_id as name, 'long enough text' as solution, '' as "references", array_to_string(list_filter([case when lines > 300 then 'too many lines' end, case when n < 10 then 'intent is too short' end, 'forces is too short'], lambda x: x is not null), ', ') as errors from b"""
+
+
+def problem_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints that problems state: benchmark items behind a sentence or two."""
+    from tessera.functions.rules import stated_constraints
+
+    said = ["Return a sorted array. ", "Strictly increasing, no duplicates. ", "A multiple of 12 and Divisible by 7; ", "values >= 0 in non-decreasing order ", "sum modulo 9 is 0, decreasing ", ""]
+    p = F.concat(F.element_at(F.array(*map(F.lit, said)), (F.col("item_id") % 6 + 1).cast("int")), "text")
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(stated_constraints(p), " ").alias("constraints"))
+
+
+CONSTRAINTS = """with p as (select item_id, lower(['Return a sorted array. ','Strictly increasing, no duplicates. ','A multiple of 12 and Divisible by 7; ','values >= 0 in non-decreasing order ','sum modulo 9 is 0, decreasing ',''][(item_id % 6 + 1)::int] || text) as t from benchmark)
+select item_id, array_to_string(list_filter([case when regexp_matches(t, 'sorted array|sorted list|in sorted order|non-decreasing') then 'sorted' end, case when contains(t, 'increasing') and not contains(t, 'sorted') then 'increasing' end,
+  case when contains(t, 'decreasing') then 'decreasing' end, 'divisible:' || nullif(regexp_extract(t, 'divisible by ([0-9]+)', 1), ''), 'divisible:' || nullif(regexp_extract(t, 'multiple of ([0-9]+)', 1), ''),
+  'divisible:' || nullif(regexp_extract(t, 'modulo ([0-9]+) (is|equals) 0', 1), ''), case when regexp_matches(t, 'non-negative|non negative|positive integer|≥ 0|>= 0') then 'non_negative' end,
+  case when regexp_matches(t, 'unique|distinct|no duplicates|all different') then 'unique' end], lambda x: x is not null), ' ') as constraints from p"""
+
+
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that have a vector, consolidated by connected groups of cosine 0.85."""
+    from tessera.operators.clusters import consolidate
+
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding")
+    out = consolidate(facts(read(spark, sf_dir, "events")).join(v, "fact_id"), "fact_id", "embedding")
+    return out.select("cluster", "members", F.round("confidence", 6).alias("confidence"), "success_count", "tags")
+
+
 QUERIES = {
+    "pattern_files": (pattern_files, PATTERNS),
+    "problem_constraints": (problem_constraints, CONSTRAINTS),
+    "consolidation": (consolidation, None),
     "import_entries": (import_entries, IMPORT),
     "rule_ingestion": (rule_ingestion, RULE_INGESTION),
     "store_round_trip": (store_round_trip, _round_trip_sql()),

@@ -109,3 +109,36 @@ def test_gates(spark):
     m = spark.createDataFrame([("a", 0.5), ("b", float("nan")), ("c", None)], "metric string, value double")
     limits = spark.createDataFrame([("a", 0.4, 0.6), ("a2", None, 1.0), ("b", None, 1.0), ("c", 0.0, None)], "metric string, at_least double, at_most double")
     assert {r.metric: r.passed for r in gates(m, limits).collect()} == {"a": True, "a2": False, "b": False, "c": False}
+
+
+def test_consolidation_observations_and_batch_change(spark):
+    from tessera.operators.clusters import consolidate, due
+    from tessera.operators.memory import batch_change, observations
+
+    assert [due(29, 0), due(30, 0), due(39, 30), due(40, 30)] == [False, True, False, True]
+    rows = [(i, 0.1 * (i % 9), [1.0, 0.0] if i < 4 else [0.0, 1.0] if i < 6 else [-1.0, 0.1 * i], i, 1, 1.0, 2.0, [str(i % 2)]) for i in range(12)]
+    table = spark.createDataFrame(rows, "k long, confidence double, v array<double>, success_count int, access_count int, created_at double, last_accessed double, tags array<string>")
+    got = {r.cluster: r.members for r in consolidate(table, "k", "v").collect()}
+    assert got[0] == 4 and got[4] == 2 and sum(got.values()) == 12
+    assert consolidate(table.where("k < 5"), "k", "v").count() == 5
+    facts = spark.createDataFrame([(1, True), (2, False)], "fact_id long, is_valid boolean")
+    assert [(r.fact_id, r.authority) for r in observations(facts, spark.createDataFrame([(1,), (2,), (3,)], "fact_id long")).collect()] == [(1, "observation_only")]
+    names = "project string, ts double, god_files int, cycles int, depth int, covered boolean, files int"
+    sessions = spark.createDataFrame([("a", 1.0, None, None, None, None, None), ("a", 2.0, 1, 2, 3, True, 5), ("a", 3.0, 9, 9, 9, True, 5), ("b", 1.0, 1, 1, 1, True, 0)], names)
+    now = spark.createDataFrame([("a", 0.0, 2, 2, 1, False, 4), ("b", 0.0, 1, 1, 1, True, 4), ("c", 0.0, 1, 1, 1, True, 4)], names).drop("ts")
+    assert [tuple(r) for r in batch_change(sessions, now).collect()] == [("a", 1, 0, -2, False)]
+
+
+def test_runs_are_identical(spark):
+    """The benchmark of scenarios runs twice and must give the same rows."""
+    import os
+
+    import pytest
+    from tessera import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    for name in ("validation_gates", "loop_decision", "hypothesis_states"):
+        a, b = (sorted(map(str, catalog.QUERIES[name](spark, data).collect())) for _ in range(2))
+        assert a == b
