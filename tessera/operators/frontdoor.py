@@ -36,10 +36,11 @@ def file_score(path: Column, content: Column, tokens: list[str], recent: Column,
     """Documentation, archives, content, file-name hits, recency, entry points and depth; tests are ranked down, never out."""
     low = F.lower(path)
     hits = sum((F.contains(low, F.lit(t)).cast("int") for t in tokens), F.lit(0))
-    stem = F.regexp_extract(F.substring_index(low, "/", -1), r"^(\.?[^.]*)", 1)
+    name = F.substring_index(low, "/", -1)
+    entry = F.exists(F.array(*map(F.lit, ENTRIES)), lambda e: F.startswith(name, e))
     base = (
         F.when(_some(low, DOCUMENTS), 0.8).otherwise(0.0) - F.when(_some(low, ARCHIVES), 0.5).otherwise(0.0) + CONTENT * content + 0.15 * F.least(F.lit(3), hits)
-        + F.when(recent, 0.3).otherwise(0.0) + F.when(stem.isin(*ENTRIES), 0.2).otherwise(0.0)
+        + F.when(recent, 0.3).otherwise(0.0) + F.when(entry, 0.2).otherwise(0.0)
     )
     demoted = is_test_path(path) & demote_tests
     score = F.when(demoted, base * 0.4).otherwise(base) - 0.05 * (F.size(F.split(path, "/")) - 1)

@@ -87,7 +87,7 @@ b as (select *, lower(path) as low from p),
 s as (select *, (case when len(list_filter(['readme','architecture','design','claude.md','contributing','docs/'], lambda k: contains(low, k))) > 0 then 0.8 else 0 end)
   - (case when len(list_filter(['archive','old','deprecated'], lambda k: contains(low, k))) > 0 then 0.5 else 0 end) + 3.0 * content + 0.15 * least(3, len(list_filter(['en','page','th','src'], lambda k: contains(low, k))))
   + (case when page_id % 4 = 0 then 0.3 else 0 end) as base,
-  len(list_intersect(string_split(low, '/'), ['test','tests','__tests__','spec','specs'])) > 0 or regexp_matches(string_split(low, '/')[-1], '^(test_|tests_)|_test\\.|_tests\\.|\\.test\\.|\\.spec\\.|_spec\\.') as test,
+  len(list_filter(string_split(low, '/')[:-2], lambda f: f in ('test','tests','spec','specs','__tests__') or ends_with(f, '.tests'))) > 0 or regexp_matches(string_split(path, '/')[-1], '^test_|_test\\.|_spec\\.|\\.test\\.|\\.spec\\.|^Test[A-Z0-9]|Tests?\\.') as test,
   0.05 * (len(string_split(path, '/')) - 1) as depth from b),
 t as (select *, (case when test then base * 0.4 else base end) - depth as score0, case when test then base * 0.6 else 0 end as forfeited from s)
 select page_id, path, round(greatest(0, case when forfeited <> 0 and score0 + forfeited >= 0.2 then greatest(score0, 0.2) else score0 end), 6)::double as score from t"""

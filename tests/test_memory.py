@@ -127,3 +127,13 @@ def test_band_pairs_in_blocks(spark):
         assert len(vectors.band_pairs(table, 0.8, 0.93, 10_000).collect()) == len(want) > 25
     finally:
         vectors.BLOCK = block
+
+
+def test_test_paths(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions.text import is_test_path
+
+    yes = ["tests/a.py", "a/Spec/b.rb", "Foo.Tests/x.cs", "a/test_b.py", "b_test.go", "u_spec.rb", "a.test.ts", "b.spec.ts", "TestFoo.java", "FooTests.cs", "FooTest.cs", "a\\tests\\b.py"]
+    no = ["testdata/a.py", "testing/x", "latest.py", "contest.txt", "tests", "inspector.py", "a/Testing.java", ""]
+    rows = spark.createDataFrame([(p,) for p in yes + no], "p string").select("p", is_test_path(F.col("p")).alias("t")).collect()
+    assert {r.p for r in rows if r.t} == set(yes)
