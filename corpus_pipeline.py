@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, langid, minhash_dedup, packing, substring_dedup
 from tessera.llm.queries import read_table, vocabulary
+from tessera.llm.words import in_session
 from tessera.scratch import materialize
 
 
@@ -55,4 +56,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
-    return docs
+    return in_session(docs, spark)
