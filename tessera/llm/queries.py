@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from tessera.llm.oracles import ORACLES  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    from tessera.llm.words import own_session
+
+    return own_session(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def vocabulary(name: str) -> str:
@@ -92,8 +95,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def _returned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query's result in the caller's session, whatever session its operator worked in."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.llm.words import in_session
+
+        return in_session(query(spark, sf_dir), spark)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _returned(f)
     for f in (
         op1_minhash_dedup,
         op2_chat_formatting,
@@ -107,5 +122,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
     )
 }
-
-

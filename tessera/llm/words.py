@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
 #: Bytes that separate words: space and 0x09-0x0D. UTF-8 continuation bytes never fall here.
@@ -21,18 +21,30 @@ BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` in a session of its own with Arrow batches of at most a thousand rows and 8 MB.
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with bounded batches beside the caller's, which keeps its settings.
 
-    What is derived from it hands workers a few MB of text at a time; the caller's session keeps its settings.
+    Workers get Arrow batches of at most a thousand rows and 8 MB; files read in it fill column batches of a few
+    hundred rows outside the heap, as texts would make arrays of many MB on it.
     """
-    spark = df.sparkSession
     own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, 1000) if rows > 0 else 1000))
     own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
-    return DataFrame(plan, own)
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    own.conf.set("spark.sql.columnVector.offheap.enabled", "true")
+    return own
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` in an ``own_session``; what is derived from it stays there."""
+    return in_session(df, own_session(df.sparkSession))
+
+
+def in_session(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` as a DataFrame of the session ``spark``, whose settings and catalog then hold for it."""
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(plan, spark)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: str, rows: int, size: int = 16 << 20) -> Iterator[pa.Table]:

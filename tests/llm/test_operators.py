@@ -647,3 +647,36 @@ def test_leaks_against_brute_force(spark):
         assert {(r.doc_id, r.item_id): round(r.coverage, 9) for r in D.leaks(table(docs, "doc_id"), table(items, "item_id")).collect()} == want
     finally:
         D.BROADCAST_WINDOWS = few
+
+
+def test_results_belong_to_the_callers_session(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, " ".join(f"w{(i * j) % 31}" for j in range(30)), "en", "s", 90) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("op1_minhash_dedup", "op5_substring_dedup", "op6_packing", "op7_language_id", "op9_token_files"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got.sparkSession is spark
+        got.createOrReplaceTempView("result")
+        assert spark.sql("select count(distinct doc_id) as n from result").first().n == 12
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_near_vectors_recall(spark):
+    """Pairs from just over the threshold on, among unrelated vectors: links found against brute force."""
+    from tessera.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=(1500, 32))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.9305, 0.96, size=(1500, 1))
+    x = np.concatenate((base, cos * base + np.sqrt(1 - cos**2) * away))
+    similar = np.triu(x @ x.T >= 0.93, 1)
+    table = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in near_vectors(table).select("n_links").collect()) / 2
+    assert similar.sum() >= 1500 and found >= 0.99 * similar.sum()
