@@ -51,7 +51,7 @@ def test_paths_times_and_gates(spark):
     assert [get(R.targets_tests(lit(x))) for x in ("Run pytest", "the inspector of latest spec", "inspector", "latest", None)] == [True, True, False, False, False]
     assert get(R.explicit_paths(lit("see ./src\\A.py, src/a.py and 0.42.0 e.g. /abs/x.TS"))) == ["src/a.py", "e.g", "abs/x.ts"]
     named = lambda p, *t: get(R.names_path(lit(p), F.array(*map(lit, t))))
-    assert named("src/neo/sub.py", "sub.py") and named("src/sub.py", "/home/me/src/sub.py") and not named("tests/test_sub.py", "sub.py") and not named("", "x")
+    assert named("src/app/sub.py", "sub.py") and named("src/sub.py", "/home/me/src/sub.py") and not named("tests/test_sub.py", "sub.py") and not named("", "x")
     assert [get(R.since_seconds(lit(x))) for x in ("14d", " 1.5H", "90", "all", "0", "", None)] == [1209600, 5400, 90, None, None, None, None]
     with pytest.raises(Exception, match="invalid window"):
         get(R.since_seconds(lit("soon")))
