@@ -150,9 +150,10 @@ def _shingles(words: Column) -> Column:
 
 
 def _band_keys(shingles: Column, size: int, bands: int) -> Column:
-    minimum = lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(k))))
-    minima = [minimum(k) for k in range(ROWS * bands)]
-    return F.array(*[F.xxhash64(F.lit(size), F.lit(b), *minima[b * ROWS : (b + 1) * ROWS]) for b in range(bands)])
+    minima = F.transform(F.sequence(F.lit(0), F.lit(ROWS * bands - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
+    one = lambda m: lambda b: F.xxhash64(F.lit(size), b, *[F.get(m, b * ROWS + r) for r in range(ROWS)])
+    # Bound to a lambda variable, the minima are computed once for all bands.
+    return F.transform(F.array(minima), lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), one(m)))[0]
 
 
 def _templates(spark: SparkSession, size: int) -> DataFrame:
