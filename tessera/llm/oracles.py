@@ -39,4 +39,23 @@ m as (select node, min(seen) as component from r group by 1), n as (select a, co
 select x.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(component, x.vec_id) as component_id, coalesce(component, x.vec_id) = x.vec_id as kept
 from embeddings x left join m on m.node = x.vec_id left join n on n.a = x.vec_id"""
 
-ORACLES = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_chat_formatting": CHAT, "op5_substring_dedup": SUBSTRINGS, "op8_embedding_dedup": EMBEDDINGS}
+
+def _ball_kmeans(rounds: int) -> str:
+    """Lloyd's rounds written out: ``c`` holds the centroids of a round, ``a`` the assignment to them."""
+    parts = [
+        """v as (select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        "c0 as (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), vec_id) - 1 as c, q from v order by c limit 16)",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(v.q, p.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        parts.append(f"a{k} as (select row_id, vec_id, q, best.c as c, best.d as d from (select row_id, any_value(vec_id) as vec_id, any_value(q) as q, min({{'d': d, 'c': c}}) as best from (select v.row_id, v.vec_id, v.q, p.c, {distance} as d from v, c{k} p) group by row_id))")
+        if k < rounds:
+            parts.append(f"m{k} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(q) as x, unnest(range(64)) as i from a{k}) group by c, i)")
+            parts.append(f"c{k + 1} as (select p.c, coalesce(n.q, p.q) as q from c{k} p left join (select c, list(((s - (s % n + n) % n) // n)::bigint order by i) as q from m{k} group by c) n using (c))")
+    return f"""with {", ".join(parts)}
+select a.vec_id, a.c::int as cluster, a.d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(p.q, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} p using (c)"""
+
+
+ORACLES = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_chat_formatting": CHAT, "op5_substring_dedup": SUBSTRINGS, "op8_embedding_dedup": EMBEDDINGS, "op11_ball_kmeans": _ball_kmeans(3)}

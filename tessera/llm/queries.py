@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.oracles import ORACLES  # noqa: F401
 
@@ -88,13 +88,41 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import read_token_files, write_token_files
-    from tessera.scratch import new_path
+    from tessera.scratch import kept_path
 
-    path = new_path(spark, "token_files")
+    path = kept_path(spark, "token_files")
     write_token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, path)
     return read_token_files(spark, path)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ball_kmeans import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op12_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bucketed import BUCKETS, crc_bucket, rewrite_pair, write_numbered
+    from tessera.scratch import kept_path
+
+    path = kept_path(spark, "bucketed")
+    sales, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sales", "sale_lines"))
+    bucket = F.coalesce(crc_bucket(F.col("sale_id"), BUCKETS, "s"), F.lit(BUCKETS + 1))
+    write_numbered(sales, bucket - F.when(bucket % 4 == 1, 1).otherwise(0), BUCKETS + 2, "sale_id", f"{path}/sales")
+    write_numbered(lines, F.coalesce(crc_bucket(F.col("item_id"), BUCKETS), F.lit(0)), BUCKETS, "sale_id", f"{path}/sale_lines")
+    schemas = {"sales": sales.schema, "sale_lines": lines.schema}
+    return rewrite_pair(spark, path, "sales", "sale_lines", schemas, "sale_id", salt="s")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard
+
+    out = shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    text = F.coalesce("text", F.lit(""))
+    digest = [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+    return out.select("doc_id", *digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _returned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query's result in the caller's session, whatever session its operator worked in."""
 
@@ -120,5 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_token_files,
         op10_decontamination,
+        op11_ball_kmeans,
+        op12_bucketed_pair,
+        op13_sharding,
     )
 }
