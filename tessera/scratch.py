@@ -35,6 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for files that are a result: they stay there."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
