@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates: typed placeholders, hash-joined windows, slot consistency.
 
-Texts become canonical tokens: runs of letters and digits, lower-cased; numbers, names (capitalised words inside a
-sentence) and units after numbers become typed placeholders. Windows of eight canonical tokens are hashed by three
+Texts become canonical tokens: runs of letters and digits, lower-cased; numbers, names and units after numbers become typed
+placeholders. A name is a capitalised word inside a sentence, or one at a sentence's start that the text also has inside a sentence or at another
+start, never in small letters, and that is no usual opening word of a sentence. Windows of eight canonical tokens are hashed by three
 doublings of pairwise hashes and joined with the items' windows; an item of four to seven tokens is one window of its own length. A document leaks an item if at least
 ``COVERAGE`` of the item's windows occur in it and its slots are consistent: within the matched windows of one alignment, each value in
 the item corresponds to one value in the document throughout (a re-parameterised question) or to itself (an exact copy). An alignment
@@ -34,15 +35,39 @@ UNITS = (
     "l ml liter liters litre litres gallons s sec seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros pound cents percent degrees c f kmh mph w kw v hz gb mb kb meter meters metre metres"
 ).split()
+# Words that open sentences and are no names.
+OPENERS = (
+    "A After All Also An And Any As At Because Before Both But By Calculate Did Do Does Each Every Find Five For Four From Given He Her His How I If In Is It "
+    "Its Let Many Most My No Now Of On One Or Our She So Some Suppose That The Their Then There These They This Those Three Two We What When Where Which Who "
+    "Why With You Your Zero Das Der Die Ein Eine Es Im In Was Wenn Wer Wie Wo Con El En La Las Los Por Que Si Un Una Avec Ce Ces Dans Elle Il Le Les Pour Un Une"
+).split()
+_INSIDE, _START = r"(?<=[\p{Ll}\p{N},] )(\p{Lu}\p{L}*)", r"(?:^|[^\p{Ll}\p{N}, ]\s+|[^\p{L}\p{N}\s,])(\p{Lu}\p{L}+)"
 
 
-def _tokens(text: Column, tagged: bool) -> Column:
-    """Canonical tokens; with ``tagged``, placeholders keep the value behind their mark. A decimal or grouped number is one."""
-    value = "$0" if tagged else ""
-    clean = F.coalesce(text, F.lit(""))
+def _opening_names(text: Column) -> Column:
+    """Names that stand at starts of sentences of ``text``."""
+    starts = F.array_sort(F.regexp_extract_all(text, F.lit(_START), F.lit(1)))
+    twice = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts) + 1), lambda a, b: F.when(a == b, a))
+    again = F.array_union(F.filter(twice, lambda w: w.isNotNull()), F.array_intersect(starts, F.regexp_extract_all(text, F.lit(_INSIDE), F.lit(1))))
+    small = lambda w: F.contains(text, F.lower(w)) & F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.lower(w), F.lit(r"(?!\p{L})")))
+    return F.filter(F.array_except(again, F.array(*map(F.lit, OPENERS))), lambda w: ~small(w))
+
+
+def _canonical(rows: DataFrame, kept: list[str], tagged: bool, name: str = "_tokens") -> DataFrame:
+    """``kept`` columns of ``rows`` and the canonical tokens of its ``text``; each step is a column of its own, computed once."""
+    clean = F.coalesce(F.col("text"), F.lit(""))
     for mark in (NUMBER, UNIT, NAME):
         clean = F.replace(clean, F.lit(mark), F.lit(" "))
-    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}]*", NAME + value)
+    cleaned = rows.select(*kept, clean.alias("_clean"))
+    return cleaned.select(*kept, "_clean", _opening_names(F.col("_clean")).alias("_names")).select(*kept, _tokens(F.col("_clean"), F.col("_names"), tagged).alias(name))
+
+
+def _tokens(clean: Column, names: Column, tagged: bool) -> Column:
+    """Canonical tokens; with ``tagged``, placeholders keep the value behind their mark. A decimal or grouped number is one."""
+    value = "$0" if tagged else ""
+    inside = F.regexp_replace(clean, _INSIDE, NAME + value)
+    opening = F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}{NAME}])(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    named = F.when(F.size(names) > 0, F.regexp_replace(inside, opening, F.lit(NAME + value))).otherwise(inside)
     spaced = F.regexp_replace(named, r"(?<=\p{N})(?=\p{L})", " ")
     numbered = F.regexp_replace(spaced, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,]\p{N}+)*(?![\p{L}\p{N}])", NUMBER + value)
     unit = F.regexp_replace(
@@ -86,7 +111,7 @@ def _slots(tokens: Column) -> Column:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """(h, item, item_at, item_windows, width, whole): the windows of each item (item, text) with enough literal tokens, or the whole item."""
-    tokens = items.select("item", _tokens(F.col("text"), False).alias("_tokens")).where("size(_tokens) > 0")
+    tokens = _canonical(items, ["item"], False).where("size(_tokens) > 0")
     rows = _with_windows(tokens, "runs", [4, 5, 6, 7, WINDOW], True)
     literal = F.transform("_tokens", lambda t: F.when(t.isin(NUMBER, UNIT, NAME), 0).otherwise(1))
     rows = rows.select("item", literal.alias("literal"), F.explode_outer("runs").alias("run")).select("item", "literal", "run.*")
@@ -112,7 +137,7 @@ def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     probes = materialize(probes.select("h", "item").distinct(), "probes")
 
     def found(rows: DataFrame) -> DataFrame:
-        runs = _with_windows(rows.select("doc_id", "version", _tokens(F.col("text"), False).alias("_tokens")), "runs", widths, whole)
+        runs = _with_windows(_canonical(rows, ["doc_id", "version"], False), "runs", widths, whole)
         return runs.select("doc_id", "version", F.explode_outer("runs").alias("run")).select("doc_id", "version", "run.at", "run.h")
 
     key = ["doc_id", "version", "item"]
@@ -133,10 +158,10 @@ def _leaks(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     around = around.select(*key, "item_windows", "width", "shift", tried.alias("matched"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("matched", lambda m: m["found"])))) / F.col("item_windows")
     pairs = materialize(around.select(*key, "width", "shift", "matched", covered.alias("coverage")).where(F.col("coverage") >= coverage), "pairs")
-    item_slots = items.select("item", _slots(_tokens(F.col("text"), True)).alias("item_slots")).where("size(item_slots) > 0")
+    item_slots = _canonical(items, ["item"], True).select("item", _slots(F.col("_tokens")).alias("item_slots")).where("size(item_slots) > 0")
     slotted = materialize(pairs.join(item_slots, "item"), "slotted")
     slots = texts.join(slotted.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
-    slots = slots.select("doc_id", "version", _slots(_tokens(F.col("text"), True)).alias("slots"))
+    slots = _canonical(slots, ["doc_id", "version"], True).select("doc_id", "version", _slots(F.col("_tokens")).alias("slots"))
     at_value = F.map_from_entries(F.transform("slots", lambda s: F.struct(s["at"], s["value"])))
     slots = materialize(slots.select("doc_id", "version", at_value.alias("at_value")), "doc_slots")
     valued = materialize(slotted.join(slots, ["doc_id", "version"]).select(*key, "shift", "coverage", _values().alias("values")), "values")
@@ -182,6 +207,6 @@ def _values() -> Column:
 def drop_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` that leak no item."""
     keyed, templates = _keyed(docs, items)
-    gone = _leaks(keyed, templates, coverage).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    at = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (_version() == F.col("_version"))
-    return docs.join(materialize(gone, "leaked"), at, "left_anti").select(docs.columns)
+    gone = materialize(_leaks(keyed, templates, coverage).select("doc_id", "version").distinct(), "leaked")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _version().alias("version"))
+    return rows.join(gone, ["doc_id", "version"], "left_anti").select("row.*")

@@ -192,13 +192,23 @@ def _pruner(threshold: float, rows: int):
     return run
 
 
+def words_of(text: bytes) -> frozenset[bytes]:
+    """The shingles of a text themselves, their words joined by a space."""
+    words = text.lower().split()  # A-Z only, at the separators of the contract
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def _confirmer(percent: int, rows: int):
-    """Groups of members with their texts -> links (a, b) that hold on the full sets and join two components of the group."""
+    """Groups of members with their texts -> links (a, b) that hold on the full sets and join two components of the group.
+
+    Sets of hashes are counted first; what they would link is compared once more by the words themselves.
+    """
 
     def run(batches):
         for table in grouped(batches, "grp", 2 * BLOCK):
             ids, lab = table["id"].to_numpy(), table["comp"].to_numpy().copy()
             data, offsets = strings(table["text"])
+            text = lambda row: data[offsets[row] : offsets[row + 1]].tobytes()
             sets, bounds = shingle_sets(data, offsets)
             names, code = np.unique(sets, return_inverse=True)
             size = np.diff(bounds)
@@ -221,8 +231,13 @@ def _confirmer(percent: int, rows: int):
                     common = np.add.reduceat(mark[code[flat]].astype(np.int64), ends - n)
                     mark[mine] = False
                     good = others[100 * common >= percent * (size[one] + n - common)]
+                    own = None
                     for other in good.tolist():
                         if lab[other] != lab[one]:
+                            own, theirs = own or words_of(text(one)), words_of(text(other))
+                            both = len(own & theirs)
+                            if 100 * both < percent * (len(own) + len(theirs) - both):
+                                continue
                             out_a.append(min(ids[one], ids[other]))
                             out_b.append(max(ids[one], ids[other]))
                             lab[lab == lab[other]] = lab[one]
@@ -329,15 +344,14 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if names is None:
         gone = _classes(ids, percent).where("doc_id <> component_id").select("doc_id")
         return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
-    key = names.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("key").alias("_key"))
-    at = (F.col("doc_id").cast("long") == F.col("_doc")) & (_version() == F.col("_version"))
-    keyed = docs.join(key, at, "left").withColumn("_key", F.coalesce("_key", F.col("doc_id").cast("long"))).drop("_doc", "_version")
-    classes = _classes(keyed.select(F.col("_key").alias("doc_id"), "text"), percent).where("component_id is not null")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _version())
+    keyed = rows.join(names, ["doc_id", "version"], "left").select("row", F.coalesce("key", "doc_id").alias("key"))
+    classes = _classes(keyed.select(F.col("key").alias("doc_id"), "row.text"), percent).where("component_id is not null")
     back = names.select(F.col("key").alias("doc_id"), F.col("doc_id").alias("own"))
     classes = materialize(classes.join(back, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")).distinct(), "classes")
     chosen = classes.groupBy("component_id").agg(F.min(F.struct("own", "doc_id")).alias("best")).select("best.doc_id")
-    gone = classes.join(materialize(chosen, "chosen"), "doc_id", "left_anti").select(F.col("doc_id").alias("_key"))
-    left = keyed.join(materialize(gone, "gone"), "_key", "left_anti")
-    renamed = names.select(F.col("key").alias("_key"))
-    alone = left.join(renamed, "_key", "left_anti")
-    return alone.unionByName(left.join(renamed, "_key", "left_semi").dropDuplicates(["_key"])).select(docs.columns)
+    gone = classes.join(materialize(chosen, "chosen"), "doc_id", "left_anti").select(F.col("doc_id").alias("key"))
+    left = keyed.join(materialize(gone, "gone"), "key", "left_anti")
+    renamed = names.select("key")
+    alone = left.join(renamed, "key", "left_anti")
+    return alone.unionByName(left.join(renamed, "key", "left_semi").dropDuplicates(["key"])).select("row.*")

@@ -6,7 +6,11 @@ window once, packed in binary columns by hash range (about 10 bytes a window, no
 another and send back positions only. Windows of one passage fall into many hash ranges, and a stretch sends a passage
 once however often it has it, so a hot passage overloads no task. Overlapping repeated windows merge into maximal
 intervals. The number of ranges follows from the bytes of all texts (about ``RANGE_WINDOWS`` windows in each at most) and ranges
-are dealt evenly to the shuffle partitions; the more ranges, the shorter the packed rows (beyond 10 TB of text some 40 bytes a window). Hashes have 56 bits within one of P >= 64 ranges (62 bits and more).
+are dealt evenly to the shuffle partitions; the more ranges, the shorter the packed rows (beyond 10 TB of text some 40 bytes a window).
+
+Windows are compared by two Rabin-Karp hashes of different word values. A window carries as many bits of them as the corpus needs: seven bytes within one of
+64 ranges, one more for every eight doublings of the ranges, so the chance that any two different windows of the whole
+corpus are taken for one stays under 1/200 at every size.
 
 Null and blank texts have no words; shorter texts than a window lose nothing. Rows of an equal ``doc_id`` are kept apart by a
 hash of their texts: an equal start is not an earlier one, so equal rows lose nothing to each other, and what other rows
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.words import U, rolling, slices, small_batches, strings, trim, word_hashes
+from tessera.llm.words import SECOND, U, mix, rolling, slices, small_batches, strings, trim, word_hashes
 
 WIDTH = 20
 STRETCH_WINDOWS, RANGE_WINDOWS = 700_000, 2_000_000
@@ -48,28 +52,49 @@ def _runs(docs: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change, np.diff(change, append=len(docs))
 
 
-def _pack(slots: int, part: int, docs: np.ndarray, tags: np.ndarray, at: np.ndarray, hashes: np.ndarray | None) -> dict:
+def _pack(slots: int, part: int, docs: np.ndarray, tags: np.ndarray, at: np.ndarray, keys: bytes) -> dict:
     """Windows sorted by (doc, tag, position)."""
     first, counts = _runs(docs, tags)
     return {
         "slot": part % slots, "part": part, "docs": _planes(np.diff(docs[first].view(U), prepend=U(0)), 8), "tags": tags[first].astype("<i8").tobytes(),
-        "counts": _planes(counts, 4), "at": _planes(at, 4), "hashes": b"" if hashes is None else _planes(hashes, 7),
+        "counts": _planes(counts, 4), "at": _planes(at, 4), "hashes": keys,
     }
 
 
 def _unpack(docs: bytes, tags: bytes, counts: bytes, at: bytes, hashes: bytes) -> tuple[np.ndarray, ...]:
     times = _unplanes(counts, 4).astype(np.int64)
     d = np.repeat(np.cumsum(_unplanes(docs, 8)).view(np.int64), times)
-    return d, np.repeat(np.frombuffer(tags, "<i8"), times), _unplanes(at, 4).astype(np.int64), _unplanes(hashes, 7) if hashes else np.empty(0, U)
+    return d, np.repeat(np.frombuffer(tags, "<i8"), times), _unplanes(at, 4).astype(np.int64), hashes
+
+
+def key_bytes(bits: int) -> int:
+    """Bytes of a window's hashes within one of ``2**bits`` ranges: N windows and N * N / 2 pairs take twice the bits of N."""
+    return max(7, -(-(bits + 50) // 8))
+
+
+def _keys(h: np.ndarray, g: np.ndarray, bits: int) -> bytes:
+    """The ``key_bytes`` of two hashes that follow the first ``bits`` of ``h``."""
+    size = key_bytes(bits)
+    first = h << U(bits) | g >> U(64 - bits)
+    return _planes(first >> U(64 - 8 * size), size) if size <= 8 else _planes(first, 8) + _planes(g, size - 8)
+
+
+def _unkeys(raw: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    size = key_bytes(bits)
+    return _unplanes(raw[: n * min(size, 8)], min(size, 8)), _unplanes(raw[n * 8 :], size - 8) if size > 8 else np.zeros(n, U)
 
 
-def _settled(d: np.ndarray, t: np.ndarray, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by hash, whether a window there is its hash's earliest start, whether it is the first row of it)."""
+def _settled(d: np.ndarray, t: np.ndarray, p: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hashes, whether a window there is its hashes' earliest start, whether it is the first row of them)."""
     order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
+    alike = h[order][1:] == h[order][:-1]
+    same = alike & (g[order][1:] == g[order][:-1])
+    if (alike != same).any():
+        order = np.lexsort((g, h))
+        same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
     shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
     some = order[shared]
-    order[shared] = some[np.lexsort((t[some], p[some], d[some], h[some]))]
+    order[shared] = some[np.lexsort((t[some], p[some], d[some], g[some], h[some]))]
     new = np.concatenate((np.ones(min(1, len(h)), bool), ~same))
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     return order, (d[order] == d[head]) & (p[order] == p[head]), new
@@ -79,44 +104,45 @@ def _windows(bits: int, slots: int, width: int):
     """Stretches of documents -> packed distinct windows (part >= 0) and repeats already settled (part < 0)."""
     binary = pa.schema([("slot", pa.int32()), ("part", pa.int32())] + [(n, pa.binary()) for n in _BINARY])
 
-    def flush(ids: list, tags: list, counts: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        i, t, n, h = (np.concatenate(x) for x in (ids, tags, counts, hashes))
+    def flush(ids: list, tags: list, counts: list, hashes: list, seconds: list) -> Iterator[pa.RecordBatch]:
+        i, t, n, h, g = (np.concatenate(x) for x in (ids, tags, counts, hashes, seconds))
         begin = np.cumsum(n) - n
         by = np.lexsort((t, i))
         by = by[np.concatenate(([True], (i[by][1:] != i[by][:-1]) | (t[by][1:] != t[by][:-1])))]
         n, begin = n[by], begin[by]
         d, t = np.repeat(i[by], n), np.repeat(t[by], n)
         p = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-        h = h[np.repeat(begin, n) + p]
-        order, earliest, _ = _settled(d, t, p, h)
+        at = np.repeat(begin, n) + p
+        h, g = h[at], g[at]
+        order, earliest, _ = _settled(d, t, p, h, g)
         rows = []
         if not earliest.all():
             again = np.sort(order[~earliest])
-            rows.append(_pack(slots, -1 - int(h[0] >> U(40)) % (1 << bits), d[again], t[again], p[again], None))
+            rows.append(_pack(slots, -1 - int(h[0] >> U(40)) % (1 << bits), d[again], t[again], p[again], b""))
             order = order[earliest]
         parts = (h[order] >> U(64 - bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(parts, prepend=-1, append=-1)).tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             o = np.sort(order[a:b])
-            rows.append(_pack(slots, int(parts[a]), d[o], t[o], p[o], (h[o] << U(bits)) >> U(8)))
+            rows.append(_pack(slots, int(parts[a]), d[o], t[o], p[o], _keys(h[o], g[o], bits)))
         yield pa.RecordBatch.from_pylist(rows, schema=binary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, windows = ([], [], [], []), 0
+        held, windows = ([], [], [], [], []), 0
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             for a, b in slices(offsets):
                 words, first = word_hashes(data, offsets[a : b + 1])
-                rolled = rolling(words, width)
                 n = np.maximum(np.diff(first) - width + 1, 0)
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for column, values in zip(held, (ids[a:b], tags[a:b], n, rolled[np.repeat(first[:-1], n) + within]), strict=True):
+                at = np.repeat(first[:-1], n) + within
+                for column, values in zip(held, (ids[a:b], tags[a:b], n, rolling(words, width)[at], rolling(mix(words ^ SECOND), width)[at]), strict=True):
                     column.append(values)
                 windows += len(within)
                 if windows >= STRETCH_WINDOWS:
                     yield from flush(*held)
-                    held, windows = ([], [], [], []), 0
+                    held, windows = ([], [], [], [], []), 0
         if windows:
             yield from flush(*held)
         trim()
@@ -124,12 +150,13 @@ def _windows(bits: int, slots: int, width: int):
     return run
 
 
-def _settle(part: int, rows: list[dict]) -> pa.RecordBatch:
+def _settle(part: int, rows: list[dict], bits: int) -> pa.RecordBatch:
     """One hash range: every window but the earliest of its hash, as positions."""
     got = [_unpack(*(row[c] for c in _BINARY)) for row in rows]
     d, t, p = (np.concatenate([x[k] for x in got]) for k in range(3))
     if part >= 0:
-        order, earliest, _ = _settled(d, t, p, np.concatenate([x[3] for x in got]))
+        h, g = (np.concatenate(x) for x in zip(*(_unkeys(x[3], len(x[0]), bits) for x in got), strict=True))
+        order, earliest, _ = _settled(d, t, p, h, g)
         order = order[~earliest]
         d, t, p = d[order], t[order], p[order]
     order = np.lexsort((p, t, d))
@@ -140,19 +167,23 @@ def _settle(part: int, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), pa.array(t[first], pa.int64()), pa.array(at, pa.binary())], ["doc_id", "tag", "at"])
 
 
-def _settle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_parts(bits: int):
     """Rows sorted by part, one part after another."""
-    part, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["part"] != part:
-                yield _settle(part, rows)
-                rows = []
-            part = row["part"]
-            rows.append(row)
-    if rows:
-        yield _settle(part, rows)
-    trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["part"] != part:
+                    yield _settle(part, rows, bits)
+                    rows = []
+                part = row["part"]
+                rows.append(row)
+        if rows:
+            yield _settle(part, rows, bits)
+        trim()
+
+    return run
 
 
 def _tag(docs: DataFrame) -> Column:
@@ -170,7 +201,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     slots = min(1 << bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("doc_id", "tag", "text").mapInArrow(_windows(bits, slots, width), _PACKED)
     dealt = packed.repartitionById(slots, "slot").sortWithinPartitions("part")
-    return dealt.mapInArrow(_settle_parts, "doc_id long, tag long, at binary").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("ats"))
+    return dealt.mapInArrow(_settle_parts(bits), "doc_id long, tag long, at binary").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("ats"))
 
 
 def _remover(width: int, texts: bool, carried: int, names: list[str]):

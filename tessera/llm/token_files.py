@@ -8,8 +8,9 @@ from its data bytes; decoding is table lookup in numpy. Blocks are rows of Parqu
 Null texts are empty; an empty document is its end id alone. Rows of a null id come first (in the files their id is
 ``NO_ID``); rows of an equal id follow each other, by their ids' crc32. An empty table gives no blocks.
 
-Documents are put in order range by range of ``doc_id``: ranges hold about ``RANGE_IDS`` ids (there are ``MAX_RANGES`` at most, whose
-bounds and totals the driver sees), many to a task, settled one after another. An id that many rows have spans ranges by crc32.
+Documents are put in order range by range of (doc_id, crc32): ranges hold about ``RANGE_IDS`` ids (there are about ``MAX_RANGES`` at most, whose
+bounds and totals the driver sees), many to a task, settled one after another. The bounds are integers from the documents' ids and
+sizes, sorted by Spark; an id that many rows have spans ranges by crc32, and rows equal in both are dealt to all ranges between equal bounds.
 """
 
 from __future__ import annotations
@@ -109,17 +110,57 @@ def _counter(batches):
     trim()
 
 
+def _sizes(batches):
+    """Chunks without their ids -> (doc_id, crc, n) of each document."""
+    for batch in batches:
+        columns = [np.concatenate([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] or [np.empty(0, kind)]) for c, kind in (("docs", "<i8"), ("crcs", "<u4"), ("lengths", "<u4"))]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "crc", "n"])
+
+
+def _bounder(step: int):
+    """Documents in order -> the last (doc_id, crc) of every ``step`` ids."""
+
+    def run(batches):
+        held = 0
+        for batch in batches:
+            ends = held + np.cumsum(batch.column("n").to_numpy())
+            full = np.flatnonzero(np.diff(ends // step, prepend=held // step))
+            held = int(ends[-1]) if len(ends) else held
+            yield batch.select(["doc_id", "crc"]).take(pa.array(full))
+
+    return run
+
+
+def _bounds(coded: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds (doc_id, crc) in order, about ``step`` ids apart: at most the ids / ``step``."""
+    sizes = coded.select("docs", "crcs", "lengths").mapInArrow(_sizes, "doc_id long, crc long, n long")
+    ordered = materialize(sizes, "sizes").repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    table = ordered.mapInArrow(_bounder(step), "doc_id long, crc long").toArrow().sort_by([("doc_id", "ascending"), ("crc", "ascending")])
+    return table["doc_id"].to_numpy(), table["crc"].to_numpy()
+
+
+def _range_of(docs: np.ndarray, crcs: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], turn: int) -> np.ndarray:
+    """Range of each document: how many bounds are before it; documents equal to several take the ranges between them by turns."""
+    low, high = (np.searchsorted(bounds[0], docs, side) for side in ("left", "right"))
+    for doc in np.unique(docs[low < high]).tolist():
+        some = np.flatnonzero(docs == doc)
+        a, b = low[some[0]], high[some[0]]
+        low[some], high[some] = (a + np.searchsorted(bounds[1][a:b], crcs[some], side) for side in ("left", "right"))
+    return low + (turn + np.arange(len(docs))) % (high - low + 1)
+
+
 def _ranked(ranks, bounds):
-    """Ids -> ranks, and each chunk cut by the range of ``doc_id`` that its documents belong to."""
+    """Ids -> ranks, and each chunk cut by the range that its documents belong to."""
 
     def run(batches):
         forget()
+        turn = 0
         for batch in batches:
             for row in batch.to_pylist():
                 docs, lengths, crcs, ids = _open(row)
                 values, ends = ranks.value[ids], np.cumsum(lengths)
-                low, high = (np.searchsorted(bounds.value, docs, side) for side in ("left", "right"))
-                part = low + (crcs.astype(np.int64) * (high - low + 1) >> 32)
+                part = _range_of(docs, crcs.astype(np.int64), bounds.value, turn)
+                turn += len(docs)
                 out = []
                 for p in np.unique(part).tolist():
                     some = np.flatnonzero(part == p)
@@ -181,10 +222,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    ranges = min(MAX_RANGES, -(sum(n for n, _ in counted) // RANGE_IDS))
-    cuts = rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    total = -sum(n for n, _ in counted)
+    step = max(RANGE_IDS, -(-total // MAX_RANGES))
+    bounds = _bounds(coded, step) if total > step else (np.empty(0, np.int64), np.empty(0, np.int64))
+    ranges = len(bounds[0]) + 1
     share = spark.sparkContext.broadcast
-    cut = coded.mapInArrow(_ranked(share(rank_of), share(np.array(sorted(cuts), np.float64))), _CHUNK)
+    cut = coded.mapInArrow(_ranked(share(rank_of), share(bounds)), _CHUNK)
     tasks = max(1, min(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ordered = cut.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
     ordered.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")

@@ -13,10 +13,10 @@ U = np.uint64
 #: Bytes that separate words: space and 0x09-0x0D. UTF-8 continuation bytes never fall here.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_GOLD, SECOND = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -97,7 +97,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash of every run of ``width`` values (last ``width - 1`` starts left out)."""
+    """Rabin-Karp hash of every run of ``width`` hashes (last ``width - 1`` starts left out)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, U)
@@ -179,10 +179,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     edge[off] = True
     starts = np.flatnonzero(inside & (edge[:n] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    total = np.zeros(n + 1, U)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * powers(BASE, n), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * powers(BASE_INV, n)[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, off), starts, ends
+    return _hashed(_LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, off), starts, ends
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of bytes: its blocks of eight bytes are mixed with their place before they are summed.
+
+    A plain polynomial modulo 2**64 would give equal hashes to some long words that differ (Thue-Morse strings), whatever its base.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))
+    size = ends - starts
+    total = mix((eight[starts] & _LAST[np.minimum(size, 8)]) ^ _GOLD)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        place = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        blocks = eight[at] & _LAST[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(blocks ^ mix((place.astype(U) + U(1)) * _GOLD)), np.cumsum(more) - more)
+    return mix(total + size.astype(U) * SECOND)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 
-
 def vocabulary(name):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     return public_tokenizers.path(name)
@@ -680,3 +679,115 @@ def test_near_vectors_recall(spark):
     table = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
     found = sum(r.n_links for r in near_vectors(table).select("n_links").collect()) / 2
     assert similar.sum() >= 1500 and found >= 0.99 * similar.sum()
+
+
+def test_token_files_of_ids_beyond_doubles(spark, tmp_path):
+    """Ids that share a double are still written in order, range by range; a hot id and hot equal rows span ranges."""
+    from tessera.llm import token_files
+
+    rows = [(2**60 + i, f"text number {i} of many", "x") for i in range(64)] + [(2**60 + 7, "again " * (i % 5), "y") for i in range(60)] + [(2**62, None, "z")] * 40
+    random.Random(1).shuffle(rows)
+    small, token_files.RANGE_IDS = token_files.RANGE_IDS, 60
+    try:
+        target = str(tmp_path / "files")
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string, docs string").repartition(5), vocabulary("byte_bpe_50k.json"), 0, target)
+        got = sorted((r.start, r.doc_id, r.ids_crc32, r.n_tokens) for r in token_files.read_token_files(spark, target).collect())
+        parts = [r.n for r in spark.read.parquet(f"{target}/blocks").groupBy("part").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()]
+    finally:
+        token_files.RANGE_IDS = small
+    assert [(d, c) for _, d, c, _ in got] == sorted((d, c) for _, d, c, _ in got)
+    assert [s for s, *_ in got] == list(np.cumsum([0] + [n for *_, n in got])[:-1])
+    assert len(got) == len(rows) and len(parts) > 5 and max(parts) < 200
+
+
+def thue_morse(n, letters):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_long_words_of_two_letters_are_not_equal(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base."""
+    from tessera.llm.minhash_dedup import near_duplicates
+    from tessera.llm.substring_dedup import remove_repeats
+
+    pairs = [thue_morse(2048, letters) for letters in ("ab", "cd", "xy", "01")]
+    one, other = (" ".join(p[k] + str(i) for i in range(5) for p in pairs) for k in (0, 1))
+    table = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(table).collect()) == [(1, 1), (2, 2), (3, 1)]
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(table, texts=False).collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_word_hashes_are_of_the_words():
+    from tessera.llm.words import strings, word_hashes
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abAB é") for _ in range(rng.randint(1, 40))).replace(" ", "") for _ in range(3000)} - {""})
+    words += ["a" * n for n in range(60, 90)] + ["a" * 8 + "b" * 8, "b" * 8 + "a" * 8, "\0", "\0\0"]
+    data, offsets = strings(pa.array([" ".join(words), None, "\t".join(reversed(words)) + "\n"]))
+    hashes, first = word_hashes(data, offsets)
+    assert first.tolist() == [0, len(words), len(words), 2 * len(words)]
+    assert hashes[: len(words)].tolist() == hashes[len(words) :][::-1].tolist()
+    assert len(set(hashes.tolist())) == len(set(words))
+    folded, _ = word_hashes(data, offsets, lower=True)
+    assert len(set(folded.tolist())) == len({brute.lower(w) for w in words})
+
+
+def test_window_keys_grow_with_the_corpus():
+    from tessera.llm import substring_dedup as S
+
+    assert [S.key_bytes(b) for b in (6, 7, 14, 15, 23, 31)] == [7, 8, 8, 9, 10, 11]
+    rng = np.random.default_rng(1)
+    h, g = rng.integers(0, 2**64, (2, 500), dtype=np.uint64)
+    h[1], g[3], h[3] = h[0], g[2], h[2]
+    for bits in (6, 14, 23, 31):
+        a, b = S._unkeys(S._keys(h, g, bits), len(h), bits)
+        pairs = list(zip((h >> S.U(64 - bits)).tolist(), a.tolist(), b.tolist()))
+        assert pairs[2] == pairs[3] and len(set(pairs)) == len(h) - (2 if bits < 7 else 1), bits
+
+
+def test_two_hashes_settle_windows():
+    from tessera.llm.substring_dedup import _settled
+
+    d = np.array([3, 1, 2, 1]); t = np.zeros(4, np.int64); p = np.array([0, 5, 0, 9])
+    h = np.array([7, 7, 7, 7], np.uint64); g = np.array([1, 1, 2, 1], np.uint64)
+    order, earliest, _ = _settled(d, t, p, h, g)
+    assert {int(o): bool(e) for o, e in zip(order, earliest)} == {0: False, 1: True, 2: True, 3: False}
+
+
+def test_names_at_starts_of_sentences(spark):
+    from tessera.llm.decontamination import leaks
+
+    items = [
+        (1, "Alice buys 3 apples. Alice eats 2 apples. How many apples does Alice have left?"),
+        (2, "Marta paints 12 fences. Marta sells 5 fences at the market. How many fences are there in the end?"),
+    ]
+    docs = [
+        (10, "Robert buys 7 apples. Robert eats 4 apples. How many apples does Robert have left?"),
+        (11, "Before. Robert buys 7 apples. Alice eats 4 apples. How many apples does Paul have left? After that."),
+        (12, "Some words first\nIgor paints 40 fences. Igor sells 6 fences at the market. How many fences are there in the end? And some more."),
+        (13, items[0][1].lower()),
+        (14, "Apples are red. How many apples are there in the box that we have left on the table?"),
+        (15, items[1][1]),
+    ]
+    table = spark.createDataFrame([(*d, "k", "v") for d in docs], "doc_id long, text string, _names string, _clean string")
+    got = {(r.doc_id, r.item_id): r.kind for r in leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[10, 1] == got[12, 2] == "reparameterised" and got[15, 2] == "exact"
+    assert not [k for k in got if k[0] in (11, 14)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns named like the operators' own, where ids repeat."""
+    from tessera.llm.decontamination import drop_leaks
+    from tessera.llm.minhash_dedup import drop_near_duplicates
+
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    names = "_doc _version _key version key row doc _tokens component_id item seen".split()
+    rows = [(1, say(1)), (1, say(2)), (2, say(1) + " end"), (3, say(4)), (None, say(5)), (3, say(4))]
+    table = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = drop_near_duplicates(table, 80)
+    assert kept.columns == table.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(d), t) for d, t in (rows[0], rows[1], rows[3], rows[4]))
+    left = drop_leaks(table, spark.createDataFrame([(9, say(4))], "item_id long, text string"))
+    assert left.columns == table.columns
+    assert sorted((str(r.doc_id), r.text, r.key) for r in left.collect()) == sorted((str(d), t, 4) for d, t in rows if t != say(4))
