@@ -1,7 +1,7 @@
 """Packing into training sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Each document's ids plus an end id are cut into full sequences and one remainder. Remainders are dealt into
-randomised groups (by a hash of the id; about ``GROUP`` remainders each, however many there are) and each group
+randomised groups (by a random number that is written with each piece, so equal rows spread like others; about ``GROUP`` remainders each, however many there are) and each group
 is packed on its own: largest first into the first open sequence with room, found in O(log n) by descending a
 tournament tree whose inner nodes hold the largest room below. A group's last sequence is trimmed to a power of two where it holds exactly one.
 
@@ -93,12 +93,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, gr
     """
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     pieces = docs.mapInArrow(_cutter(vocabulary, end_id, length, with_ids), _PIECES)
-    pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pieces")
-    full = pieces.where(F.col("length") == length)
+    pieces = materialize((pieces if with_ids else pieces.drop("ids")).withColumn("deal", F.rand(17)), "pieces")
+    full = pieces.where(F.col("length") == length).drop("deal")
     rest = pieces.where(F.col("length") < length)
     groups = max(1, -(-rest.count() // group))
-    rest = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(17)), F.lit(groups)).cast("int"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    rest = rest.withColumn("grp", F.floor(F.col("deal") * groups).cast("int")).drop("deal")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema) + ", sequence_id long, offset long"
     packed = rest.groupBy("grp").applyInArrow(_packer(length), schema)
     alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return alone.unionByName(packed)

@@ -791,3 +791,12 @@ def test_stages_keep_columns_of_any_name(spark):
     left = drop_leaks(table, spark.createDataFrame([(9, say(4))], "item_id long, text string"))
     assert left.columns == table.columns
     assert sorted((str(r.doc_id), r.text, r.key) for r in left.collect()) == sorted((str(d), t, 4) for d, t in rows if t != say(4))
+
+
+def test_packing_deals_equal_rows_to_many_groups(spark):
+    from tessera.llm.packing import pack
+
+    rows = [(1, "the same words")] * 200 + [(None, None)] * 200
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), 2, group=20)
+    sizes = [r["count"] for r in out.groupBy((out.sequence_id.bitwiseAND(-(1 << 32))).alias("grp")).count().collect()]
+    assert out.count() == 400 and len(sizes) > 12 and max(sizes) < 45
