@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import frontdoor, index as I, ledger as L
@@ -110,12 +112,12 @@ select path from r where not exists (select 1 from r as x where starts_with(x.pa
 def first_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct asks of all user turns, the first of each."""
     t = read(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
-    asks = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" \n"), F.upper(F.substring_index("text", " ", 2)))).otherwise(F.concat(F.lower(F.substring_index("text", " ", 2)), F.lit("\t ")))
+    capitals = F.translate("text", ascii_lowercase, ascii_uppercase)
+    asks = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" \n"), capitals)).otherwise(F.concat("text", F.lit("\t ")))
     return L.first_asks(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), asks.alias("ask"))).select("ordinal", "copies")
 
 
-ASKS = r"""with a as (select conv_id * 1000 + turn as ordinal, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) as s from conversations where role = 'user' and text is not null),
-k as (select ordinal, regexp_replace(regexp_replace(case when (ordinal % 1000) % 2 = 0 then lower(upper(s)) else s end, '^\s+', ''), '\s+$', '') as s from a)
+ASKS = r"""with k as (select conv_id * 1000 + turn as ordinal, lower(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) as s from conversations where role = 'user' and text is not null)
 select min(ordinal) as ordinal, count(*) as copies from k group by s"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import decisions as D
 from tessera.functions.text import EDGE_L, EDGE_R
-from tessera.scratch import new_path
+from tessera.scratch import kept_path
 from tessera.sources.tables import read
 from tessera.sources.transcripts import read_transcripts, scan_history
 
@@ -21,7 +21,7 @@ def transcript_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     uuid = F.concat("conv_id", F.lit("-"), "turn")
     row = F.struct(F.col("role").alias("type"), uuid.alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"), (k % 7 == 0).alias("isSidechain"), F.struct(F.col("role").alias("role"), content.alias("content")).alias("message"))
     line = F.when(k % 11 == 0, F.substring(F.to_json(row), 1, 60)).otherwise(F.to_json(row))
-    path = new_path(spark, "transcripts")
+    path = kept_path(spark, "transcripts")
     c.select(line.alias("value")).write.text(path)
     out = read_transcripts(spark, path)
     return out.select("session", "uuid", "type", "human", "tools", "errors", F.sha2("text", 256).alias("text_sha256"))
@@ -35,7 +35,7 @@ TRANSCRIPTS = """select conv_id::varchar as session, conv_id || '-' || turn as u
 def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history file after a line watermark, and the new watermark."""
     e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("line"), "user_id", "event_type")
-    path = new_path(spark, "history")
+    path = kept_path(spark, "history")
     e.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     rows = scan_history(spark, path, 400, "line long, user_id long, event_type string")
     return rows.groupBy("event_type").agg(F.count("*").alias("rows_after"), F.max("line").alias("watermark"))

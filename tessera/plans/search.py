@@ -43,9 +43,8 @@ select doc_id, score, rank from (select *, row_number() over (order by score des
 
 
 def bm25_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subset = read(spark, sf_dir, "documents").where("lang = 'en'")
     text = F.concat_ws(" ", "source", "source", "source", "text")
-    scored = R.bm25(subset, "doc_id", code_tokens(text), CODE_TERMS)
+    scored = R.bm25(read(spark, sf_dir, "documents"), "doc_id", code_tokens(text), CODE_TERMS)
     return R.top_k(scored.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score")), "score", 20, "doc_id")
 
 
@@ -53,7 +52,7 @@ _CODE = """(select list_concat(list_filter(string_split_regex(concat_ws(' ', sou
   .list_transform(lambda t: lower(t)), flatten(list_filter(list_filter(string_split_regex(concat_ws(' ', source, source, source, text), '[^A-Za-z0-9]+'), lambda t: t <> '')
   .list_transform(lambda t: string_split(regexp_replace(regexp_replace(t, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' ')), lambda p: len(p) > 1))
   .list_transform(lambda t: lower(t))))"""
-BM25_CODE = f"""with {_bm25_sql("documents", "doc_id", _CODE, CODE_TERMS, "where lang = 'en'")},
+BM25_CODE = f"""with {_bm25_sql("documents", "doc_id", _CODE, CODE_TERMS)},
 r as (select doc as doc_id, round(score, 6) as score from scored)
 select doc_id, score, rank from (select *, row_number() over (order by score desc, doc_id) as rank from r) where rank <= 20"""
 

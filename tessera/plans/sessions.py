@@ -157,10 +157,10 @@ from e where episode > 0 group by conv_id, episode"""
 
 def stream_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that arrive as files, scored once each; patterns of effective prompts."""
-    from tessera.scratch import new_path
+    from tessera.scratch import kept_path
     from tessera.streaming.watch import scan_prompts
 
-    t, path = _turns(spark, sf_dir), new_path(spark, "conversation-files")
+    t, path = _turns(spark, sf_dir), kept_path(spark, "conversation-files")
     t.repartition(3, "conv_id").write.parquet(path)
     return scan_prompts(spark, path, t.schema, 0.3, 2).withColumn("effectiveness", F.round("effectiveness", 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.operators.code import gates, python_symbols, select_regions
 from tessera.operators.graph import connected_components
 from tessera.operators.similarity import jaccard_pairs
-from tessera.scratch import new_path
+from tessera.scratch import kept_path
 from tessera.sources import stores as S
 from tessera.sources.tables import facts, read
 
@@ -37,7 +37,7 @@ RULE_INGESTION = r"""select 'r' || doc_id as source_file, 1 + (regexp_matches(sp
 
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts written as JSON by scope and read back, with a corrupt line among them."""
-    path = new_path(spark, "facts")
+    path = kept_path(spark, "facts")
     f = facts(read(spark, sf_dir, "events")).select("fact_id", "scope", "kind", "confidence")
     S.write_scopes(f, path)
     spark.createDataFrame([('{"fact_id": 1, "kind',)], "value string").coalesce(1).write.mode("append").text(f"{path}/scope=global")

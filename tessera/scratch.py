@@ -46,6 +46,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def read_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet files that a stream may have written: no rows if it never had any."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back: known size for the planner, no recomputation, no lineage."""
     spark = df.sparkSession

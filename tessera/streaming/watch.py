@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tessera.functions.prompts import signals, structural_key
-from tessera.scratch import new_path
+from tessera.scratch import kept_path
 
 
 class Watch(StreamingQueryListener):
@@ -45,7 +45,7 @@ def scan_prompts(spark: SparkSession, source: str, schema: StructType, bar: floa
 
     Every file is scored once, in micro-batches; a batch that runs again replaces its own output.
     """
-    target, checkpoint = new_path(spark, "prompt-scores"), new_path(spark, "prompt-checkpoint")
+    target, checkpoint = kept_path(spark, "prompt-scores"), kept_path(spark, "prompt-checkpoint")
 
     def score(batch: DataFrame, number: int) -> None:
         scored = signals(batch).select("conv_id", "turn", structural_key(F.col("text")).alias("key"), "score")
