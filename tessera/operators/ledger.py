@@ -1,12 +1,8 @@
-"""Sessions, suggestions and roots as tables: pending work, untrackable outcomes, rewrites of logs, aliases, diffs."""
+"""Sessions, suggestions and roots as tables: pending work, untrackable outcomes, rewrites of logs, aliases."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from tessera.functions.rules import is_untrackable
 
@@ -77,15 +73,3 @@ def relinked(candidates: DataFrame, promoted: DataFrame, cleared: DataFrame) ->
 def ordered_union(*lists: Column) -> Column:
     """Distinct values of several lists, by first appearance."""
     return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
-
-
-def _diffs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    import difflib
-
-    for old, new in batches:
-        yield pd.Series(["\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), "a", "b", lineterm="")) for a, b in zip(old, new, strict=True)])
-
-
-def unified_diff(old: Column, new: Column) -> Column:
-    """Unified diff of two texts with three lines of context; empty for equal texts; nulls are empty texts."""
-    return F.pandas_udf(_diffs, StringType())(old, new)

@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import frontdoor, index as I, ledger as L
+from tessera.operators import frontdoor, index as I, ledger as L, patches as P
 from tessera.plans.search import _CODE
 from tessera.sources.tables import read
 
@@ -138,10 +138,25 @@ def version_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("old"), "text")
-    d = t.select("conv_id", "turn", L.unified_diff("old", "text").alias("diff"))
+    d = t.select("conv_id", "turn", P.unified_diff(F.col("old"), F.col("text")).alias("diff"))
     return d.select("conv_id", "turn", F.sha2("diff", 256).alias("diff_sha256"), change_reason(F.col("diff")).alias("reason"))
 
 
+def version_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn again, from the turn before of its role and the diff between them; the diff is also applied to a text whose lines have moved down by two (what is only added to an empty text comes first)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(w).alias("old"), "text")
+    d = t.select("conv_id", "turn", "old", P.unified_diff(F.col("old"), F.col("text")).alias("diff"))
+    moved = F.when(F.coalesce("old", F.lit("")) != "", F.concat(F.lit("moved\ndown\n"), "old")).otherwise("moved\ndown")
+    p = d.select("conv_id", "turn", P.applied(F.col("old"), F.col("diff")).alias("same"), P.applied(moved, F.col("diff")).alias("moved"))
+    return p.select("conv_id", "turn", F.sha2("same.patched", 256).alias("text_sha256"), "same.refused", F.sha2("moved.patched", 256).alias("moved_sha256"))
+
+
+PATCHES = """with t as (select conv_id, turn, coalesce(lag(text) over (partition by conv_id, role order by turn), '') as old, coalesce(text, '') as text from conversations)
+select conv_id, turn, sha256(text) as text_sha256, 0 as refused, sha256(case when text = '' then 'moved' || chr(10) || 'down' when old = '' then text || chr(10) || 'moved' || chr(10) || 'down' else 'moved' || chr(10) || 'down' || chr(10) || text end) as moved_sha256 from t"""
+
 QUERIES = {
     "walk_repository": (walk_repository, None),
     "index_refresh": (index_refresh, INDEX),
@@ -153,5 +168,6 @@ QUERIES = {
     "project_roots": (project_roots, ROOTS),
     "first_asks": (first_asks, ASKS),
     "alias_files": (alias_files, ALIASES),
+    "version_patches": (version_patches, PATCHES),
     "version_diffs": (version_diffs, None),
 }
