@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import frontdoor, index as I, ledger as L, patches as P
+from tessera.operators import frontdoor, includes, index as I, ledger as L, patches as P
 from tessera.plans.search import _CODE
 from tessera.sources.tables import read
 
@@ -157,6 +157,28 @@ def version_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATCHES = """with t as (select conv_id, turn, coalesce(lag(text) over (partition by conv_id, role order by turn), '') as old, coalesce(text, '') as text from conversations)
 select conv_id, turn, sha256(text) as text_sha256, 0 as refused, sha256(case when text = '' then 'moved' || chr(10) || 'down' when old = '' then text || chr(10) || 'moved' || chr(10) || 'down' else 'moved' || chr(10) || 'down' || chr(10) || text end) as moved_sha256 from t"""
 
+
+def include_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What include patterns name among the documents as files: folders and extensions by glob, every seventh document by its path, and paths that are refused or nowhere."""
+    f = _files(spark, sf_dir)
+    files = f.select("doc_id", "path", (F.length("text") * 400).cast("long").alias("size"), (F.col("doc_id") % 31 == 0).alias("link"))
+    paths = files.where("doc_id % 7 = 0").select((F.col("doc_id") + 100).alias("ordinal"), F.when(F.col("doc_id") % 14 == 0, F.concat(F.lit("./"), "path")).otherwise(F.col("path")).alias("pattern"))
+    globs = ["docs/*7.md", "*.go", "lib/core/*/f1?.ts", "nowhere/*", "no/such/file.py", "src/old/*"]
+    patterns = paths.unionByName(spark.createDataFrame(list(enumerate(globs)), "ordinal long, pattern string"))
+    return includes.resolve(files.drop("doc_id"), patterns, ["src/old/"], ["py", "md", "go"]).select("state", "pattern", "path", "reason")
+
+
+INCLUDES = f"""with f as (select doc_id, {_PATH} as path, length(coalesce(text, '')) * 400 as size, doc_id % 31 = 0 as link from documents),
+p as (select doc_id + 100 as ordinal, case when doc_id % 14 = 0 then './' || path else path end as pattern, path as exact from f where doc_id % 7 = 0
+  union all select * from (values (0, 'docs/*7.md', 'docs/*7.md'), (1, '*.go', '*.go'), (2, 'lib/core/*/f1?.ts', 'lib/core/*/f1?.ts'), (3, 'nowhere/*', 'nowhere/*'), (4, 'no/such/file.py', 'no/such/file.py'), (5, 'src/old/*', 'src/old/*'))),
+w as (select * from f where not link and path not like 'src/old/%' and size <= 524288 and (path like '%.py' or path like '%.md' or path like '%.go')),
+m as (select p.ordinal, p.pattern, w.path from p join w on w.path = p.pattern where p.ordinal >= 100 union all select p.ordinal, p.pattern, w.path from p join w on w.path glob p.pattern where p.ordinal < 100),
+t as (select p.ordinal, p.pattern, f.path, case when link then 'a link' when f.path like 'src/old/%' then 'inside an ignored folder' when size > 67108864 then 'too large' end as reason
+  from p left join f on f.path = p.exact where p.pattern not in (select pattern from m)),
+n as (select 'matched' as state, * from m union all select 'rescued', ordinal, pattern, path from t where path is not null and reason is null),
+r as (select *, row_number() over (partition by path order by ordinal, pattern) as k from n)
+select state, pattern, path, null as reason from r where k = 1 union all select case when path is null then 'unmatched' else 'refused' end, pattern, path, reason from t where path is null or reason is not null"""
+
 QUERIES = {
     "walk_repository": (walk_repository, None),
     "index_refresh": (index_refresh, INDEX),
@@ -168,6 +190,7 @@ QUERIES = {
     "project_roots": (project_roots, ROOTS),
     "first_asks": (first_asks, ASKS),
     "alias_files": (alias_files, ALIASES),
+    "include_sets": (include_sets, INCLUDES),
     "version_patches": (version_patches, PATCHES),
     "version_diffs": (version_diffs, None),
 }
