@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import generalize
@@ -12,6 +15,8 @@ from tessera.operators.lifecycle import PROTECTED_TAGS
 from tessera.operators.vectors import linking_edges
 from tessera.scratch import materialize
 
+#: Steps of an outcome from no confidence to full; more steps than any entry has.
+STEPS, FAR = 10, 1 << 60
 # Ranks of provenance.
 PROVENANCE = {"structural": 2, "observed": 1, "inferred": 0}
 
@@ -173,14 +178,42 @@ def resolved(identifiers: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("identifier", status.alias("status"), one.alias("fact_id"), F.when(status == "ambiguous", F.array_join("ids", ", ")).otherwise("").alias("matches"))
 
 
+def _clamped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes in order -> for each run of an entry: what its steps do to any confidence, counted in steps.
+
+    Steps compose: x -> min(high, max(low, x + shift)) after another such is one again, so a run is three numbers.
+    """
+    out: list[list] = []
+    for batch in batches:
+        for entry, success in zip(batch.column("entry_id").to_pylist(), batch.column("success").to_pylist(), strict=True):
+            if not out or out[-1][0] != entry:
+                out.append([entry, 0, -FAR, FAR, 0, 0])
+            run, step = out[-1], 1 if success else -1
+            run[1] += step
+            run[2], run[3] = min(STEPS, max(0, run[2] + step)), min(STEPS, max(0, run[3] + step))
+            run[4 if success else 5] += 1
+        done, out = out[:-1], out[-1:]
+        yield _runs(done)
+    yield _runs(out)
+
+
+def _runs(rows: list[list]) -> pa.RecordBatch:
+    names = ["entry_id", "shift", "low", "high", "wins", "losses"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names)
+
+
 def recorded(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(entry_id, success_signals, failure_signals, confidence) after ``outcomes`` (entry_id, at, success): 0.1 up or down each, within [0, 1], in order."""
-    steps = outcomes.groupBy("entry_id").agg(
-        F.count(F.when(F.col("success"), 1)).alias("wins"), F.count(F.when(~F.col("success"), 1)).alias("losses"),
-        F.transform(F.sort_array(F.collect_list(F.struct("at", F.col("success").cast("int").alias("s")))), lambda x: F.when(x["s"] == 1, 0.1).otherwise(-0.1)).alias("steps"),
-    )
-    fold = F.aggregate("steps", F.col("confidence").cast("double"), lambda c, s: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c + s)))
-    return entries.join(steps, "entry_id").select("entry_id", F.col("wins").alias("success_signals"), F.col("losses").alias("failure_signals"), fold.alias("confidence"))
+    """(entry_id, success_signals, failure_signals, confidence) after ``outcomes`` (entry_id, at, success): 0.1 up or down each, within [0, 1], in order; of equal times failures come first.
+
+    Outcomes are put in order over all tasks, so those of one entry may lie in many; each task sends on one row for an entry, and those are composed in order.
+    """
+    known = outcomes.where("entry_id is not null and success is not null").select(F.col("entry_id").cast("long").alias("entry_id"), "at", "success")
+    ordered = known.repartitionByRange("entry_id", "at", "success").sortWithinPartitions("entry_id", "at", "success")
+    runs = ordered.mapInArrow(_clamped, "entry_id long, shift long, low long, high long, wins long, losses long").withColumn("task", F.spark_partition_id())
+    parts = runs.groupBy("entry_id").agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.array_sort(F.collect_list(F.struct("task", "shift", "low", "high"))).alias("parts"))  # one for each task that has the entry
+    tenth = lambda n: n / F.lit(float(STEPS))
+    fold = F.aggregate("parts", F.col("confidence").cast("double"), lambda c, p: F.least(tenth(p["high"]), F.greatest(tenth(p["low"]), c + tenth(p["shift"]))))
+    return entries.join(parts, "entry_id").select("entry_id", F.col("wins").alias("success_signals"), F.col("losses").alias("failure_signals"), fold.alias("confidence"))
 
 
 def buckets(outcomes: DataFrame, keep: int = 50) -> DataFrame:

@@ -137,3 +137,32 @@ def test_test_paths(spark):
     no = ["testdata/a.py", "testing/x", "latest.py", "contest.txt", "tests", "inspector.py", "a/Testing.java", ""]
     rows = spark.createDataFrame([(p,) for p in yes + no], "p string").select("p", is_test_path(F.col("p")).alias("t")).collect()
     assert {r.p for r in rows if r.t} == set(yes)
+
+
+def test_outcomes_of_a_hot_entry_are_folded_in_parts(spark):
+    import random
+
+    from tessera.operators.memory import recorded
+
+    rng = random.Random(8)
+    rows = [(7 if rng.random() < 0.9 else rng.randint(1, 5), rng.randint(0, 900), rng.random() < 0.52) for _ in range(4000)] + [(None, 1, True), (7, 3, None)]
+    starts = {1: 0.0, 2: 1.0, 3: 0.35, 4: 1.7, 5: -0.4, 7: 0.5, 9: 0.2}
+    entries = spark.createDataFrame(list(starts.items()), "entry_id long, confidence double")
+    outcomes = spark.createDataFrame(rows, "entry_id long, at long, success boolean").repartition(4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.entry_id: (r.success_signals, r.failure_signals, round(r.confidence, 6)) for r in recorded(entries, outcomes).collect()}
+        spread = outcomes.where("entry_id = 7").repartitionByRange("entry_id", "at", "success").selectExpr("spark_partition_id() as p").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for entry in {e for e, _, s in rows if e is not None and s is not None}:
+        mine = sorted((at, s) for e, at, s in rows if e == entry and s is not None)
+        x = starts[entry]
+        for _, s in mine:
+            x = min(1.0, max(0.0, x + (0.1 if s else -0.1)))
+        want[entry] = (sum(s for _, s in mine), sum(not s for _, s in mine), round(x, 6))
+    assert got == want and spread > 8
