@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.functions import decisions as D, text as T
 from tessera.functions.scores import cosine
 from tessera.operators.similarity import jaccard_pairs
-from tessera.plans.search import _COS, _TOKENS
+from tessera.plans.search import _COS, _TOKENS, REVISIONS, revisions
 from tessera.scratch import materialize
 from tessera.sources.tables import read
 
@@ -117,17 +117,17 @@ select doc_id, item_id, round(c / least(na, nb), 6) as containment, round(c / (n
 
 
 def supersession(spark: SparkSession, sf_dir: str, bar: float = 0.85) -> DataFrame:
-    """For each later vector the earlier one of its label that it supersedes: the oldest with a cosine over the bar."""
+    """For each later vector (three revisions of each) the earlier one of its label that it supersedes: the oldest with a cosine over the bar."""
     from tessera.operators.vectors import earliest_link
 
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
+    v = revisions(spark, sf_dir)
     best = earliest_link(v, bar)
     both = best.join(v.select("id", F.col("vector").alias("e")), "id").join(v.select(F.col("id").alias("first"), F.col("vector").alias("o")), "first")
     conf = F.greatest(0.1 + F.col("id") % 9 / 10, F.least(F.lit(1.0), 0.1 + F.col("first") % 9 / 10 + 0.05))
     return both.select(F.col("id").alias("fact_id"), F.col("first").alias("superseded"), F.round(cosine(F.col("e"), F.col("o")), 6).alias("similarity"), F.round(conf, 6).alias("confidence"))
 
 
-SUPERSESSION = f"""with p as (select a.vec_id as fact_id, b.vec_id as old_id, {_COS.format(a="a.embedding", b="b.embedding")} as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id),
+SUPERSESSION = f"""with {REVISIONS}, p as (select a.vec_id as fact_id, b.vec_id as old_id, {_COS.format(a="a.embedding", b="b.embedding")} as similarity from revisions a join revisions b on a.label = b.label and b.vec_id < a.vec_id),
 r as (select *, row_number() over (partition by fact_id order by old_id) as rn from p where similarity > 0.85)
 select fact_id, old_id as superseded, round(similarity, 6) as similarity, round(greatest(0.1 + fact_id % 9 / 10, least(1.0, 0.1 + old_id % 9 / 10 + 0.05)), 6)::double as confidence from r where rn = 1"""
 

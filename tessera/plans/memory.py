@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.operators import memory as M
 from tessera.operators.vectors import band_pairs, best_other
-from tessera.plans.search import _COS, FACTS_SQL
+from tessera.plans.search import FACTS_SQL, REVISIONS, _COS, revisions
 from tessera.sources.tables import facts, read
 
 
@@ -172,12 +172,11 @@ select rank, 0 as place, fact_id from h union all select t.rank, pos % 2 + 1 as
 
 
 def conflict_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 pairs of vectors of a label with a cosine from 0.80 to below 0.93."""
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vector"))
-    return band_pairs(v, 0.80, 0.93, 40)
+    """The first 40 pairs of vectors of a label (three revisions of each) with a cosine from 0.80 to below 0.93."""
+    return band_pairs(revisions(spark, sf_dir), 0.80, 0.93, 40)
 
 
-BAND = f"""with p as (select a.vec_id as a, b.vec_id as b, {_COS.format(a="a.embedding", b="b.embedding")} as c from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)
+BAND = f"""with {REVISIONS}, p as (select a.vec_id as a, b.vec_id as b, {_COS.format(a="a.embedding", b="b.embedding")} as c from revisions a join revisions b on a.label = b.label and a.vec_id < b.vec_id)
 select a, b, round(c, 6) as similarity from p where c >= 0.80 and c < 0.93 order by a, b limit 40"""
 
 

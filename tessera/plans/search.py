@@ -57,6 +57,18 @@ r as (select doc as doc_id, round(score, 6) as score from scored)
 select doc_id, score, rank from (select *, row_number() over (order by score desc, doc_id) as rank from r) where rank <= 20"""
 
 
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grp, vector): every vector of ``embeddings`` and two later revisions of it, each farther away, by an amount that its id sets."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("own"), F.col("label").alias("grp"), F.col("embedding").cast("array<double>").alias("x"))
+    e = e.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    off = lambda i: ((F.col("own") * 31 + i * 17) % 7 - 3) * (1 + F.col("own") % 5) * F.col("k")
+    return e.select((F.col("own") + F.col("k") * F.lit(10**9)).alias("id"), "grp", F.transform("x", lambda v, i: v + F.lit(0.01) * off(i)).alias("vector"))
+
+
+REVISIONS = """revisions as (select vec_id + k * 1000000000 as vec_id, label, list_transform(embedding, lambda v, i: v::double + 0.01::double * (((vec_id * 31 + (i - 1) * 17) % 7 - 3) * (1 + vec_id % 5) * k)) as embedding
+  from embeddings, (select unnest(range(3)) as k))"""
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     query = vectors.where("vec_id = 0").select("embedding").first()
