@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.functions import decisions as D, text as T
 from tessera.functions.scores import cosine
 from tessera.operators.similarity import jaccard_pairs
+from tessera.operators.minhash import near_classes
 from tessera.plans.search import _COS, _TOKENS, REVISIONS, revisions
 from tessera.scratch import materialize
 from tessera.sources.tables import read
@@ -83,18 +84,19 @@ select a, b, round(c / (na + nb - c), 6) as jaccard from p where c >= 0.8 * (na
 
 
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies among all documents, by white-space token sets at Jaccard 0.8 (exact).
+    """Classes of near copies among all documents, by white-space token sets at Jaccard 0.8: each document with the smallest id that links reach."""
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t\n\r\f]+"), lambda t: t != ""))
+    classes = near_classes(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
-    Documents with equal sets collapse to the smallest id first: pairs of different sets are those of their smallest documents,
-    and every further copy is listed once, with the smallest of its set, at 1.0. Texts without a token link with nothing.
-    """
-    tokens = F.sort_array(F.array_distinct(F.filter(F.split(F.lower("text"), "[ \t\n\r\f]+"), lambda t: t != "")))
-    sets = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")).where("size(tokens) > 0")
-    sets = materialize(sets.withColumn("digest", F.sha2(F.array_join("tokens", "\n"), 256)), "token_sets")
-    first = materialize(sets.groupBy("digest").agg(F.min("id").alias("rep")), "first_of_set")
-    copies = sets.select("digest", "id").join(first, "digest").where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    distinct = materialize(sets.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "tokens"), "distinct_sets")
-    return jaccard_pairs(distinct, 0.8).unionByName(copies)
+
+NEAR_CLASSES = r"""with recursive s as (select distinct doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda t: t <> '')) as t from documents),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id <> b.doc_id group by all),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where c >= 0.8 * (x.n + y.n - c)),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on e.a = r.seen),
+m as (select node, min(seen) as class from r group by 1)
+select doc_id, coalesce(class, doc_id) as class_id, coalesce(class, doc_id) = doc_id as kept from documents left join m on node = doc_id"""
 
 
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +292,7 @@ QUERIES = {
     "generalize_dedup": (generalize_dedup, GENERALIZE),
     "content_hash_dedup": (content_hash_dedup, HASH_DEDUP),
     "near_dup_jaccard": (near_dup_jaccard, NEAR_DUP),
-    "near_dup_documents": (near_dup_documents, None),
+    "near_dup_documents": (near_dup_documents, NEAR_CLASSES),
     "benchmark_overlap": (benchmark_overlap, OVERLAP),
     "supersession": (supersession, SUPERSESSION),
     "supersession_chain": (supersession_chain, CHAIN),

@@ -48,6 +48,56 @@ def test_keywords_after_the_first_characters(spark, tmp_path):
     assert [(r.doc_id, r.score) for r in legacy_keyword_retrieval(spark, str(tmp_path)).orderBy("rank").collect()] == [(8, 0.45), (17, 0.18), (26, 0.0)]
 
 
+def classes(rows, threshold=0.8):
+    """{id: smallest id that links reach} of [(id, tokens)], by comparing all."""
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    known = [(i, set(t)) for i, t in rows if i is not None and t]
+    for k, (i, s) in enumerate(known):
+        for j, t in known[:k]:
+            if len(s & t) >= threshold * len(s | t):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
+def test_near_classes(spark):
+    import random
+
+    from tessera.operators import minhash
+
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # one large bucket of sets around the threshold, and sets of their own
+        own = [f"o{rng.randint(0, 400)}" for _ in range(rng.randint(1, 12))]
+        rows.append((i, list(dict.fromkeys(rng.sample(common, 60 - rng.randint(0, 9)) + own if i % 3 else own))))
+    rows += [(i + 200, list(t)) for i, t in rows[:20]] + [(400, []), (401, None), (None, ["a"]), (402, ["only"]), (403, ["only"]), (5, list(rows[5][1]))]
+    table = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(4)
+    block, minhash.BLOCK = minhash.BLOCK, 16
+    try:
+        got = [(r.id, r.class_id) for r in minhash.near_classes(table).collect()]
+    finally:
+        minhash.BLOCK = block
+    want = classes(rows)
+    assert len(got) == len(rows) and {i: c for i, c in got if i is not None} == want
+    assert len(set(want.values())) > 40 and max(list(want.values()).count(c) for c in set(want.values())) > 60
+    assert minhash.near_classes(table.where("false")).count() == 0
+
+
+def test_bands_find_what_reaches_the_threshold():
+    from tessera.operators import minhash
+
+    for t in (0.5, 0.8, 0.9):
+        r = minhash.rows_of(t)
+        assert (1 - t**r) ** (minhash.VALUES // r) <= minhash.MISS < (1 - t ** (r + 1)) ** (minhash.VALUES // (r + 1))
+
+
 def test_near_copies_of_documents(spark, tmp_path):
     from tessera.plans.corpus import near_dup_documents
 
@@ -55,16 +105,6 @@ def test_near_copies_of_documents(spark, tmp_path):
     texts = {i: " ".join(f"w{rng.randint(1, 40)}" for _ in range(rng.randint(3, 30))) for i in range(40)}
     texts |= {100 + i: texts[i] + " new" for i in range(20)} | {200 + i: texts[i].upper() for i in range(10)} | {300: "", 301: " ", 302: None, 303: texts[0]}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    sets = {i: frozenset((t or "").lower().split()) for i, t in texts.items()}
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    reps = sorted(first[s] for s in first if s)
-    want = {(first[sets[i]], i): 1.0 for i in sets if sets[i] and first[sets[i]] != i}
-    for a in reps:
-        for b in reps:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if a < b and j >= 0.8:
-                want[a, b] = round(j, 6)
-    got = {(r.a, r.b): r.jaccard for r in near_dup_documents(spark, str(tmp_path)).collect()}
-    assert got == want and len(want) > 20
+    want = classes([(i, (t or "").lower().split()) for i, t in texts.items()])
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_dup_documents(spark, str(tmp_path)).collect()}
+    assert got == {i: (c, c == i) for i, c in want.items()} and len(set(want.values())) < len(want) - 20
