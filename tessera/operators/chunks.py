@@ -221,6 +221,21 @@ def search(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int
     return ranked.select("query", "hit.id", (-F.col("hit.far")).alias("similarity"), (F.col("place") + 1).alias("place"))
 
 
+def similar(vectors: DataFrame, text: str) -> DataFrame:
+    """``vectors`` with ``similarity``, the cosine with one text, by a flat scan."""
+    names, query = vectors.columns, hashed(text[:HEAD]).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(names.index("vector"))).astype(np.float64) if batch.num_rows else np.zeros((0, DIMS))
+            both = (x * x).sum(1) * (query @ query)
+            cos = np.where(both > 0, (x @ query) / np.sqrt(np.where(both > 0, both, 1)), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cos)], [*names, "similarity"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in vectors.dtypes)
+    return vectors.mapInArrow(run, f"{schema}, similarity double")
+
+
 def changed(stored: DataFrame, current: DataFrame) -> DataFrame:
     """(path, state): files of ``stored`` (path, hash) whose content is another in ``current`` (path, hash), or that are gone."""
     both = stored.select("path", F.col("hash").alias("old")).join(current.select("path", F.col("hash").alias("new")), "path", "left")

@@ -11,13 +11,15 @@ from tessera.functions.text import code_tokens, is_test_path
 from tessera.operators.budget import fair_shares
 from tessera.operators.ignore import ignored
 from tessera.operators.retrieval import bm25, normalized
+from tessera.operators.structure import definitions, edges
 from tessera.scratch import materialize
 
 # Fixed values.
 DOCUMENTS, ARCHIVES = ["readme", "architecture", "design", "claude.md", "contributing", "docs/"], ["archive", "old", "deprecated"]
 ENTRIES = ["main", "app", "server", "index", "login", "auth", "__init__"]
 BROAD = ["readme", "main", "app", "__init__", "index", "setup", "config"]
-BAR, NAMED, CONTENT, PINNED_SHARE = 0.2, 10.0, 3.0, 0.5
+BAR, NAMED, CONTENT, PINNED_SHARE, TESTS = 0.2, 10.0, 3.0, 0.5, 0.4
+SYMBOL_CHARS, SYMBOL_FILES = 50_000, 50
 
 
 def _some(text: Column, words: list[str]) -> Column:
@@ -58,6 +60,37 @@ def boosted(scored: DataFrame, *boosts: DataFrame) -> DataFrame:
     return out
 
 
+def _held(term: Column) -> Column:
+    return F.exists("names", lambda n: F.contains(n, term) | F.contains(term, n))
+
+
+def semantic_boost(hits: DataFrame, demote_tests: Column, weight: float = 1.0) -> DataFrame:
+    """(path, boost): the best similarity of each file's chunks among ``hits`` (path, similarity), not below 0, times ``weight``; less for tests."""
+    near = F.greatest(F.lit(0.0), F.col("similarity"))
+    shown = F.when(is_test_path(F.col("path")) & demote_tests, near * TESTS).otherwise(near)
+    return hits.groupBy("path").agg(F.max(shown * weight).alias("boost"))
+
+
+def history_boost(facts: DataFrame) -> DataFrame:
+    """(path, boost): 0.15 for each of ``facts`` (tags) that names a file in a tag ``file:<path>``, 0.5 at most."""
+    named = facts.select(F.explode(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.startswith(t, F.lit("file:")))).alias("tag"))
+    return named.groupBy(F.substring("tag", 6, 1 << 30).alias("path")).agg(F.least(F.lit(0.5), F.count("*") * 0.15).alias("boost"))
+
+
+def symbol_boost(files: DataFrame, terms: list[str]) -> DataFrame:
+    """(path, boost): 0.4 for each of the ``terms`` of over three letters, three at most, that holds or is held by a name that the file (path, text) defines or imports.
+
+    Names come from the first 50 000 characters, which is the feature.
+    """
+    head = materialize(files.select("path", F.substring("text", 1, SYMBOL_CHARS).alias("text")), "symbol_files")
+    own = definitions(head).where("name is not null").select("path", "name")
+    names = own.unionByName(edges(head).where("kind = 'imports'").select("path", F.col("target").alias("name")))
+    known = names.groupBy("path").agg(F.collect_set(F.lower("name")).alias("names"))
+    long = [t for t in terms if len(t) > 3]
+    hits = sum((_held(F.lit(t)).cast("int") for t in long), F.lit(0))
+    return known.select("path", (0.4 * F.least(hits, F.lit(3))).alias("boost")).where("boost > 0")
+
+
 def select_files(
     files: DataFrame, prompt: str, limit: int, budget: int, includes: list[str] = (), excludes: list[str] = (), exts: list[str] = (), boosts: list[DataFrame] = ()
 ) -> DataFrame:
@@ -65,8 +98,8 @@ def select_files(
 
     Files that the prompt names or an include matches are pinned and come first, with half of ``budget`` where others compete. The
     rest is ranked: keyword relevance of its content over the files that the flags admit, the file score, 10 for a named path. Scores of 0.2 and more
-    stay (a prompt of up to five words keeps five architecture files besides; if none reaches 0.2, the ten best stay), boosts are added, and
-    the best ``limit`` share the budget max-min fair.
+    stay (a prompt of up to five words keeps five architecture files besides; if none reaches 0.2, the ten best stay), boosts are added, the
+    names in the code of the best ``max(50, 3 * limit)`` are met with the prompt, and the best ``limit`` share the budget max-min fair.
     """
     spark = files.sparkSession
     asked = spark.range(1).select(explicit_paths(F.lit(prompt)).alias("p"), targets_tests(F.lit(prompt)).alias("t"), F.array_distinct(code_tokens(F.lit(prompt))).alias("w")).first()
@@ -87,8 +120,10 @@ def select_files(
         good = good.unionByName(broad).distinct()
     if good.isEmpty():
         good = scored.orderBy(F.col("score").desc(), "path").limit(10)
-    ranked = boosted(good, *boosts).join(pool.where("pinned").select("path"), "path", "left_anti").orderBy(F.col("score").desc(), "path").limit(limit)
-    ranked = materialize(ranked, "ranked")
+    eligible = boosted(good, *boosts).join(pool.where("pinned").select("path"), "path", "left_anti")
+    best = materialize(eligible.orderBy(F.col("score").desc(), "path").limit(max(SYMBOL_FILES, 3 * limit)), "best")
+    symbols = symbol_boost(pool.join(F.broadcast(best.select("path")), "path", "left_semi"), terms)  # of at most max(50, 3 * limit) files
+    ranked = materialize(boosted(best, symbols).orderBy(F.col("score").desc(), "path").limit(limit), "ranked")
     sizes = files.select("path", "size")
     pins = pool.where("pinned").select("path", F.lit(True).alias("pinned"), F.lit(None).cast("double").alias("score"), "size")
     rest = ranked.join(sizes, "path").select("path", F.lit(False).alias("pinned"), "score", "size")

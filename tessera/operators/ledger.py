@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.rules import is_untrackable
+from tessera.operators.patches import unified_diff  # noqa: F401
 
 PENDING_SECONDS, SKEW_SECONDS = 14 * 86400, 2
 

@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import frontdoor, includes, index as I, ledger as L, patches as P
+from tessera.operators import chunks, frontdoor, includes, index as I, ledger as L, patches as P
 from tessera.plans.search import _CODE
 from tessera.sources.tables import read
 
@@ -56,10 +56,13 @@ select state, count(*) as files, 'incremental' as mode from s group by 1"""
 
 
 def front_door(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that a prompt gets: a named one, an included folder, then by content, history and semantic boosts, in 20 000 characters."""
+    """The files that a prompt gets: a named one, then by content, history, its nearest chunks and the names in the code, in 20 000 characters."""
+    prompt = "why does src/app/f1.py lose the thing and the other ring"
     f = _files(spark, sf_dir).select("path", F.length("text").alias("size"), "text", (F.col("doc_id") % 9 == 0).alias("recent"))
     history = f.where("path like 'src/app/%'").select("path", F.lit(0.15).alias("boost"))
-    got = frontdoor.select_files(f, "why does src/app/f1.py lose the thing and the other ring", 15, 20_000, excludes=["src/old/"], boosts=[history])
+    near = chunks.similar(chunks.embed(chunks.cut(f)), prompt).orderBy(F.col("similarity").desc(), "path", "place").limit(30)
+    semantic = frontdoor.semantic_boost(near, F.lit(True)).withColumn("boost", F.round("boost", 9))
+    got = frontdoor.select_files(f, prompt, 15, 20_000, excludes=["src/old/"], boosts=[history, semantic])
     return frontdoor.place_of(got).select("place", "path", "pinned", F.round("score", 6).alias("score"), "share")
 
 

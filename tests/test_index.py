@@ -58,6 +58,31 @@ def test_front_door(spark):
     assert {r.path for r in hits} == {"src/pay.py", "docs/pay.md", "src/old/pay.py"}
 
 
+def test_boosts(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import frontdoor as D
+
+    hits = spark.createDataFrame([("a.py", 0.5), ("a.py", 0.9), ("tests/test_a.py", 1.0), ("b.py", -0.3)], "path string, similarity double")
+    assert {r.path: round(r.boost, 6) for r in D.semantic_boost(hits, F.lit(True), 3.0).collect()} == {"a.py": 2.7, "tests/test_a.py": 1.2, "b.py": 0.0}
+    assert {r.path: r.boost for r in D.semantic_boost(hits, F.lit(False)).collect()}["tests/test_a.py"] == 1.0
+    facts = spark.createDataFrame([(["file:a.py", "x"],), (["file:a.py", "file:b.py"],), (None,), *[(["file:c.py"],)] * 9], "tags array<string>")
+    assert {r.path: round(r.boost, 6) for r in D.history_boost(facts).collect()} == {"a.py": 0.3, "b.py": 0.15, "c.py": 0.5}
+    code = [("u.py", "def decode_response(x):\n    return x\nclass Simulator:\n    pass\n"), ("v.ts", "import { q } from 'invoices'\nfunction go() { }"), ("w.py", "x = 1"), ("far.py", " " * 60_000 + "\ndef decode(): pass")]
+    files = spark.createDataFrame(code, "path string, text string")
+    got = {r.path: round(r.boost, 6) for r in D.symbol_boost(files, ["decode", "simulator_runs", "response", "sim", "invoice", "gone"]).collect()}
+    assert got == {"u.py": 1.2, "v.ts": 0.8}  # "gone" holds "go"
+
+
+def test_names_in_code_lift_a_file(spark):
+    from tessera.operators.frontdoor import select_files
+
+    rows = [(f"src/n{i}.py", 100, "refund refund", False) for i in range(6)] + [("src/z.py", 100, "refund\ndef charge_refund(): pass", False)]
+    files = spark.createDataFrame(rows, "path string, size long, text string, recent boolean")
+    got = select_files(files, "where does charge make a refund happen for them", 1, 1000).collect()
+    assert [r.path for r in got] == ["src/z.py"]
+
+
 def test_stratified_and_imports(spark):
     from tessera.operators.index import edges_of, import_edges, stratified
 
