@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.graph import connected_components
 from tessera.scratch import materialize
 
 SMALL, TRIMS = 500_000, 5
@@ -70,9 +71,10 @@ def _tarjan(table: pa.Table) -> pa.Table:
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes in groups of two or more that reach each other; component = smallest node.
 
-    Edges whose ends have no edge in or no edge out are trimmed first, some rounds. What is left is settled by one task where
-    it is at most ``SMALL`` edges, counted; otherwise each colour is split by the smallest node that reaches a node forwards and the
-    smallest it can reach, until no colour splits, with nodes that stand alone put aside. All rounds are joins on written tables.
+    Edges whose ends have no edge in or no edge out are trimmed first, some rounds. What is left falls into parts that no edge joins,
+    whatever its direction. Parts of at most ``SMALL`` edges, counted, are settled one by one in tasks; in larger ones each colour is split by the smallest
+    node that reaches a node forwards and the smallest it can reach, until no colour splits, with nodes that stand alone put
+    aside. All rounds are joins on written tables.
     """
     edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "directed")
     left = -1
@@ -84,8 +86,17 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
         if now == left:
             break
         left = now
-    if left <= SMALL:
-        return edges.groupBy(F.lit(0).alias("all")).applyInArrow(_tarjan, "node long, component long")
+    labels = connected_components(edges, "src", "dst").select(F.col("node").alias("src"), F.col("component").alias("part"))
+    edges = materialize(edges.join(labels, "src").select("src", "dst", "part"), "parts")
+    large = materialize(edges.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("part"), "large_parts")
+    settled = edges.join(large, "part", "left_anti").groupBy("part").applyInArrow(_tarjan, "node long, component long")
+    if large.isEmpty():
+        return settled
+    return settled.unionByName(_split(materialize(edges.join(large, "part", "left_semi").select("src", "dst"), "large_edges")))
+
+
+def _split(edges: DataFrame) -> DataFrame:
+    """(node, component) as ``cycle_groups``, by rounds of joins."""
     nodes = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
     colours = nodes.withColumn("colour", F.lit("0"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

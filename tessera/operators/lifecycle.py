@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scores import DAY, cosine
+from tessera.operators.ranking import ranked
 from tessera.operators.vectors import nearest
+from tessera.scratch import materialize
 
 # Fixed values.
 PROTECTED_TAGS = ("seed", "community", "synthesized")
@@ -49,26 +51,19 @@ def quality(confidence: Column, access: Column, success: Column) -> Column:
 def evicted(facts: DataFrame, limits: dict[str, int] = SCOPE_LIMITS) -> DataFrame:
     """Rows to evict: the lowest eviction scores of each scope beyond its limit; constraints and protected rows stand outside.
 
-    Only the surplus is ranked: counts per scope first, then a rank within (scope, score bucket) offset by the buckets below,
-    so that a scope with most of the rows is spread over many tasks.
+    Ranks are counted over all tasks, so a scope, or a score, that most rows have is no one task's work.
     """
     limit = F.coalesce(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])[F.col("scope")], F.lit(1 << 60))
     rows = facts.where(F.col("is_valid") & (F.col("kind") != "constraint") & ~protected())
-    rows = rows.withColumn("eviction_score", F.round(quality(F.col("confidence"), F.col("access_count"), F.col("success_count")), 6))
-    rows = rows.withColumn("bucket", F.floor(F.col("eviction_score") * 1000))
-    sizes = rows.groupBy("scope", "bucket").count()
-    below = F.coalesce(F.sum("count").over(Window.partitionBy("scope").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    excess = F.sum("count").over(Window.partitionBy("scope")) - limit
-    offsets = sizes.select("scope", "bucket", below.alias("below"), excess.alias("excess")).where("below < excess")
-    place = F.row_number().over(Window.partitionBy("scope", "bucket").orderBy("eviction_score", "fact_id"))
-    ranked = rows.join(F.broadcast(offsets), ["scope", "bucket"]).withColumn("place", place + F.col("below"))  # 1000 buckets a scope at most
-    return ranked.where("place <= excess").select("fact_id", "scope", "eviction_score")
+    rows = rows.withColumn("eviction_score", F.round(quality(F.col("confidence"), F.col("access_count"), F.col("success_count")), 6)).select("fact_id", "scope", "eviction_score")
+    sizes = rows.groupBy("scope").agg((F.count("*") - limit).alias("excess")).where("excess > 0")
+    full = materialize(rows.join(sizes, "scope"), "full_scopes")
+    return ranked(full, ["scope"], [F.col("eviction_score"), F.col("fact_id")], "place").where("place <= excess").select("fact_id", "scope", "eviction_score")
 
 
 def newest_beyond(rows: DataFrame, keep: int, partition: list[str]) -> DataFrame:
-    """Rows beyond the newest ``keep`` of each partition."""
-    w = Window.partitionBy(*partition).orderBy(F.col("created_at").desc(), "fact_id")
-    return rows.withColumn("age_rank", F.row_number().over(w)).where(F.col("age_rank") > keep)
+    """Rows beyond the newest ``keep`` of each partition, with ``age_rank``."""
+    return ranked(rows, partition, [F.col("created_at").desc(), F.col("fact_id")], "age_rank").where(F.col("age_rank") > keep)
 
 
 def purgeable(now: float) -> Column:

@@ -141,3 +141,29 @@ def test_redaction_and_truncation(spark):
     ).first()
     assert row.a == "password=[REDACTED]" and row.b == "token: 'abcdef99'"
     assert len(row.t) == len(row.e) == 50
+
+
+def test_ranks_of_a_hot_group_over_many_tasks(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ranking import ranked
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), rng.randint(0, 40), i) for i in range(3000)] + [("single", 1, 9000)]
+    table = spark.createDataFrame(rows, "g string, score int, id long").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.id: r.place for r in ranked(table, ["g"], [F.col("score").desc(), F.col("id")], "place").collect()}
+        assert ranked(table.where("false"), ["g"], [F.col("id")], "place").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        for place, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            want[i] = place
+    assert got == want
