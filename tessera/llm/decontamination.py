@@ -2,7 +2,7 @@
 
 Texts become canonical tokens: runs of letters and digits, lower-cased; numbers, names and units after numbers become typed
 placeholders. A name is a capitalised word inside a sentence, or one at a sentence's start that the text also has inside a sentence or at another
-start, never in small letters, and that is no usual opening word of a sentence. Windows of eight canonical tokens are hashed by three
+start, never in small letters (between a space and a space, comma, period or newline), and that is no usual opening word of a sentence. Windows of eight canonical tokens are hashed by three
 doublings of pairwise hashes and joined with the items' windows; an item of four to seven tokens is one window of its own length. A document leaks an item if at least
 ``COVERAGE`` of the item's windows occur in it and its slots are consistent: within the matched windows of one alignment, each value in
 the item corresponds to one value in the document throughout (a re-parameterised question) or to itself (an exact copy). An alignment
@@ -41,41 +41,43 @@ OPENERS = (
     "Its Let Many Most My No Now Of On One Or Our She So Some Suppose That The Their Then There These They This Those Three Two We What When Where Which Who "
     "Why With You Your Zero Das Der Die Ein Eine Es Im In Was Wenn Wer Wie Wo Con El En La Las Los Por Que Si Un Una Avec Ce Ces Dans Elle Il Le Les Pour Un Une"
 ).split()
-_INSIDE, _START = r"(?<=[\p{Ll}\p{N},] )(\p{Lu}\p{L}*)", r"(?:^|[^\p{Ll}\p{N}, ]\s+|[^\p{L}\p{N}\s,])(\p{Lu}\p{L}+)"
+_INSIDE, _START = r"(?<=[\p{Ll}\p{N},] )\p{Lu}\p{L}*", rf"(?<![\p{{L}}\p{{N}}{NAME}])\p{{Lu}}\p{{L}}+"
 
 
-def _opening_names(text: Column) -> Column:
-    """Names that stand at starts of sentences of ``text``."""
-    starts = F.array_sort(F.regexp_extract_all(text, F.lit(_START), F.lit(1)))
-    twice = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts) + 1), lambda a, b: F.when(a == b, a))
-    again = F.array_union(F.filter(twice, lambda w: w.isNotNull()), F.array_intersect(starts, F.regexp_extract_all(text, F.lit(_INSIDE), F.lit(1))))
-    small = lambda w: F.contains(text, F.lower(w)) & F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.lower(w), F.lit(r"(?!\p{L})")))
-    return F.filter(F.array_except(again, F.array(*map(F.lit, OPENERS))), lambda w: ~small(w))
+def _opening_names() -> tuple[Column, Column]:
+    """(capitalised words that are left in ``_named``, sorted, for a column ``_starts``; of those the names, by what the text has elsewhere)."""
+    starts = F.sort_array(F.regexp_extract_all("_named", F.lit(_START), F.lit(0)))
+    twice = F.zip_with("_starts", F.slice("_starts", F.lit(2), F.size("_starts") + 1), lambda a, b: F.when(a == b, a))
+    inside = F.when(F.contains("_named", F.lit(NAME)), F.regexp_extract_all("_clean", F.lit(_INSIDE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    again = F.array_union(F.filter(twice, lambda w: w.isNotNull()), F.array_intersect("_starts", inside))
+    small = lambda w: F.exists(F.array(*map(F.lit, " .,\n")), lambda end: F.contains("_clean", F.concat(F.lit(" "), F.lower(w), end)))
+    return starts, F.filter(F.array_except(again, F.array(*map(F.lit, OPENERS))), lambda w: ~small(w))
 
 
-def _canonical(rows: DataFrame, kept: list[str], tagged: bool, name: str = "_tokens") -> DataFrame:
-    """``kept`` columns of ``rows`` and the canonical tokens of its ``text``; each step is a column of its own, computed once."""
+def _canonical(rows: DataFrame, kept: list[str], tagged: bool) -> DataFrame:
+    """``kept`` columns of ``rows`` and ``_tokens``, the canonical tokens of its ``text``; with ``tagged``, placeholders keep the value behind their mark.
+
+    A decimal or grouped number is one. Each step is a column of its own, computed once.
+    """
+    value = "$0" if tagged else ""
     clean = F.coalesce(F.col("text"), F.lit(""))
     for mark in (NUMBER, UNIT, NAME):
         clean = F.replace(clean, F.lit(mark), F.lit(" "))
-    cleaned = rows.select(*kept, clean.alias("_clean"))
-    return cleaned.select(*kept, "_clean", _opening_names(F.col("_clean")).alias("_names")).select(*kept, _tokens(F.col("_clean"), F.col("_names"), tagged).alias(name))
-
-
-def _tokens(clean: Column, names: Column, tagged: bool) -> Column:
-    """Canonical tokens; with ``tagged``, placeholders keep the value behind their mark. A decimal or grouped number is one."""
-    value = "$0" if tagged else ""
-    inside = F.regexp_replace(clean, _INSIDE, NAME + value)
-    opening = F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}{NAME}])(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
-    named = F.when(F.size(names) > 0, F.regexp_replace(inside, opening, F.lit(NAME + value))).otherwise(inside)
-    spaced = F.regexp_replace(named, r"(?<=\p{N})(?=\p{L})", " ")
+    rows = rows.select(*kept, clean.alias("_clean"))
+    rows = rows.select(*kept, "_clean", F.regexp_replace("_clean", _INSIDE, NAME + value).alias("_named"))
+    starts, names = _opening_names()
+    rows = rows.select(*kept, "_clean", "_named", starts.alias("_starts")).select(*kept, "_clean", "_named", names.alias("_names"))
+    opening = F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}{NAME}])(?:"), F.array_join("_names", "|"), F.lit(r")(?!\p{L})"))
+    named = F.when(F.size("_names") > 0, F.regexp_replace("_named", opening, F.lit(NAME + value))).otherwise(F.col("_named"))
+    rows = rows.select(*kept, "_clean", named.alias("_named"))
+    spaced = F.regexp_replace("_named", r"(?<=\p{N})(?=\p{L})", " ")
     numbered = F.regexp_replace(spaced, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,]\p{N}+)*(?![\p{L}\p{N}])", NUMBER + value)
     unit = F.regexp_replace(
         numbered, rf"(?i)({NUMBER}(?:\p{{N}}+(?:[.,]\p{{N}}+)*)?[ \t]?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 " + UNIT + ("$2" if tagged else "")
     )
-    marked = F.when(clean.rlike(r"\p{N}"), unit).otherwise(named)
+    marked = F.when(F.col("_clean").rlike(r"\p{N}"), unit).otherwise(F.col("_named"))
     between = rf"(?:[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}.,]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
-    return F.filter(F.split(F.lower(marked), between), lambda t: t != "")
+    return rows.select(*kept, F.filter(F.split(F.lower(marked), between), lambda t: t != "").alias("_tokens"))
 
 
 def _with_windows(rows: DataFrame, name: str, widths: list[int], whole: bool = False) -> DataFrame:
