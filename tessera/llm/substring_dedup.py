@@ -10,7 +10,7 @@ are dealt evenly to the shuffle partitions; the more ranges, the shorter the pac
 
 Windows are compared by two Rabin-Karp hashes of different word values. A window carries as many bits of them as the corpus needs: seven bytes within one of
 64 ranges, one more for every eight doublings of the ranges, so the chance that any two different windows of the whole
-corpus are taken for one stays under 1/200 at every size.
+corpus are taken for one stays under 1/250 at every size.
 
 Null and blank texts have no words; shorter texts than a window lose nothing. Rows of an equal ``doc_id`` are kept apart by a
 hash of their texts: an equal start is not an earlier one, so equal rows lose nothing to each other, and what other rows
@@ -68,8 +68,8 @@ def _unpack(docs: bytes, tags: bytes, counts: bytes, at: bytes, hashes: bytes) -
 
 
 def key_bytes(bits: int) -> int:
-    """Bytes of a window's hashes within one of ``2**bits`` ranges: N windows and N * N / 2 pairs take twice the bits of N."""
-    return max(7, -(-(bits + 50) // 8))
+    """Bytes of a window's hashes within one of ``2**bits`` ranges: with 2**(bits + 21) windows at most, 2**-8 wrong pairs are expected."""
+    return max(7, -(-(bits + 49) // 8))
 
 
 def _keys(h: np.ndarray, g: np.ndarray, bits: int) -> bytes:
