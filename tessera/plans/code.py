@@ -32,11 +32,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, methods (and those directly in the class), bases and swallowed errors of each file."""
     files = _files(spark, sf_dir)
-    d = S.definitions(files).groupBy("path").agg(
+    found = materialize(S.blocks(files).withColumn("content", F.lit("")), "blocks")  # no column here tells of contents
+    defined = materialize(S.definitions(files, found).drop("content", "start", "end"), "defined")
+    d = defined.groupBy("path").agg(
         F.max(F.when(F.col("kind") == "class", F.col("name"))).alias("class"), F.count(F.when(F.col("kind") == "function", 1)).alias("methods"), F.count("within").alias("inside"), F.max("last").alias("lines")
     )
-    bases = S.edges(files).where("kind = 'inherits'").groupBy("path").agg(F.max("target").alias("base"))
-    silent = S.swallowed(files).groupBy("path").agg(F.count("*").alias("swallowed"))
+    bases = S.edges(files, defined).where("kind = 'inherits'").groupBy("path").agg(F.max("target").alias("base"))
+    silent = S.swallowed(files, found).groupBy("path").agg(F.count("*").alias("swallowed"))
     return d.join(bases, "path", "left").join(silent, "path", "left").select("path", "class", "methods", "inside", "lines", "base", F.coalesce("swallowed", F.lit(0)).alias("swallowed"))
 
 

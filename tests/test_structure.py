@@ -201,3 +201,19 @@ def test_blanking_keeps_places():
         for pattern in (S._C_LIKE, S._PYTHON):
             blank = S.blanked(text or "", pattern)
             assert len(blank) == len(text or "") and blank.count("\n") == (text or "").count("\n")
+
+
+def test_blocks_are_small_and_read_once(spark, tmp_path, monkeypatch):
+    from tessera.plans import code
+
+    calls, made = [], S.blocks
+    monkeypatch.setattr(S, "blocks", lambda files: calls.append(1) or made(files))
+    spark.createDataFrame([(i, "one\n\n  two\n" + "word " * 2000 + "\nfour") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r for r in code.code_structure(spark, str(tmp_path)).collect()}
+    assert len(calls) == 1
+    assert {(r.methods, r.inside, r.swallowed) for r in got.values()} == {(4, 4, 2)}
+    assert {p.split(".")[1]: r.lines for p, r in got.items()} == {"js": 18, "java": 18, "cs": 18, "cpp": 18, "py": 26}
+    files = spark.createDataFrame([("a.js", "class A {\n" + "f() { // " + "x" * 9000 + "\n g(); }\n" + "}")], "path string, text string")
+    rows = made(files).collect()
+    assert [(r.line, r.last, r.body, len(r.content)) for r in rows] == [(2, 3, None, 2000), (1, 4, None, 2000)]
+    assert [S._idle(c, 0, len(c)) for c in (" \n", " pass ;\n", "...", "pass" + " " * 50_000 + "x", " " * 50_000 + "x")] == ["", "pass ;", "...", None, None]
