@@ -60,8 +60,9 @@ def _tarjan(table: pa.Table) -> pa.Table:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == order[node]:
-                    group = stack[stack.index(node) :] if stack[-1] != node else [node]
-                    del stack[len(stack) - len(group) :]
+                    group = [stack.pop()]
+                    while group[-1] != node:
+                        group.append(stack.pop())
                     held.difference_update(group)
                     if len(group) > 1:
                         out += [(n, min(group)) for n in group]

@@ -108,3 +108,19 @@ def test_near_copies_of_documents(spark, tmp_path):
     want = classes([(i, (t or "").lower().split()) for i, t in texts.items()])
     got = {r.doc_id: (r.class_id, r.kept) for r in near_dup_documents(spark, str(tmp_path)).collect()}
     assert got == {i: (c, c == i) for i, c in want.items()} and len(set(want.values())) < len(want) - 20
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    import random
+
+    from tessera.operators import graph
+
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or write(df, name))
+    nodes = list(range(600))
+    random.Random(4).shuffle(nodes)
+    paths = [nodes[:400], nodes[400:]]
+    rows = [(a, b) for p in paths for a, b in zip(p, p[1:])] + [(i, i + 1) for i in range(1000, 1200)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {n: min(p) for p in (*paths, range(1000, 1201)) for n in p}
+    assert written.count("labels") <= 12  # 74 without hooks
