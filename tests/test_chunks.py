@@ -113,3 +113,22 @@ def test_refresh_equals_rebuild(spark):
         assert sum(r["count"] for r in made) - max(r["count"] for r in made) < 4 and {r.path for r in made} <= set(changed)
         rounds += 1
     assert rounds > 2 and rows(chunks) == rows(after)
+
+
+def test_search_compares_the_first_copies_only(spark, monkeypatch):
+    from tessera.operators import chunks as C
+
+    monkeypatch.setattr(C, "AT_ONCE", 2)
+    seen, compared = [], C._compared
+    monkeypatch.setattr(C, "_compared", lambda vectors, *rest: seen.append(vectors.count()) or compared(vectors, *rest))
+    texts = ["alpha beta"] * 40 + ["alpha beta gamma", "gamma", "", "delta alpha"]
+    vectors = C.embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")).select("id", "vector")
+    queries = C.embed(spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "gamma", "", "alpha", "delta"])], "query long, content string"))
+    centroids = C.train(vectors, 2)
+    rows = C.search(C.place(vectors, centroids), centroids, queries, k=3, probes=1, exact=True).collect()
+    x, q = [[C.hashed(t).astype(float) for t in ts] for ts in (texts, ["alpha beta", "gamma", "", "alpha", "delta"])]
+    for i, v in enumerate(q):
+        cos = [float(v @ w / ((v @ v) * (w @ w)) ** 0.5) if (v @ v) * (w @ w) else 0.0 for w in x]
+        want = sorted(range(len(x)), key=lambda j: (-cos[j], j))[:3]
+        assert [r.id for r in sorted((r for r in rows if r.query == i), key=lambda r: r.place)] == want
+    assert seen and max(seen) == 7
