@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators.documents import markdown_sections
+from tessera.operators.ranking import ranked
 from tessera.scratch import materialize
 
 # Prefixes of legacy patterns and the kinds that they become, in their order.
@@ -48,14 +49,20 @@ def entry_hash(pattern: Column, suggestion: Column) -> Column:
 
 
 def import_dataset(rows: DataFrame, mapping: dict[str, str], existing: DataFrame, order: str, limit: int) -> DataFrame:
-    """New entries of the first ``limit`` dataset rows: mapped columns, non-empty pattern and suggestion, each content hash once and not in ``existing`` (hash)."""
+    """New entries of the first ``limit`` dataset rows: mapped columns, non-empty pattern and suggestion, each content hash once and not in ``existing`` (hash).
+
+    Only where there are more rows than ``limit`` are they put in order, over all tasks. The first row of each hash is found without
+    the texts; a reader who needs no texts shuffles none.
+    """
     text = lambda name, default: F.coalesce(F.col(mapping.get(name, default)).cast("string"), F.lit(""))
-    first = rows.orderBy(order).limit(limit)
+    first = ranked(rows, [], [F.col(order)], "_place").where(F.col("_place") <= limit) if rows.count() > limit else rows
     extra = [F.coalesce(F.col(mapping[c]).cast("string"), F.lit("")).alias(c) for c in ("context", "reasoning", "algorithm_type") if c in mapping]
     named = first.select(order, text("pattern", "text").alias("pattern"), text("suggestion", "code").alias("suggestion"), *extra).where("pattern <> '' and suggestion <> ''")
     hashed = named.withColumn("hash", entry_hash(F.col("pattern"), F.col("suggestion")))
-    once = hashed.groupBy("hash").agg(F.min(F.struct(order, *[c for c in hashed.columns if c not in (order, "hash")])).alias("r")).select("hash", "r.*")
-    return once.join(existing.select("hash").distinct(), "hash", "left_anti")
+    new = hashed.groupBy("hash").agg(F.min(F.struct(order)).alias("f")).join(existing.select("hash").distinct(), "hash", "left_anti")
+    theirs = hashed.withColumn("f", F.struct(order)).join(new, ["hash", "f"]).drop("f")
+    rest = [c for c in hashed.columns if c not in (order, "hash")]
+    return theirs.groupBy("hash", order).agg(*[F.min_by(c, F.struct(*rest)).alias(c) for c in rest])
 
 
 def ingest_rules(files: DataFrame, checksums: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

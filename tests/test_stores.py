@@ -142,3 +142,17 @@ def test_runs_are_identical(spark):
     for name in ("validation_gates", "loop_decision", "hypothesis_states"):
         a, b = (sorted(map(str, catalog.QUERIES[name](spark, data).collect())) for _ in range(2))
         assert a == b
+
+
+def test_dataset_import_orders_no_texts_in_one_task(spark):
+    from tessera.sources import stores as S
+
+    rows = spark.createDataFrame([(k, f"p{k % 7}", f"s{k % 3}", f"c{-k}") for k in range(1, 41)] + [(None, "p0", "s9", "c")], "k long, p string, s string, context string")
+    none = spark.createDataFrame([], "hash string")
+    mapping = {"pattern": "p", "suggestion": "s", "context": "context"}
+    whole = S.import_dataset(rows, mapping, none, "k", 1 << 30)
+    plan = whole._jdf.queryExecution().toString()
+    assert "GlobalLimit" not in plan and "TakeOrdered" not in plan
+    assert {(r.k, r.pattern, r.suggestion, r.context) for r in whole.where("k is not null").collect()} == {(k, f"p{k % 7}", f"s{k % 3}", f"c{-k}") for k in range(1, 22)}
+    some = S.import_dataset(rows, mapping, whole.where("k = 2").select("hash"), "k", 5).collect()
+    assert {r.k for r in some} == {None, 1, 3, 4}
