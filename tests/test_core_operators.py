@@ -167,3 +167,39 @@ def test_ranks_of_a_hot_group_over_many_tasks(spark):
         for place, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
             want[i] = place
     assert got == want
+
+
+def test_tfidf_writes_a_row_for_each_document(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    from tessera.operators import retrieval as R
+
+    texts = [(1, "Red fox red fox jumps"), (2, "a red dog"), (2, "fox jumps"), (3, None), (4, ""), (5, "blue sky over the red fox"), (None, "red fox")]
+    docs = spark.createDataFrame(texts, "id long, t string")
+    sizes, materialize = [], R.materialize
+
+    def counted(df, name, *rest):
+        out = materialize(df, name, *rest)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialize", counted)
+    got = {r.id: r.score for r in R.tfidf_search(docs, "id", "t", "the red fox jumps", 10, 0.0, 6).collect()}
+    assert max(sizes) <= len(texts)  # counts of a document stay in its row
+
+    def terms(t):
+        ws = [w for w in (t or "").lower().split() if len(w) > 1 and w not in R.STOP_WORDS]
+        return Counter(ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])])
+
+    per, total = {}, Counter()
+    for k, t in texts:
+        per[k] = per.get(k, Counter()) + terms(t)
+        total += terms(t)
+    kept = sorted(total, key=lambda t: (-total[t], t))[:6]
+    idf = {t: math.log((1 + len(texts)) / (1 + sum(t in c for c in per.values()))) + 1 for t in kept}
+    vector = lambda c: {t: c[t] * idf[t] for t in kept if c[t]}
+    q = vector(terms("the red fox jumps"))
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {k: round(sum(x * q.get(t, 0) for t, x in vector(c).items()) / (norm(vector(c)) * norm(q)), 6) for k, c in per.items() if k is not None and any(t in q for t in vector(c))}
+    assert got == want
