@@ -79,7 +79,8 @@ def stratified(files: DataFrame, most: int) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """(source, target) from Python files (module, text): ``import a.b`` gives a.b, ``from a import b`` a and a.b; no loops, each once."""
-    lines = files.select("module", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    # Lines without the word are no imports; they are left out before they are rows.
+    lines = files.select("module", F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.contains(x, F.lit("import")))).alias("line"))
     plain = F.regexp_extract("line", r"^\s*import\s+(.+?)\s*(?:#.*)?$", 1)
     source = F.regexp_extract("line", r"^\s*from\s+([\w.]+)\s+import\s+\(?(.+?)\)?\s*(?:#.*)?$", 1)
     names = F.split(F.regexp_extract("line", r"^\s*from\s+([\w.]+)\s+import\s+\(?(.+?)\)?\s*(?:#.*)?$", 2), r"\s*,\s*")

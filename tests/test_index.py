@@ -125,3 +125,12 @@ def test_ledgers(spark):
     one = spark.range(1).select(L.ordered_union(F.array(F.lit("b"), F.lit("a")), F.lit(None).cast("array<string>"), F.array(F.lit("a"), F.lit("c"))).alias("u"), L.unified_diff(F.lit("a\nb"), F.lit("a\nc")).alias("d"), L.unified_diff(F.lit(None).cast("string"), F.lit("")).alias("e")).first()
     assert one.u == ["b", "a", "c"] and one.d.split("\n")[-2:] == ["-b", "+c"] and one.e == ""
     pytest.importorskip("pandas")
+
+
+def test_lines_without_imports_become_no_rows(spark):
+    from tessera.operators.index import import_edges
+
+    files = spark.createDataFrame([("m", "x = 1\n" * 50 + "import a, b.c as d  # why\nfrom e import (f, g)\nreimport = 2\n")], "module string, text string")
+    edges = import_edges(files)
+    assert "contains(" in edges._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.target for r in edges.collect()} == {"a", "b.c", "e", "e.f", "e.g"}
