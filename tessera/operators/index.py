@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.rules import language_of, suffix
@@ -12,7 +15,8 @@ from tessera.operators.budget import slots
 from tessera.operators.ignore import ignored
 from tessera.scratch import materialize
 
-READ_CHARS = 200_000
+#: Characters read of a file; files whose terms are counted at once.
+READ_CHARS, AT_ONCE = 200_000, 256
 
 
 def walk(spark: SparkSession, folder: str, exts: list[str] | None = None, rules: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -46,6 +50,16 @@ def _state() -> Column:
     )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, term, tf) of (path, terms), some files at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(at, AT_ONCE)
+            paths, terms = some.column("path"), some.column("terms")
+            counts = pa.table({"row": pc.list_parent_indices(terms), "term": terms.flatten()}).group_by(["row", "term"]).aggregate([([], "count_all")])
+            yield from pa.table({"path": paths.take(counts["row"].combine_chunks()), "term": counts["term"], "tf": counts["count_all"]}).to_batches()
+
+
 def refresh(files: DataFrame, postings: DataFrame, current: DataFrame, stored_signature: str, signature: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, postings, report) after the stored index was brought level with ``current`` (path, size, mtime, hash, text).
 
@@ -59,7 +73,9 @@ def refresh(files: DataFrame, postings: DataFrame, current: DataFrame, stored_si
     states = materialize(current.select("path", "size", "mtime", "hash").join(old, "path", "full_outer").withColumn("state", _state()), "states")
     fresh = current.join(states.where("state in ('added', 'changed')").select("path"), "path", "left_semi")
     terms = code_tokens(F.concat_ws(" ", "path", "path", "path", F.coalesce("text", F.lit(""))))
-    new = fresh.select("path", F.explode(terms).alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf"))
+    new = fresh.select("path", terms.alias("terms")).mapInArrow(_counted, "path string, term string, tf long")
+    if not states.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # rows of one path are one file
+        new = new.groupBy("path", "term").agg(F.sum("tf").alias("tf"))
     kept = postings.join(states.where("state in ('unchanged', 'touched')").select("path"), "path", "left_semi").select("path", "term", "tf")
     any_old, moved = F.max(F.col("old_mtime").isNotNull()), F.max(~F.col("state").isin("unchanged"))
     wiped = F.lit(stored_signature not in ("", signature))

@@ -134,3 +134,22 @@ def test_lines_without_imports_become_no_rows(spark):
     edges = import_edges(files)
     assert "contains(" in edges._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.target for r in edges.collect()} == {"a", "b.c", "e", "e.f", "e.g"}
+
+
+def test_terms_of_a_file_are_counted_in_its_task(spark):
+    from tessera.operators import index as I
+
+    texts = [(f"f{k}.py", 1, 1, f"h{k}", " ".join(f"w{j % 5}" for j in range(k % 9))) for k in range(600)] + [("f1.py", 1, 1, "h1", "w0 more")]
+    schema = "path string, size long, mtime int, hash string, text string"
+    empty = spark.createDataFrame([], schema)
+    none = empty.selectExpr("path", "'' as term", "0L as tf")
+    for some, rows in ((texts[:-1], 600), (texts, 601)):
+        _, postings, _ = I.refresh(empty.drop("text"), none, spark.createDataFrame(some, schema), "", "v")
+        if rows == 600:
+            assert "HashAggregate" not in postings._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+        want = {}
+        for path, _, _, _, text in some:
+            for t in [path[:-3], "py"] * 3 + text.split():
+                want[path, t] = want.get((path, t), 0) + 1
+        got = postings.collect()
+        assert {(r.path, r.term): r.tf for r in got} == want and len(got) == len(want)
