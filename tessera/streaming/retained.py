@@ -9,82 +9,88 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from tessera.scratch import kept_path, read_written
 from tessera.streaming.runs import fed
 
-HOUR = 3_600_000
-_CHANGES = "key long, at timestamp, session long, first long, last long"
+HOUR = 3_600_000_000
+#: Groups of keys: a call of the processor and a few reads and writes of state serve all keys of one. Fixed, as a checkpoint keeps them.
+BUCKETS = 256
+_CHANGES = "key long, at timestamp, opens boolean, session long, first long, last long"
 _OUT = "key long, session long, state string"
-_LONG = lambda *names: StructType([StructField(n, LongType()) for n in names])
 
 
 def _by_hour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sessions as they are; of changes only the first and last of each key and hour, which answer every question about a window of hours (at the later one's time)."""
-    names = ["key", "at", "session", "first", "last"]
+    names = ["key", "at", "opens", "session", "first", "last"]
     for batch in batches:
         table = pa.Table.from_batches([batch])
         change = table["session"].is_null()
         changes = table.filter(change)
-        hour = pa.array(changes["ms"].to_numpy() // HOUR, pa.int64())
-        grouped = pa.table({"key": changes["key"], "hour": hour, "ms": changes["ms"], "at": changes["at"]}).group_by(["key", "hour"]).aggregate([("ms", "min"), ("ms", "max"), ("at", "max")])
+        hour = pa.array(changes["us"].to_numpy() // HOUR, pa.int64())
+        grouped = pa.table({"key": changes["key"], "hour": hour, "us": changes["us"], "at": changes["at"]}).group_by(["key", "hour"]).aggregate([("us", "min"), ("us", "max"), ("at", "max")])
         opened = table.filter(pa.compute.invert(change))
-        yield from pa.table([grouped["key"], grouped["at_max"], pa.nulls(len(grouped), pa.int64()), grouped["ms_min"], grouped["ms_max"]], names).to_batches()
-        yield from pa.table([opened["key"], opened["at"], opened["session"], opened["ms"], opened["ms"]], names).to_batches()
+        flags = lambda rows, value: pa.array(np.full(len(rows), value), pa.bool_())
+        yield from pa.table([grouped["key"], grouped["at_max"], flags(grouped, False), pa.array(np.zeros(len(grouped), np.int64)), grouped["us_min"], grouped["us_max"]], names).to_batches()
+        yield from pa.table([opened["key"], opened["at"], flags(opened, True), opened["session"], opened["us"], opened["us"]], names).to_batches()
 
 
 class Retained(StatefulProcessor):
-    """For one key: open sessions (by id: since when) and its changes by hour; both end by timers.
+    """For one bucket of keys: open sessions (since when) and the changes of a key by hour, as columns; both end by timers.
 
-    A change resolves every session that opened at or before it and no more than ``keep`` ms earlier, in whatever order both arrive. A
-    session that the watermark leaves behind by ``keep`` expires. Changes are kept while a session that opened before them may still arrive.
+    A change resolves every session of its key that opened at or before it and no more than ``keep`` microseconds earlier, in whatever order both arrive.
+    A session that the watermark leaves behind by ``keep`` expires. Changes are kept while a session that opened before them may still arrive.
+    A bucket has a timer at the first time at which any of its rows ends, and then all that have ended go.
     """
 
+    OPEN, CHANGES = ["key", "session", "since"], ["key", "hour", "first", "last"]
+
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", _LONG("session"), _LONG("since"))
-        self.changes = handle.getMapState("changes", _LONG("hour"), _LONG("first", "last"))
-
-    def _changes(self) -> tuple[np.ndarray, np.ndarray]:
-        held = sorted(v for _, v in self.changes.iterator())
-        return np.array([v[0] for v in held], np.int64), np.array([v[1] for v in held], np.int64)
-
-    def _resolved(self, since: int, first: np.ndarray, last: np.ndarray) -> bool:
-        """Whether a change lies in [since, since + keep]: an hour's first or last does, as the window is longer than an hour."""
-        inside = ((first >= since) & (first <= since + self.keep)) | ((last >= since) & (last <= since + self.keep))
-        return bool(inside.any())
+        columns = lambda names: ", ".join(f"{n} array<bigint>" for n in names)
+        self.open = handle.getValueState("open", columns(self.OPEN))
+        self.changes = handle.getValueState("changes", columns(self.CHANGES))
+
+    def _held(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        read = lambda state, names: pd.DataFrame(dict(zip(names, state.get() or [[]] * len(names))), dtype=np.int64)
+        return read(self.open, self.OPEN), read(self.changes, self.CHANGES)
+
+    def _keep(self, opened: pd.DataFrame, changes: pd.DataFrame) -> None:
+        """Both tables as the state from now on, and a timer for what ends first."""
+        for state, rows in ((self.open, opened), (self.changes, changes)):
+            if len(rows):
+                state.update(tuple(rows[c].tolist() for c in rows))
+            else:
+                state.clear()
+        ends = [*(opened["since"] + self.keep).nsmallest(1), *((changes["hour"] + 1) * HOUR).nsmallest(1)]
+        if ends:
+            self.handle.registerTimer(int(min(ends)) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            changes = batch[batch["session"].isna()]
-            for hour, part in changes.groupby(changes["first"] // HOUR):
-                had = self.changes.getValue((int(hour),)) if self.changes.containsKey((int(hour),)) else (2**62, -(2**62))
-                self.changes.updateValue((int(hour),), (min(had[0], int(part["first"].min())), max(had[1], int(part["last"].max()))))
-                self.handle.registerTimer((int(hour) + 1) * HOUR)
-            for session, since in batch[batch["session"].notna()][["session", "first"]].itertuples(index=False):
-                had = self.open.getValue((int(session),))[0] if self.open.containsKey((int(session),)) else 2**62
-                self.open.updateValue((int(session),), (min(had, int(since)),))
-                self.handle.registerTimer(int(since) + self.keep)
-        first, last = self._changes()
-        done = [s[0] for s, since in self.open.iterator() if self._resolved(since[0], first, last)]
-        for session in done:
-            self.open.removeKey((session,))
-        if done:
-            yield pd.DataFrame({"key": key[0], "session": done, "state": "resolved"})
+        opened, changes = self._held()
+        batch = pd.concat(rows)
+        came, seen = batch[batch["opens"]], batch[~batch["opens"]]
+        opened = pd.concat([opened, came.rename(columns={"first": "since"})[self.OPEN]]).groupby(["key", "session"], as_index=False)["since"].min()
+        changes = pd.concat([changes, seen.assign(hour=seen["first"] // HOUR)[self.CHANGES]]).groupby(["key", "hour"], as_index=False).agg({"first": "min", "last": "max"})
+        times = pd.concat([changes[["key", end]].set_axis(["key", "time"], axis=1) for end in ("first", "last")]).sort_values("time")
+        # The next change of the key: an hour's first or last is in the window if any is, as the window is longer than an hour.
+        met = pd.merge_asof(opened.sort_values("since"), times, left_on="since", right_on="time", by="key", direction="forward", tolerance=self.keep)
+        done = met["time"].notna()
+        self._keep(met.loc[~done, self.OPEN], changes)
+        if done.any():
+            yield met.loc[done, ["key", "session"]].assign(state="resolved")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for hour in [h[0] for h, _ in self.changes.iterator() if (h[0] + 1) * HOUR <= now]:
-            self.changes.removeKey((hour,))
-        gone = [s[0] for s, since in self.open.iterator() if since[0] + self.keep <= now]
-        for session in gone:
-            self.open.removeKey((session,))
-        if gone:
-            yield pd.DataFrame({"key": key[0], "session": gone, "state": "expired"})
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        opened, changes = self._held()
+        gone = opened["since"] + self.keep < now
+        self._keep(opened[~gone], changes[(changes["hour"] + 1) * HOUR >= now])
+        if gone.any():
+            yield opened.loc[gone, ["key", "session"]].assign(state="expired")
 
 
 def retained(spark: SparkSession, parts: list[DataFrame], days: int, delay: str) -> tuple[DataFrame, str]:
@@ -93,7 +99,8 @@ def retained(spark: SparkSession, parts: list[DataFrame], days: int, delay: str)
     Rows are (key, ts, session), in parts as they arrive: a session opens at ts, or, where ``session`` is null, the key changes. A session
     is resolved by a change from its opening to ``days`` later; ``delay`` is how late rows may come. A session that comes again
     counts from its first opening in state, and is resolved if it ever was. Rows of a null key or time are left out. Changes are combined by hour before they are
-    shuffled, and in state, so a key that most rows have sends and holds little.
+    shuffled, and in state, so a key that most rows have sends and holds little. State is held by buckets of keys: calls and timers are as many as
+    buckets, not keys, and a batch writes the state of its keys' buckets anew.
     """
     target, places = kept_path(spark, "retained"), []
     setting = "spark.sql.streaming.stateStore.providerClass"
@@ -102,8 +109,8 @@ def retained(spark: SparkSession, parts: list[DataFrame], days: int, delay: str)
     def start(rows: DataFrame, checkpoint: str):
         places.append(checkpoint)
         at = F.col("ts").cast("timestamp")
-        known = rows.where("key is not null and ts is not null").select(F.col("key").cast("long").alias("key"), at.alias("at"), F.col("session").cast("long").alias("session"), F.unix_millis(at).alias("ms"))
-        keyed = known.mapInArrow(_by_hour, _CHANGES).withWatermark("at", delay).groupBy("key")
+        known = rows.where("key is not null and ts is not null").select(F.col("key").cast("long").alias("key"), at.alias("at"), F.col("session").cast("long").alias("session"), F.unix_micros(at).alias("us"))
+        keyed = known.mapInArrow(_by_hour, _CHANGES).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).withWatermark("at", delay).groupBy("bucket")
         out = keyed.transformWithStateInPandas(Retained(days * 24 * HOUR), StructType.fromDDL(_OUT), "append", "eventTime")
         return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

@@ -49,6 +49,21 @@ def test_sessions_are_retained_until_they_end(spark):
     assert held == {"open": 0, "changes": 1}  # the last change alone
 
 
+def test_sessions_of_many_keys_share_state(spark):
+    from tessera.streaming.retained import BUCKETS
+
+    us, big, end = dt.timedelta(microseconds=1), 2**60, at(100)
+    rows = [(k, at(90), k) for k in range(2 * BUCKETS)]  # open at the end
+    rows += [(-1, at(1), big), (-1, at(2), big + 1), (-1, at(2) + 48 * dt.timedelta(hours=1), None)]  # ids that differ in their last bit
+    rows += [(-2, at(1) + 500 * us, 1), (-2, at(1) + 400 * us, None), (-3, at(1) + 400 * us, 1), (-3, at(1) + 500 * us, None)]  # within a millisecond
+    mark = end - dt.timedelta(hours=24)
+    rows += [(-4, mark - dt.timedelta(hours=48), 1), (-5, mark - dt.timedelta(hours=48) - dt.timedelta(milliseconds=1), 1), (-6, end, None)]  # not yet behind the watermark, and behind it
+    got, checkpoint = retained(spark, [spark.createDataFrame(rows, "key long, ts timestamp, session long")], days=2, delay="1 day")
+    assert {(r.key, r.session): r.state for r in got.collect()} == {(-1, big): "expired", (-1, big + 1): "resolved", (-2, 1): "expired", (-3, 1): "resolved", (-5, 1): "expired"}
+    states = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    assert 0 < states.count() <= BUCKETS
+
+
 def test_suggestions_match_or_lapse(spark):
     rng = random.Random(5)
     rows = []
