@@ -87,6 +87,21 @@ def test_suggestions_match_or_lapse(spark):
     assert {"matched", "lapsed"} == {s for _, _, s in got.values()} and 900 not in got
 
 
+def test_suggestions_write_no_pairs(spark, tmp_path, monkeypatch):
+    from tessera.streaming import lapse
+
+    monkeypatch.setattr(lapse, "kept_path", lambda spark, name: f"{tmp_path}/{name}")
+    us = dt.timedelta(microseconds=1)
+    rows = [(i, 1, at(2 + i / 100), 1.0, True) for i in range(20)] + [(100 + i, 1, at(2.5 + i / 100), float(i), False) for i in range(120)]  # one key has most rows
+    rows += [(20, 2, at(4) - us, 1.0, True), (300, 2, at(6) - us, 9.0, False), (21, 3, at(4), 1.0, True), (301, 3, at(6), 9.0, False)]  # at the end of the window, slots apart
+    rows += [(22, 4, at(4), 1.0, True), (302, 4, at(6) + us, 1.0, False), (23, 5, at(5), 1.0, True), (303, 5, at(5) - us, 1.0, False)]  # beside it
+    rows += [(900, 9, at(200), 1.0, True), (901, 8, at(200), 1.0, False)]
+    got = {r.suggestion: (r.episode, r.state) for r in correlated(spark, [spark.createDataFrame(rows, "id long, who long, ts timestamp, value double, suggested boolean")], "who", "2 hours", "1 day").collect()}
+    assert got == {i: (101, "matched") for i in range(20)} | {20: (300, "matched"), 21: (301, "matched"), 22: (None, "lapsed"), 23: (None, "lapsed")}
+    written = spark.read.parquet(f"{tmp_path}/correlated")
+    assert written.count() <= 2 * 24  # a row a suggestion and batch
+
+
 def test_streams_of_nothing(spark):
     none = spark.createDataFrame([], "key long, ts timestamp, session long")
     assert retained(spark, [none], 14, "1 day")[0].count() == 0
