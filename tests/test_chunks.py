@@ -132,3 +132,18 @@ def test_search_compares_the_first_copies_only(spark, monkeypatch):
         want = sorted(range(len(x)), key=lambda j: (-cos[j], j))[:3]
         assert [r.id for r in sorted((r for r in rows if r.query == i), key=lambda r: r.place)] == want
     assert seen and max(seen) == 7
+
+
+def test_the_nearest_chunks_are_found_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 7)
+    texts = ["lose the thing\n\n   \nthe other ring", "\tthe ring\r\n_the_ Ring", "é thing " * 700 + "\nring", None, "", "lose the thing\nlose the thing", "-- ..\nnothing here", *(f"line {i}\nthe thing {i}" for i in range(40))]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)] + [(None, "the thing"), (None, "the thing")], "path string, text string")
+    asked = "lose the thing and the other ring"
+    want = C.similar(C.embed(C.cut(files.where("path is not null"))), asked).select("path", "place", "similarity")
+    best = C.nearest(files.where("path is not null"), asked, 25)
+    order = [F.col("similarity").desc(), F.col("path"), F.col("place")]
+    assert best.orderBy(*order).collect() == want.orderBy(*order).limit(25).collect()
+    assert C.nearest(files.where("path is not null"), asked, 1000).count() == want.count() > 90
+    assert sum(r.path is None for r in C.nearest(files, asked, 1000).collect()) == 2
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # no text is shuffled
