@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,39 @@ def test_the_nearest_chunks_are_found_where_texts_lie(spark, monkeypatch):
     assert sum(r.path is None for r in C.nearest(files, asked, 1000).collect()) == 2
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan  # no text is shuffled
+
+
+def test_a_query_is_sent_once_a_group_of_cells(spark, vectors, monkeypatch):
+    sent, compared = [], C._compared
+    monkeypatch.setattr(C, "_compared", lambda vectors, visits, *rest: sent.append(visits.count()) or compared(vectors, visits, *rest))
+    some = vectors.where("id % 50 = 0").select(F.col("id").alias("query"), "vector")
+    queries = some.union(some.selectExpr("query + 100000", "vector"))  # each is asked twice
+    centroids = C.train(vectors, cells=60)
+    got = C.search(C.place(vectors, centroids), centroids, queries, k=5, probes=2, exact=True).collect()
+    want = flat(vectors, queries, 5)
+    assert {(r["query"], r.place): r.id for r in got} == {(q, n): i for q, hits in want.items() for n, (_, i) in enumerate(hits, 1)}
+    assert len(sent) == 2 and max(sent) <= queries.select("vector").distinct().count()  # all cells here are one group
+
+
+def test_the_best_of_a_group_are_found_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-2, 3, (400, C.DIMS)).astype(np.int32), rng.integers(-2, 3, (30, C.DIMS)).astype(np.int32)
+    x[::7], x[3::50], q[5] = x[0], 0, 0  # ties and zero vectors
+    q[9] = 3 * x[0]
+    centres = C._units(rng.normal(size=(4, C.DIMS)))
+    cell = (C._units(x) @ centres.T).argmax(1)
+    angle = np.arccos((C._units(x) * centres[cell]).sum(1))
+    cells = C._Cells(np.array([2, 5, 6, 9]), centres, np.array([angle[cell == c].max() for c in range(4)]), np.zeros(4, int), np.ones(4, int))
+    one = pa.table({"id": np.arange(400) * 3, "vector": pa.array(list(x)), "cell": cells.number[cell], "angle": angle})
+    norm = np.sqrt((q.astype(float) ** 2).sum(1)[:, None] * (x.astype(float) ** 2).sum(1))
+    cos = np.where(norm > 0, q @ x.T / np.where(norm > 0, norm, 1), 0.0)
+    want = {i: sorted(range(400), key=lambda j: (-cos[i, j], j))[:3] for i in range(30)}
+    monkeypatch.setattr(C, "AT_ONCE", 4)
+    for numbers in (40, 1 << 20):
+        monkeypatch.setattr(C, "NUMBERS", numbers)
+        for least in (np.full(30, -2.0), np.array([cos[i, want[i][2]] for i in range(30)])):
+            two = pa.table({"query": np.arange(30), "vector": pa.array(list(q)), "least": least, "reach": np.full(30, np.pi)})
+            got = {}
+            for i, j, s in sorted(zip(*(C._matched(one, two, cells, 3)[c].to_pylist() for c in ("query", "id", "similarity"))), key=lambda r: (r[0], -r[2], r[1])):
+                got.setdefault(i, []).append(j // 3)
+            assert got == want
