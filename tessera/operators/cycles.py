@@ -31,6 +31,25 @@ def _reach(edges: DataFrame, colours: DataFrame) -> DataFrame:
             return low
 
 
+def _loops(ways: DataFrame) -> DataFrame:
+    """(node, component) of the loops among nodes with one way in, of (node, up): the only node with an edge to each.
+
+    A round doubles the steps of ``up`` and keeps the nodes that are still above another, so paths halve and what hangs on a loop is gone in few
+    rounds, each on fewer rows. ``low`` is the smallest node on the way; where all nodes are kept and none changes, it has gone round.
+    """
+    table = materialize(ways.withColumn("low", F.col("node")), "ways")
+    size = table.count()
+    while True:
+        above = table.join(table.select(F.col("up").alias("node")).distinct(), "node", "left_semi")
+        jump = table.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("low").alias("beyond"))
+        step = above.join(jump, "up").select("node", F.col("far").alias("up"), F.least("low", "beyond").alias("low"), (F.col("beyond") < F.col("low")).alias("lower"))
+        step = materialize(step, "ways")
+        before, size = size, step.count()
+        if size == before and step.where("lower").isEmpty():
+            return step.select("node", F.col("low").alias("component"))
+        table = step.drop("lower")
+
+
 def _tarjan(table: pa.Table) -> pa.Table:
     """(node, component) of the strongly connected groups of two or more nodes, of all edges at once."""
     onward: dict[int, list[int]] = {}
@@ -72,12 +91,20 @@ def _tarjan(table: pa.Table) -> pa.Table:
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes in groups of two or more that reach each other; component = smallest node.
 
-    Edges whose ends have no edge in or no edge out are trimmed first, some rounds. What is left falls into parts that no edge joins,
+    Edges to nodes without an edge out are left out first. Nodes with one way in lie on loops of such nodes, found by doubling steps, or on cycles
+    with nodes of several ways in; only if there are any of these, the rest is looked at. Its edges
+    whose ends have no edge in or no edge out are trimmed, some rounds. What is left falls into parts that no edge joins,
     whatever its direction. Parts of at most ``SMALL`` edges, counted, are settled one by one in tasks; in larger ones each colour is split by the smallest
     node that reaches a node forwards and the smallest it can reach, until no colour splits, with nodes that stand alone put
     aside. All rounds are joins on written tables.
     """
-    edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "directed")
+    edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst"), "given")
+    edges = materialize(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct(), "directed")
+    ways = materialize(edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up"), F.max("src").alias("last")), "ways_in")
+    loops = _loops(ways.where("up = last").select("node", "up"))
+    if ways.where("up <> last").isEmpty():
+        return loops
+    edges = materialize(edges.join(loops.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "rest")
     left = -1
     for _ in range(TRIMS):
         ends = edges.select(F.col("src").alias("dst")).distinct()
@@ -90,7 +117,7 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     labels = connected_components(edges, "src", "dst").select(F.col("node").alias("src"), F.col("component").alias("part"))
     edges = materialize(edges.join(labels, "src").select("src", "dst", "part"), "parts")
     large = materialize(edges.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("part"), "large_parts")
-    settled = edges.join(large, "part", "left_anti").groupBy("part").applyInArrow(_tarjan, "node long, component long")
+    settled = edges.join(large, "part", "left_anti").groupBy("part").applyInArrow(_tarjan, "node long, component long").unionByName(loops)
     if large.isEmpty():
         return settled
     return settled.unionByName(_split(materialize(edges.join(large, "part", "left_semi").select("src", "dst"), "large_edges")))

@@ -23,6 +23,54 @@ def test_cycles(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def brute_cycles(edges):
+    onward = {}
+    for u, v in edges:
+        onward.setdefault(u, set()).add(v)
+
+    def reach(node):
+        seen, todo = set(), [node]
+        while todo:
+            new = onward.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    closure = {n: reach(n) for n in onward}
+    groups = {n: {m for m in closure[n] if n in closure.get(m, ())} for n in closure}
+    return {n: min(g | {n}) for n, g in groups.items() if len(g | {n}) > 1}
+
+
+def test_cycles_of_nodes_with_one_way_in(spark, monkeypatch):
+    from tessera.operators import cycles
+
+    def whole(*_):
+        raise AssertionError("loops of single ways in need no components")
+
+    monkeypatch.setattr(cycles, "connected_components", whole)
+    rng = random.Random(8)
+    path = [(i, i + 1) for i in range(1, 300)] + [(900, 1)]  # hangs on nothing but a node without a way in
+    loop = [(400 + i, 400 + (i + 1) % 37) for i in range(37)] + [(411, 500), (500, 501), (501, 502), (421, 503)]
+    pair = [(601, 600), (600, 601), (600, 602), (602, 602), (602, 603)]
+    drawn = [(1000 + rng.randrange(150), 1000 + i) for i in range(400)]
+    for edges in (path, path + loop + pair + loop, drawn, []):
+        got = {r.node: r.component for r in cycles.cycle_groups(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == brute_cycles(edges)
+
+
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_cycles_of_mixed_nodes(spark, monkeypatch, small):
+    from tessera.operators import cycles
+
+    monkeypatch.setattr(cycles, "SMALL", small)
+    rng = random.Random(9)
+    loop = [(i, (i + 1) % 11) for i in range(11)] + [(3, 40), (40, 41)]
+    edges = loop + [(rng.randrange(50, 110), rng.randrange(50, 110)) for _ in range(70)] + [(41, 50), (None, 3)]
+    rows = cycles.cycle_groups(spark.createDataFrame(edges, "src long, dst long")).collect()
+    want = brute_cycles(edges[:-1])
+    assert {r.node: r.component for r in rows} == want and len(rows) == len(want) > 11
+
+
 def test_chain(spark):
     from tessera.operators.chains import chain_ends
 
